@@ -11,6 +11,7 @@ from threadlens.functions import text as tx
 from threadlens.functions.posts import author_label, author_node_size, topic_label
 from threadlens.operators.ranking import exact_percentiles, join_same, top_fraction
 from threadlens.operators.topics import document_topics, term_vectors, topic_word_arrays
+from threadlens.runtime import snapshot
 
 # Weights of the score and the marker words.
 PROB_WEIGHT, ACTIVITY_WEIGHT, KEYWORD_WEIGHT = 0.4, 0.3, 0.3
@@ -36,7 +37,7 @@ def keyword_hits(assignments: DataFrame, words: DataFrame) -> DataFrame:
 
     The words of a topic are one short array, so the look-up is one row per assignment.
     """
-    lists = topic_word_arrays(words).select("topic_id", "words")
+    lists = snapshot(topic_word_arrays(words).select("topic_id", "words"), "topic-words")
     joined = assignments.join(lists, "topic_id", "left")
     lowered = F.lower("text")
     hits = F.size(F.filter("words", lambda w: F.contains(lowered, w)))
@@ -90,7 +91,7 @@ def influence_score(spread_bonus: float = 0.0, initiation_bonus: float = 0.0) ->
 def with_initiation(contributions: DataFrame, assignments: DataFrame, created: str = "created") -> DataFrame:
     """Flag the authors whose text on a topic is its earliest."""
     mine = assignments.groupBy("author", "topic_id").agg(F.min(created).alias("_mine"))
-    first = assignments.groupBy("topic_id").agg(F.min(created).alias("_first"))
+    first = snapshot(assignments.groupBy("topic_id").agg(F.min(created).alias("_first")), "first-mention")
     flags = mine.join(first, "topic_id").select(
         "author", "topic_id", F.coalesce(F.col("_mine") == F.col("_first"), F.lit(False)).alias("initiated")
     )
@@ -109,8 +110,9 @@ def dominant_authors(scored: DataFrame, top_percentage: float = 0.1) -> DataFram
 
 def influence_outliers(dominant: DataFrame) -> DataFrame:
     """Flag scores outside 1.5 interquartile ranges of their own topic."""
-    quartiles = exact_percentiles(dominant, ["score"], [0.25, 0.75], ["topic_id"]).select(
-        "topic_id", F.col("p0").alias("q1"), F.col("p1").alias("q3")
+    found = exact_percentiles(dominant, ["score"], [0.25, 0.75], ["topic_id"])
+    quartiles = snapshot(
+        found.select("topic_id", F.col("p0").alias("q1"), F.col("p1").alias("q3")), "quartiles"
     )
     reach = IQR_REACH * (F.col("q3") - F.col("q1"))
     return join_same(dominant, quartiles, ["topic_id"]).withColumn(
@@ -173,4 +175,6 @@ def analyze_influence(
     """Authored texts to the dominant authors of every topic."""
     assignments = text_assignments(model, texts, vocab)
     contributions = author_topic_contributions(assignments, words, count_mode)
-    return dominant_authors(score_authors(contributions), top_percentage)
+    # The ranks below read the scores more than once.
+    scored = snapshot(score_authors(contributions), "author-scores")
+    return dominant_authors(scored, top_percentage)

@@ -35,7 +35,7 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 def running_total(
     df: DataFrame,
     order: Sequence[Column],
-    weight: str | Column = F.lit(1),
+    weight: str | None = None,
     group: Sequence[str] = (),
     name: str = "running",
     slices: int | None = None,
@@ -46,7 +46,7 @@ def running_total(
     """
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    weight = F.col(weight) if isinstance(weight, str) else weight
+    weight = F.col(weight) if weight else F.lit(1)
     keys = [f"_g{i}" for i in range(len(group))] + ["_slice"]
 
     keyed = df.select(
@@ -64,7 +64,9 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     # One row per group and slice: a window here holds at most ``slices`` rows.
-    offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = snapshot(
+        totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")), "offsets"
+    )
 
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +113,7 @@ def top_fraction(
 ) -> DataFrame:
     """The first ``max(1, int(fraction * n))`` rows of every group of ``n`` rows."""
     ranked = rank_rows(df, order, group, name)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = snapshot(ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
     quota = F.greatest(F.lit(1), F.floor(F.lit(float(fraction)) * F.col("_n")))
     return join_same(ranked, sizes, group, "inner").filter(F.col(name) <= quota).drop("_n")
 
@@ -136,7 +138,7 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     placed = running_total(counts, [F.col("value")], "_count", keys, "_start")
-    sizes = counts.groupBy(*keys).agg(F.sum("_count").alias("_n"))
+    sizes = snapshot(placed.groupBy(*keys).agg(F.sum("_count").alias("_n")), "group-sizes")
     placed = join_same(placed, sizes, keys, "inner")
 
     def at(position: Column) -> Column:
