@@ -8,7 +8,7 @@ from importlib import import_module
 
 from driver_queries.registry import ORACLES, QUERIES
 
-MODULES = ["author_metrics"]
+MODULES = ["selection"]
 
 
 def load() -> tuple[dict, dict]:

@@ -72,31 +72,38 @@ def author_metrics(scaled: DataFrame) -> DataFrame:
                 F.avg(F.when(condition, x)).alias(f"mean_{label}_{side}"),
                 F.stddev_samp(F.when(condition, x)).alias(f"std_{label}_{side}"),
             ]
-    grouped = (
-        scaled.filter(F.col("post_author").isNotNull())
+    grouped = scaled.filter(F.col("post_author").isNotNull()).groupBy("post_author").agg(*aggregates)
+    return finish_metrics(grouped, participation(scaled))
+
+
+def participation(df: DataFrame) -> DataFrame:
+    """Distinct communities and distinct posts per author.
+
+    Kept apart from the averages: two distinct counts multiply the rows of their
+    aggregate, which is cheap for three narrow columns only.
+    """
+    return (
+        df.filter(F.col("post_author").isNotNull())
         .groupBy("post_author")
         .agg(
-            *aggregates,
             F.count_distinct("subreddit").alias("subreddits_participation"),
             F.count_distinct("post_id").alias("new_threads"),
         )
     )
-    return finish_metrics(grouped)
 
 
-def finish_metrics(grouped: DataFrame) -> DataFrame:
-    """Global min-max of the two counts, all columns as double, missing as 0."""
-    grouped = snapshot(grouped, "author-metrics")
-    counts = ["subreddits_participation", "new_threads"]
-    bounds = grouped.agg(
-        F.struct(*[f(c).alias(f"{f.__name__}_{c}") for c in counts for f in (F.min, F.max)]).alias("b")
+def finish_metrics(grouped: DataFrame, counts: DataFrame) -> DataFrame:
+    """Join the counts, min-max them over all authors, everything as double, missing as 0."""
+    names = ["subreddits_participation", "new_threads"]
+    bounds = counts.agg(
+        F.struct(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).alias("b")
     )
     limits = bounds.scalar()
     normalised = {}
-    for c in counts:
+    for c in names:
         low, high = limits.getField(f"min_{c}"), limits.getField(f"max_{c}")
         normalised[f"{c}_normalized"] = F.try_divide(F.col(c) - low, high - low)
-    values = grouped.withColumns(normalised)
+    values = grouped.join(counts, "post_author", "left").withColumns(normalised)
     return values.select("post_author", *[F.col(c).cast("double").alias(c) for c in USER_METRICS]).na.fill(
         0.0, USER_METRICS
     )
@@ -187,8 +194,17 @@ def post_sides_nested(posts: DataFrame) -> DataFrame:
 
 
 def metrics_from_sides(sides: DataFrame) -> DataFrame:
-    """Author metrics from one row per post: scale, then weighted moments per author."""
+    """Author metrics from one row per post: scale, then weighted moments per author.
+
+    The rows are written once, after the only pass over the comments; the ranges,
+    the counts and the moments each read back the few columns they need.
+    """
     post_measures = ["comments_num", "post_upvote_ratio"]
+    parts = [f"{p}_{s}" for p in ("rows", "n", "mean", "m2") for s in SIDES]
+    sides = snapshot(
+        sides.select("post_id", "post_author", "subreddit", *post_measures, "score_min", "score_max", *parts),
+        "post-sides",
+    )
     ranges = snapshot(
         sides.filter(F.col("subreddit").isNotNull())
         .groupBy("subreddit")
@@ -212,8 +228,6 @@ def metrics_from_sides(sides: DataFrame) -> DataFrame:
         values[f"dev_{side}"] = F.col(f"m2_{side}") / (spread("score") * spread("score"))
     scaled = joined.select(
         "post_author",
-        "post_id",
-        "subreddit",
         *[F.col(f"{p}_{s}") for p in ("rows", "n") for s in SIDES],
         *[v.alias(f"y_{k}") for k, v in values.items()],
     )
@@ -240,11 +254,7 @@ def metrics_from_sides(sides: DataFrame) -> DataFrame:
             F.col(f"y_dev_{side}"),
         )
 
-    grouped = scaled.groupBy("post_author").agg(
-        *sums,
-        F.count_distinct("subreddit").alias("subreddits_participation"),
-        F.count_distinct("post_id").alias("new_threads"),
-    )
+    grouped = scaled.groupBy("post_author").agg(*sums)
     metrics: list[Column] = []
     for label in METRIC_MEASURES.values():
         for side in METRIC_SIDES:
@@ -254,9 +264,7 @@ def metrics_from_sides(sides: DataFrame) -> DataFrame:
                 F.try_divide(s, w).alias(f"mean_{label}_{side}"),
                 F.when(w > 1, F.sqrt(variance)).alias(f"std_{label}_{side}"),
             ]
-    return finish_metrics(
-        grouped.select("post_author", *metrics, "subreddits_participation", "new_threads")
-    )
+    return finish_metrics(grouped.select("post_author", *metrics), participation(sides))
 
 
 # --- summary ----------------------------------------------------------------
@@ -273,6 +281,7 @@ def describe_exact(df: DataFrame, columns: Sequence[str] = tuple(USER_METRICS))
         "min": lambda c: F.min(c).cast("double"),
         "max": lambda c: F.max(c).cast("double"),
     }
+    df = snapshot(df.select(*columns), "described")
     one = df.agg(*[f(c).alias(f"{stat}:{c}") for stat, f in simple.items() for c in columns])
     rows = one.select(
         F.explode(
