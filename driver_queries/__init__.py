@@ -8,7 +8,7 @@ from importlib import import_module
 
 from driver_queries.registry import ORACLES, QUERIES
 
-MODULES = ["selection"]
+MODULES = ["texts", "thread_shapes"]
 
 
 def load() -> tuple[dict, dict]:

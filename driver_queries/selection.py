@@ -147,12 +147,12 @@ def _details(spark, sf):
 
 @query(
     "community_totals",
-    f"""WITH {POSTS}, kept AS (SELECT * FROM posts WHERE post_type = '1-URGENT' AND subreddit < 'K')
+    f"""WITH {POSTS}, kept AS (SELECT * FROM posts WHERE post_type = '1-URGENT' AND subreddit < 'NATION_2')
     SELECT n_name AS subreddit, coalesce(n, 0) AS total_counter
     FROM nation LEFT JOIN (SELECT subreddit, count(*) AS n FROM kept GROUP BY 1) ON n_name = subreddit""",
 )
 def community_totals(spark, sf):
-    kept = posts(spark, sf).filter("post_type = '1-URGENT' AND subreddit < 'K'")
+    kept = posts(spark, sf).filter("post_type = '1-URGENT' AND subreddit < 'NATION_2'")
     return sel.add_post_counts(_details(spark, sf), kept).select("subreddit", "total_counter")
 
 
@@ -181,12 +181,12 @@ def community_top_n(spark, sf):
     )
 
 
-NAMED = ["GERMANY", "FRANCE", "JAPAN"]
+NAMED = ["NATION_3", "NATION_11", "NATION_24"]
 
 
 @query(
     "community_keep",
-    f"""WITH {POSTS}, kept AS (SELECT n_name FROM nation WHERE n_name IN ('GERMANY', 'FRANCE', 'JAPAN'))
+    f"""WITH {POSTS}, kept AS (SELECT n_name FROM nation WHERE n_name IN ('NATION_3', 'NATION_11', 'NATION_24'))
     SELECT post_id, subreddit FROM posts WHERE subreddit IN (SELECT n_name FROM kept)""",
 )
 def community_keep(spark, sf):
@@ -198,12 +198,12 @@ def community_keep(spark, sf):
     "community_drop",
     f"""WITH {POSTS} SELECT post_id, subreddit FROM posts
     WHERE subreddit NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1)
-      AND subreddit NOT IN (SELECT n_name FROM nation WHERE n_name LIKE 'I%')""",
+      AND subreddit NOT IN (SELECT n_name FROM nation WHERE n_name LIKE 'NATION_2%')""",
 )
 def community_drop(spark, sf):
     nations = table(spark, sf, "nation").withColumnRenamed("n_name", "subreddit")
     kept = sel.drop_communities(
-        posts(spark, sf), nations.filter("n_regionkey = 1"), nations.filter("subreddit LIKE 'I%'")
+        posts(spark, sf), nations.filter("n_regionkey = 1"), nations.filter("subreddit LIKE 'NATION_2%'")
     )
     return kept.select("post_id", "subreddit")
 
@@ -211,15 +211,15 @@ def community_drop(spark, sf):
 @query(
     "community_exclude",
     f"""WITH {POSTS}, counts AS (SELECT subreddit, count(*) AS n, min(post_id) AS discovery_rank FROM posts GROUP BY 1)
-    SELECT subreddit, n FROM counts WHERE subreddit NOT IN ('CHINA', 'PERU') AND lower(subreddit) <> 'india'
+    SELECT subreddit, n FROM counts WHERE subreddit NOT IN ('NATION_2', 'nation_5') AND lower(subreddit) <> 'nation_7'
     ORDER BY discovery_rank LIMIT 9""",
 )
 def community_exclude(spark, sf):
     counts = posts(spark, sf).groupBy("subreddit").agg(
         F.count(F.lit(1)).alias("n"), F.min("post_id").alias("discovery_rank")
     )
-    kept = sel.exclude_communities(counts, ["india"], ignore_case=True)
-    return sel.communities_to_search(kept, 9, ["CHINA", "PERU"]).select("subreddit", "n")
+    kept = sel.exclude_communities(counts, ["nation_7"], ignore_case=True)
+    return sel.communities_to_search(kept, 9, ["NATION_2", "nation_5"]).select("subreddit", "n")
 
 
 @query(
