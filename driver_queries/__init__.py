@@ -8,7 +8,7 @@ from importlib import import_module
 
 from driver_queries.registry import ORACLES, QUERIES
 
-MODULES = ["texts", "thread_shapes"]
+MODULES = ["selection", "author_metrics", "author_leaders", "texts", "thread_shapes", "topic_models", "influence", "live", "storage"]
 
 
 def load() -> tuple[dict, dict]:

@@ -109,7 +109,7 @@ def thread_edges(spark, sf):
 
 
 def stored_maps(spark, sf):
-    """Posts with their comment map, as a collector stores them."""
+    """Posts with their comment map, as a collector stores them; very long threads in parts."""
     tree = threads.comment_tree(replies(spark, sf))
     node = F.struct(
         F.col("comments_author").alias("author"),
@@ -121,7 +121,8 @@ def stored_maps(spark, sf):
         F.col("comments_upvote_score").alias("upvote_score"),
         "root",
     )
-    maps = tree.groupBy("post_id").agg(
+    part = F.floor(F.coalesce("comment_rank", F.lit(0)) / threads.COMMENTS_PER_ROW).alias("map_part")
+    maps = tree.groupBy("post_id", part).agg(
         F.map_from_entries(F.collect_list(F.struct("comment_id", node))).alias("comments_graph")
     )
     return thread_posts(spark, sf).join(maps, "post_id", "left")
@@ -177,15 +178,16 @@ def thread_breadth_first(spark, sf):
 )
 def chain_levels(spark, sf):
     """Every user's events as one long chain of replies: hundreds of levels deep."""
-    from pyspark.sql import Window
-
     from driver_queries.adapters import table
+    from threadlens.operators.ranking import rank_rows
 
-    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
-    chain = table(spark, sf, "events").select(
+    events = table(spark, sf, "events").select("user_id", "event_id")
+    placed = snapshot(rank_rows(events, [F.col("event_id")], ["user_id"], "place"), "places")
+    before = placed.select("user_id", (F.col("place") + 1).alias("place"), F.col("event_id").alias("before"))
+    chain = placed.join(before, ["user_id", "place"], "left").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("post_id"),
         F.col("event_id").cast("string").alias("comment_id"),
-        before.cast("string").alias("parent_id"),
+        F.col("before").cast("string").alias("parent_id"),
     )
     levels = threads.reply_levels(snapshot(chain, "chain"))
     return levels.select(

@@ -127,7 +127,7 @@ def phrase_scores(
     key = F.when(F.col("b").isNull(), F.col("a")).otherwise(F.concat_ws("_", "a", "b"))
     grams = snapshot(gram_counts(texts).withColumn("key", key), "grams")
     keys = grams.groupBy("key").agg(F.sum("n").alias("n"))
-    distinct_keys = grams.agg(F.count_distinct("key")).scalar()
+    distinct_keys = keys.count()
 
     frequent = keys.filter(F.col("n") > min_count) if threshold >= 0 else keys
     pairs = (

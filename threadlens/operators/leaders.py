@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -9,34 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from threadlens.functions.posts import critical_z
-from threadlens.runtime import snapshot
+from threadlens.runtime import one_row, snapshot
 from threadlens.schemas import FEATURE_FAMILIES
 
 SCORES = ["popularity_pc", "engagement_pc", "initiative_pc"]
 
 
-def _one_row(df: DataFrame, **aggregates):
-    """A one-row aggregate as a scalar subquery: no cross join, no unpartitioned window."""
-    return df.agg(F.struct(*[a.alias(k) for k, a in aggregates.items()]).alias("v")).scalar()
+def _moments(df: DataFrame, columns: Sequence[str]) -> dict:
+    aggregates = {"n": F.count(F.lit(1))}
+    for c in columns:
+        aggregates[f"mean:{c}"] = F.avg(c)
+        aggregates[f"dev:{c}"] = F.stddev_pop(c)
+    return one_row(df, **aggregates)
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
     """Population standard scaling over all rows; a constant column becomes 0."""
-    aggregates = {}
-    for i, c in enumerate(columns):
-        aggregates[f"m{i}"] = F.avg(c)
-        aggregates[f"d{i}"] = F.stddev_pop(c)
-    stats = _one_row(df, **aggregates)
+    stats = _moments(df, columns)
     scaled = {}
-    for i, c in enumerate(columns):
-        centred = F.col(c) - stats.getField(f"m{i}")
-        deviation = stats.getField(f"d{i}")
-        scaled[f"{c}{suffix}"] = F.when(deviation == 0, F.lit(0.0)).otherwise(
-            F.try_divide(centred, deviation)
-        )
+    for c in columns:
+        deviation = stats[f"dev:{c}"]
+        scaled[f"{c}{suffix}"] = (F.col(c) - stats[f"mean:{c}"]) / deviation if deviation else F.lit(0.0)
     return df.withColumns(scaled)
 
 
+def _largest_sign(df: DataFrame, score: str, key: str) -> float:
+    """Sign of the score of largest size; sizes are compared rounded, ties go to the last key."""
+    place = F.struct(F.round(F.abs(score), 9), F.col(key))
+    return one_row(df, sign=F.signum(F.max_by(score, place)))["sign"] or 0.0
+
+
 def first_component(df: DataFrame, features: Sequence[str], name: str, key: str = "post_author") -> DataFrame:
     """Score on the first principal component; the row of largest size is positive.
 
@@ -48,21 +51,15 @@ def first_component(df: DataFrame, features: Sequence[str], name: str, key: str
     assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(df)
     model = PCA(k=1, inputCol="_features", outputCol="_pc").fit(assembled)
     scored = model.transform(assembled).withColumn("_score", vector_to_array("_pc")[0])
-    sign = scored.agg(
-        F.signum(F.max_by("_score", F.struct(F.round(F.abs("_score"), 9), F.col(key)))).alias("s")
-    ).scalar()
+    sign = _largest_sign(scored, "_score", key)
     return scored.withColumn(name, F.col("_score") * sign).drop("_features", "_pc", "_score")
 
 
 def first_component_of_two(df: DataFrame, first: str, second: str, name: str, key: str = "post_author") -> DataFrame:
     """Closed form for two standard-scaled features."""
-    r = df.agg(F.covar_pop(first, second)).scalar()
-    score = (F.col(first) + F.when(r < 0, -1.0).otherwise(1.0) * F.col(second)) / F.sqrt(F.lit(2.0))
-    scored = df.withColumn("_score", score)
-    sign = scored.agg(
-        F.signum(F.max_by("_score", F.struct(F.round(F.abs("_score"), 9), F.col(key)))).alias("s")
-    ).scalar()
-    return scored.withColumn(name, F.col("_score") * sign).drop("_score")
+    r = one_row(df, r=F.covar_pop(first, second))["r"] or 0.0
+    scored = df.withColumn("_score", (F.col(first) + (-1.0 if r < 0 else 1.0) * F.col(second)) / math.sqrt(2.0))
+    return scored.withColumn(name, F.col("_score") * _largest_sign(scored, "_score", key)).drop("_score")
 
 
 def explained_variance(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -116,16 +113,16 @@ def zscore_outliers(df: DataFrame, alpha: float = 1e-6, columns: Sequence[str] =
 
     A single row has z-score 0. A constant column has no z-score, and no outlier.
     """
-    aggregates = {"n": F.count(F.lit(1))}
-    for i, c in enumerate(columns):
-        aggregates[f"m{i}"] = F.avg(c)
-        aggregates[f"d{i}"] = F.stddev_pop(c)
-    stats = _one_row(df, **aggregates)
-    limit = F.lit(critical_z(alpha))
-    scores = {
-        f"{c}_zscore": F.when(stats.getField("n") > 1, F.try_divide(F.col(c) - stats.getField(f"m{i}"), stats.getField(f"d{i}"))).otherwise(F.lit(0.0))
-        for i, c in enumerate(columns)
-    }
+    stats = _moments(df, columns)
+    limit = critical_z(alpha)
+    scores = {}
+    for c in columns:
+        mean, deviation = stats[f"mean:{c}"], stats[f"dev:{c}"]
+        if stats["n"] <= 1:
+            score = F.lit(0.0)
+        else:
+            score = (F.col(c) - mean) / deviation if deviation else F.lit(None).cast("double")
+        scores[f"{c}_zscore"] = score
     beyond = F.lit(False)
     for z in scores:
         beyond = beyond | F.coalesce(F.abs(F.col(z)) > limit, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.operators.ranking import exact_percentiles
-from threadlens.runtime import snapshot
+from threadlens.runtime import one_row, snapshot
 from threadlens.schemas import METRIC_MEASURES, METRIC_SIDES, USER_METRICS
 
 
@@ -95,14 +95,13 @@ def participation(df: DataFrame) -> DataFrame:
 def finish_metrics(grouped: DataFrame, counts: DataFrame) -> DataFrame:
     """Join the counts, min-max them over all authors, everything as double, missing as 0."""
     names = ["subreddits_participation", "new_threads"]
-    bounds = counts.agg(
-        F.struct(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).alias("b")
-    )
-    limits = bounds.scalar()
+    counts = snapshot(counts, "participation")
+    bounds = one_row(counts, **{f"{f.__name__}_{c}": f(c) for c in names for f in (F.min, F.max)})
     normalised = {}
     for c in names:
-        low, high = limits.getField(f"min_{c}"), limits.getField(f"max_{c}")
-        normalised[f"{c}_normalized"] = F.try_divide(F.col(c) - low, high - low)
+        low, high = bounds[f"min_{c}"], bounds[f"max_{c}"]
+        wide = low is not None and high > low
+        normalised[f"{c}_normalized"] = (F.col(c) - low) / (high - low) if wide else F.lit(0.0)
     values = grouped.join(counts, "post_author", "left").withColumns(normalised)
     return values.select("post_author", *[F.col(c).cast("double").alias(c) for c in USER_METRICS]).na.fill(
         0.0, USER_METRICS

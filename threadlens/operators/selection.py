@@ -19,8 +19,11 @@ HALF_WINDOW = timedelta(days=365 * 2.5)
 POST_TYPES = ["text", "image", "gifv", "video", "gallery", "link"]
 
 
-def _moment(day: str | datetime | None) -> datetime | None:
-    return datetime.strptime(day, "%d-%m-%Y") if isinstance(day, str) else day
+def _moment(df: DataFrame, created: str, day: str | datetime) -> Column:
+    """A day as a constant of the column's own timestamp type, so that the scan can filter on it."""
+    if isinstance(day, str):
+        day = datetime.strptime(day, "%d-%m-%Y")
+    return F.lit(day.isoformat(sep=" ")).cast(df.schema[created].dataType)
 
 
 # --- filters ---------------------------------------------------------------
@@ -28,11 +31,10 @@ def _moment(day: str | datetime | None) -> datetime | None:
 
 def created_between(df: DataFrame, start=None, end=None, created: str = "post_created_utc") -> DataFrame:
     """Rows created in [start, end]; either side may be open. Days are ``DD-MM-YYYY``."""
-    start, end = _moment(start), _moment(end)
     if start is not None:
-        df = df.filter(F.col(created) >= F.lit(start))
+        df = df.filter(F.col(created) >= _moment(df, created, start))
     if end is not None:
-        df = df.filter(F.col(created) <= F.lit(end))
+        df = df.filter(F.col(created) <= _moment(df, created, end))
     return df
 
 
@@ -93,14 +95,18 @@ def in_reference_windows(
     The windows are an argument list, so they travel inside the expression: the range
     join becomes a filter of a literal array. The outer bounds reach the scan.
     """
-    windows = reference_windows(dates)
-    lo, hi = min(w["lo"] for w in windows), max(w["hi"] for w in windows)
+    windows = [
+        {**w, "lo": _moment(df, created, w["lo"]), "hi": _moment(df, created, w["hi"])}
+        for w in reference_windows(dates)
+    ]
+    lows, highs = [w["lo"] for w in windows], [w["hi"] for w in windows]
+    lows, highs = lows + lows[:1], highs + highs[:1]
     hits = F.filter(
         literal_structs(windows),
         lambda w: F.col(created).between(w.getField("lo"), w.getField("hi")),
     )
     return (
-        df.filter(F.col(created).between(F.lit(lo), F.lit(hi)))
+        df.filter(F.col(created).between(F.least(*lows), F.greatest(*highs)))
         .select("*", F.explode(hits).alias("_window"))
         .select(*df.columns, F.col("_window.window_date"))
     )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from threadlens.functions import text as tx
-from threadlens.operators.ranking import first_row
+from threadlens.operators.ranking import first_row, rank_rows
+from threadlens.runtime import one_row
 
 # Training defaults and the smallest probability reported.
 NUM_TOPICS = 10
@@ -143,8 +144,8 @@ def community_topic_weights(doc_topics: DataFrame, community: str = "subreddit")
 def topic_shares(doc_topics: DataFrame, weight: str = "prob") -> DataFrame:
     """Share of every topic in all probability mass."""
     totals = doc_topics.groupBy("topic_id").agg(F.sum(weight).alias("weight"))
-    whole = doc_topics.agg(F.sum(weight)).scalar()
-    return totals.withColumn("share", F.try_divide(F.col("weight"), whole))
+    whole = one_row(doc_topics, total=F.sum(weight))["total"] or 0.0
+    return totals.withColumn("share", F.try_divide(F.col("weight"), F.lit(whole)))
 
 
 def all_word_weights(model, vocab: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def term_relevance(weights: DataFrame, vocab_counts: DataFrame, lam: float = 0.6
 
     ``vocab_counts`` has (word, n), the corpus count of each word.
     """
-    total = vocab_counts.agg(F.sum("n")).scalar()
+    total = one_row(vocab_counts, total=F.sum("n"))["total"]
     joined = weights.join(vocab_counts, "word")
     share = F.col("n") / total
     relevance = lam * F.ln("prob") + (1 - lam) * F.ln(F.col("prob") / share)
@@ -184,7 +185,8 @@ def limit_weights(
         return weights.join(first.select("subreddit"), "subreddit", "left_semi")
     if top_by_weight is not None:
         heavy = weights.groupBy("subreddit").agg(F.sum("weight").alias("w"))
-        kept = heavy.orderBy(F.desc("w"), F.asc("subreddit")).limit(top_by_weight)
+        # Rounded, so that sums of shares that should be equal are a tie.
+        kept = heavy.orderBy(F.desc(F.round("w", 9)), F.asc("subreddit")).limit(top_by_weight)
         return weights.join(kept.select("subreddit"), "subreddit", "left_semi")
     if names is not None:
         return weights.filter(F.col("subreddit").isin(list(names)))
@@ -252,10 +254,11 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return edges.select(both).select("p.*").distinct()
 
 
-def neighbour_lists(edges: DataFrame, parts: int = 1) -> DataFrame:
-    """Sorted neighbour list of every node, in ``parts`` rows per node for graphs with hubs."""
-    rows = neighbours(edges).withColumn("part", F.pmod(F.xxhash64("neighbour"), F.lit(parts)).cast("int"))
-    return rows.groupBy("id", "part").agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
+def neighbour_lists(edges: DataFrame, per_row: int = 10_000) -> DataFrame:
+    """Sorted neighbour list of every node; a hub takes several rows, numbered by ``part``."""
+    ranked = rank_rows(neighbours(edges), [F.col("neighbour")], ["id"], "_rank")
+    part = F.floor((F.col("_rank") - 1) / per_row).cast("int").alias("part")
+    return ranked.groupBy("id", part).agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
 
 
 # --- saving and loading -----------------------------------------------------

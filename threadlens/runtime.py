@@ -17,7 +17,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _written: list[str] = []
 _local_folder: dict[str, str] = {}
@@ -69,6 +69,14 @@ def snapshot(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_row(df: DataFrame, **aggregates: Column) -> dict:
+    """A few global aggregates as plain values: one row crosses to the driver.
+
+    Used instead of a cross join with a one-row frame or an unpartitioned window.
+    """
+    return df.agg(*[value.alias(name) for name, value in aggregates.items()]).first().asDict()
+
+
 def release_snapshots(spark: SparkSession) -> int:
     """Delete every snapshot of this process; call it when no result is still being read."""
     jvm = spark.sparkContext._jvm
