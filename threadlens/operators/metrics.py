@@ -174,14 +174,14 @@ def post_sides_nested(posts: DataFrame) -> DataFrame:
         columns[f"mean_{side}"] = mean
         columns[f"_scores_{side}"] = scores
     out = out.withColumns(columns)
-    spread = {
-        f"m2_{side}": F.aggregate(
-            F.col(f"_scores_{side}"),
-            F.lit(0.0),
-            lambda acc, x, side=side: acc + (x - F.col(f"mean_{side}")) * (x - F.col(f"mean_{side}")),
+
+    def squared_deviation(side: str) -> Column:
+        mean = F.col(f"mean_{side}")
+        return F.aggregate(
+            F.col(f"_scores_{side}"), F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)
         )
-        for side in sides
-    }
+
+    spread = {f"m2_{side}": squared_deviation(side) for side in sides}
     silent = F.coalesce(F.size("comments_author"), F.lit(0)) <= 0
     return out.withColumns(
         {
