@@ -12,6 +12,13 @@ from threadlens.operators.leaders import outliers
 from threadlens.operators.metrics import describe_exact
 from threadlens.operators.selection import by_subscribers
 
+# White space and quotes survive the trip; empty text stays apart from null.
+CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -37,7 +44,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", files: int
     flat = nested_as_json(df)
     if files:
         flat = flat.coalesce(files)
-    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    flat.write.mode(mode).options(**CSV).csv(path)
 
 
 def write_posts(
@@ -63,7 +70,7 @@ def write_posts(
         raise ValueError("format is 'parquet', 'json' or 'csv'")
     writer = posts.write.mode(mode)
     if format == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**CSV)
     if by_community:
         writer = writer.partitionBy("subreddit")
     writer.format(format).save(path)
@@ -71,8 +78,8 @@ def write_posts(
 
 
 def write_details(details: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Community details by subscribers, one CSV file: there is one row per community."""
-    write_csv(by_subscribers(details), path, mode, files=1)
+    """Community details by subscribers; the files in name order are the sorted list."""
+    write_csv(by_subscribers(details), path, mode)
 
 
 def write_summary(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
