@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.runtime import spread
+
 AUTHORS = 200
 
 
@@ -68,7 +70,7 @@ COUNTED = f"""{POSTS}, {COMMENTS}, counted AS (
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as texts: the source is the community."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("text_id"),
         F.col("source").alias("subreddit"),
         F.col("lang").alias("post_language"),

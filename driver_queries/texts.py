@@ -30,6 +30,11 @@ def tokens(spark, sf):
     return corpus.with_tokens(texts(spark, sf), STOP)
 
 
+def token_table(spark, sf):
+    """Tokens written once, for queries that read them several times."""
+    return snapshot(tokens(spark, sf).select("text_id", "tokens"), "tokens")
+
+
 def joined(df):
     """Order-keeping fingerprint of a token list."""
     return df.select("text_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
@@ -100,7 +105,7 @@ def vocab_unbounded(spark, sf):
     f"WITH {VOCAB} SELECT text_id, term_id, count(*) AS cnt FROM words JOIN vocab USING (term) GROUP BY 1, 2",
 )
 def bag_of_words(spark, sf):
-    prepared = tokens(spark, sf)
+    prepared = token_table(spark, sf)
     return corpus.bag_of_words(prepared, snapshot(corpus.vocabulary(prepared, 5, 0.1, 500), "vocabulary"))
 
 
@@ -144,7 +149,7 @@ BIGRAMS = f"{TOKENS}, {_grams_sql('bi', 'tokens')}"
     f"WITH {BIGRAMS} SELECT a, b, phrase, n_a, n_b, n_ab, round(score, 6) AS score FROM bi_phrases",
 )
 def bigram_scores(spark, sf):
-    return corpus.phrase_scores(tokens(spark, sf)).withColumn("score", F.round("score", 6))
+    return corpus.phrase_scores(token_table(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -162,7 +167,7 @@ def pair_counts(spark, sf):
     SELECT {JOINED} FROM kept""",
 )
 def phrase_apply(spark, sf):
-    return joined(corpus.with_phrases(tokens(spark, sf)))
+    return joined(corpus.with_phrases(tokens(spark, sf).select("text_id", "tokens")))
 
 
 @query(
@@ -173,7 +178,7 @@ def phrase_apply(spark, sf):
     SELECT {JOINED} FROM normal""",
 )
 def normal_forms(spark, sf):
-    prepared = tokens(spark, sf)
+    prepared = token_table(spark, sf)
     long_forms = prepared.select(F.explode("tokens").alias("token")).distinct()
     mapping = long_forms.filter((F.length("token") > 6) & F.col("token").endswith("ing")).select(
         F.lit("en").alias("lang"), "token", F.expr("left(token, length(token) - 3)").alias("norm")

@@ -142,3 +142,20 @@ def test_language_and_sentiment(spark):
     got = {r.text_id: r.sentiment for r in corpus.sentiment_labels(df, lexicon).collect()}
     assert got == {1: "positive", 2: "neutral", 3: "unknown", 4: "positive"}
     assert spark.range(1).select(tx.compound_valence(F.lit(4.0))).first()[0] == pytest.approx(4 / 31**0.5)
+
+
+def test_normalisation_kinds(spark):
+    df = spark.createDataFrame([(1, ["cats"])], "text_id int, tokens array<string>")
+    mapping = spark.createDataFrame([("en", "cats", "cat")], "lang string, token string, norm string")
+    assert corpus.normalize_tokens(df, "stemming", mapping).first().tokens == ["cat"]
+    assert corpus.normalize_tokens(df, None, mapping).first().tokens == ["cats"]
+    with pytest.warns(UserWarning):
+        assert corpus.normalize_tokens(df, "lemmining", mapping).first().tokens == ["cats"]
+    with pytest.raises(ValueError):
+        corpus.normalize_tokens(df, "lemmatization", None)
+
+
+def test_all_stopwords(spark):
+    words = corpus.all_stopwords(spark, "en", {"x": ["EU ", "The"]}, "x")
+    assert "eu" in words and "the" in words and words == sorted(set(words))
+    assert corpus.all_stopwords(spark, "sl", base=["in"]) == ["in"]

@@ -53,6 +53,9 @@ def test_graph_counts(run):
     nodes, edges = topics.topic_graph(fitted.words, weights, posts, fitted.words)
     assert nodes.count() == 2 + fitted.words.select("word").distinct().count() + 2
     assert edges.filter("weight IS NULL").count() == 8
+    ranked = posts.withColumn("row_rank", F.monotonically_increasing_id())
+    _, limited = topic_pipeline.topic_community_graph(fitted, ranked, first_communities=1, names=["fruit"])
+    assert {r.src for r in limited.filter("weight IS NOT NULL").collect()} == {"water"}
     assert topics.neighbour_lists(edges, per_row=3).agg(F.max(F.size("neighbours"))).first()[0] <= 3
 
 

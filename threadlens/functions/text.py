@@ -37,9 +37,18 @@ def clean_text(text: str | Column) -> Column:
 
 
 def split_contractions(text: Column) -> Column:
+    """Lower-case text with a space inside contracted forms, in one pass."""
+    forms = "|".join(f"{first}(?={second}\\b)" for first, second in CONTRACTIONS)
+    return F.regexp_replace(text, rf"\b({forms})", "$1 ")
+
+
+def has_contractions(text: str | Column) -> Column:
+    """Whether a contracted form can occur: plain substring tests, far cheaper than the pattern."""
+    lowered = F.lower(col(text))
+    found = F.lit(False)
     for first, second in CONTRACTIONS:
-        text = F.regexp_replace(text, rf"(?i)\b({first})({second})\b", "$1 $2")
-    return text
+        found = found | F.contains(lowered, F.lit(first + second))
+    return found
 
 
 def words(text: str | Column) -> Column:
@@ -47,35 +56,36 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(col(text), r"\s+"), lambda w: w != "")
 
 
-def tokenize(text: str | Column, contractions: bool = True) -> Column:
-    """Words of a cleaned text."""
-    text = col(text)
-    return words(split_contractions(text) if contractions else text)
+def text_tokens(
+    text: str | Column, stopwords: Iterable[str] = (), min_length: int = 3, contractions: bool = True
+) -> Column:
+    """Clean, lower-case, tokenise, drop stop words and short tokens; null text gives null.
+
+    The text is lower-cased as a whole (cleaned text is plain ASCII), and the
+    contraction pattern runs only on texts that can match it.
+    """
+    cleaned = F.lower(clean_text(text))
+    if contractions:
+        cleaned = F.when(has_contractions(text), split_contractions(cleaned)).otherwise(cleaned)
+    return keep_tokens(F.split(cleaned, " "), stopwords, min_length)
 
 
 def keep_tokens(tokens: Column, stopwords: Iterable[str] = (), min_length: int = 3) -> Column:
     """Lower-case tokens that are long enough and not stop words."""
     stop = sorted({w.lower() for w in stopwords})
-    lowered = F.transform(tokens, F.lower)
+    shortest = max(min_length, 1)
     if not stop:
-        return F.filter(lowered, lambda t: F.length(t) >= min_length)
-    return F.filter(lowered, lambda t: (F.length(t) >= min_length) & ~t.isin(stop))
-
-
-def text_tokens(
-    text: str | Column, stopwords: Iterable[str] = (), min_length: int = 3, contractions: bool = True
-) -> Column:
-    """Clean, tokenise, lower-case, drop stop words and short tokens; null text gives null."""
-    return keep_tokens(tokenize(clean_text(text), contractions), stopwords, min_length)
+        return F.filter(tokens, lambda t: F.length(t) >= shortest)
+    return F.filter(tokens, lambda t: (F.length(t) >= shortest) & ~t.isin(stop))
 
 
 def keep_tokens_regex(tokens: Column, patterns: Sequence[str], min_length: int = 3) -> Column:
     """Like ``keep_tokens`` with stop words read as patterns; doubled backslashes are undone."""
-    lowered = F.filter(F.transform(tokens, F.lower), lambda t: F.length(t) >= min_length)
+    kept = keep_tokens(tokens, (), min_length)
     if not patterns:
-        return lowered
+        return kept
     joined = "|".join(f"(?:{p.strip().replace(chr(92) * 2, chr(92))})" for p in patterns)
-    return F.filter(lowered, lambda t: ~t.rlike(f"(?i)^(?:{joined})$"))
+    return F.filter(kept, lambda t: ~t.rlike(f"(?i)^(?:{joined})$"))
 
 
 def plain_tokens(text: str | Column) -> Column:

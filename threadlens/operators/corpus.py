@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
@@ -79,6 +79,22 @@ def configured_stopwords(config: Mapping[str, Sequence[str]], keys: str | Sequen
     return found
 
 
+def all_stopwords(
+    spark: SparkSession,
+    language: str,
+    config: Mapping[str, Sequence[str]] | None = None,
+    keys: str | Sequence[str] | None = None,
+    base: Sequence[str] | None = None,
+) -> list[str]:
+    """Stop words of a language together with configured ones, lower-cased.
+
+    ``base`` replaces Spark's list, and is needed for languages Spark has none for.
+    """
+    built_in = tx.default_stopwords(spark, language) if base is None else list(base)
+    configured = configured_stopwords(config or {}, keys) or []
+    return sorted({w.strip().lower() for w in [*built_in, *configured]})
+
+
 def map_tokens(df: DataFrame, mapping: DataFrame, language: str | None = None, key: str = "text_id") -> DataFrame:
     """Replace tokens by their normal form (a stem or lemma) from a (lang, token, norm) table.
 
@@ -87,7 +103,7 @@ def map_tokens(df: DataFrame, mapping: DataFrame, language: str | None = None, k
     """
     if language is not None:
         mapping = mapping.filter(F.col("lang") == language)
-    forms = mapping.groupBy("token").agg(F.min("norm").alias("norm"))
+    forms = snapshot(mapping.groupBy("token").agg(F.min("norm").alias("norm")), "normal-forms")
     rows = df.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
     pairs = (
         rows.join(forms, "token")
@@ -99,6 +115,19 @@ def map_tokens(df: DataFrame, mapping: DataFrame, language: str | None = None, k
     return joined.withColumn("tokens", F.when(F.col("_norms").isNull(), F.col("tokens")).otherwise(replaced)).drop("_norms")
 
 
+def normalize_tokens(
+    df: DataFrame, kind: str | None, mapping: DataFrame | None, language: str | None = None, key: str = "text_id"
+) -> DataFrame:
+    """Stemming or lemmatisation by a caller table; any other kind leaves the tokens as they are."""
+    if kind in ("stemming", "lemmatization"):
+        if mapping is None:
+            raise ValueError(f"{kind} needs a (lang, token, norm) table")
+        return map_tokens(df, mapping, language, key)
+    if kind is not None:
+        warnings.warn(f"{kind!r} is no known token normalisation; tokens stay unchanged", stacklevel=2)
+    return df
+
+
 # --- phrases ----------------------------------------------------------------
 
 
@@ -126,7 +155,7 @@ def phrase_scores(
     """
     key = F.when(F.col("b").isNull(), F.col("a")).otherwise(F.concat_ws("_", "a", "b"))
     grams = snapshot(gram_counts(texts).withColumn("key", key), "grams")
-    keys = grams.groupBy("key").agg(F.sum("n").alias("n"))
+    keys = snapshot(grams.groupBy("key").agg(F.sum("n").alias("n")), "phrase-keys")
     distinct_keys = keys.count()
 
     frequent = keys.filter(F.col("n") > min_count) if threshold >= 0 else keys
@@ -135,10 +164,9 @@ def phrase_scores(
         .select("key", "a", "b")
         .join(frequent.withColumnRenamed("n", "n_ab"), "key")
     )
-    singles = keys.select(F.col("key"), F.col("n"))
     scored = (
-        pairs.join(singles.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(singles.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
+        pairs.join(keys.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a")
+        .join(keys.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
         .withColumn(
             "score",
             (F.col("n_ab") - min_count).cast("double")
@@ -231,12 +259,8 @@ def vocabulary(
 def bag_of_words(texts: DataFrame, vocab: DataFrame, key: str = "text_id") -> DataFrame:
     """(text, term_id, cnt); tokens outside the vocabulary are dropped."""
     rows = texts.select(key, F.explode("tokens").alias("term"))
-    return (
-        rows.groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .join(vocab.select("term", "term_id"), "term")
-        .select(key, "term_id", "cnt")
-    )
+    known = rows.join(vocab.select("term", "term_id"), "term")
+    return known.groupBy(key, "term_id").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def prepare_corpus(
@@ -244,6 +268,7 @@ def prepare_corpus(
     stopwords: Sequence[str] = (),
     patterns: Sequence[str] = (),
     normal_forms: DataFrame | None = None,
+    text_preprocessing_type: str | None = None,
     comment_words_in: bool = True,
     no_below: int = NO_BELOW,
     no_above: float = NO_ABOVE,
@@ -251,8 +276,7 @@ def prepare_corpus(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Posts with comment arrays to (texts, vocabulary, bags of words)."""
     texts = with_tokens(post_and_comment_texts(posts, comment_words_in), stopwords, patterns)
-    if normal_forms is not None:
-        texts = map_tokens(texts, normal_forms)
+    texts = normalize_tokens(texts, text_preprocessing_type, normal_forms)
     texts = with_phrases(texts)
     vocab = snapshot(vocabulary(texts, no_below, no_above, keep_n), "vocabulary")
     return texts, vocab, bag_of_words(texts, vocab)

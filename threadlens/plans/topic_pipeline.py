@@ -50,6 +50,21 @@ def community_weights(run: TopicRun, posts: DataFrame) -> DataFrame:
     )
 
 
+def topic_community_graph(
+    run: TopicRun,
+    posts: DataFrame,
+    first_communities: int | None = None,
+    rank: str = "row_rank",
+    names: Sequence[str] | None = None,
+    top_by_weight: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of topics, words and communities; a row-order limit wins over names."""
+    first = topics.first_row_communities(posts, first_communities, rank) if first_communities else None
+    weights = snapshot(community_weights(run, posts), "topic-weights")
+    kept = topics.limit_weights(weights, first, names, top_by_weight)
+    return topics.topic_graph(run.words, kept, posts.select("subreddit"), run.words)
+
+
 def influential_authors(run: TopicRun, posts: DataFrame, top_percentage: float = 0.1, count_mode: str = "marker") -> DataFrame:
     return influence.analyze_influence(
         run.model, corpus.authored_texts(posts), run.vocab, run.words, top_percentage, count_mode

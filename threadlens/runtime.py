@@ -69,6 +69,15 @@ def snapshot(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share a scan of fewer splits than cores among all cores, before heavy work per row.
+
+    Small files only: a scan that already has a split for every core stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def one_row(df: DataFrame, **aggregates: Column) -> dict:
     """A few global aggregates as plain values: one row crosses to the driver.
 
