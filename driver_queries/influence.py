@@ -26,7 +26,7 @@ CONTRIBUTIONS = f"""{SHARES},
   SELECT author, topic_id, avg(prob) AS mean_prob, count(*) FILTER (WHERE p) AS posts,
     count(*) FILTER (WHERE c) AS comments, count(DISTINCT subreddit) AS communities, sum(k)::BIGINT AS keywords
   FROM marked GROUP BY 1, 2),
-  scored AS (SELECT *, 0.4 * mean_prob + 0.3 * (posts + comments) + 0.3 * keywords AS score FROM contributions)"""
+  scored AS (SELECT *, 0.4::DOUBLE * mean_prob + 0.3::DOUBLE * (posts + comments) + 0.3::DOUBLE * keywords AS score FROM contributions)"""
 DOMINANT = CONTRIBUTIONS + """, dominant AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, author) AS rank,
@@ -114,7 +114,7 @@ def author_communities(spark, sf):
     f"""WITH {CONTRIBUTIONS}, first AS (SELECT topic_id, min(text_id) AS f FROM marked GROUP BY 1),
     mine AS (SELECT author, topic_id, min(text_id) AS m FROM marked GROUP BY 1, 2)
     SELECT author, topic_id, m = f AS initiated,
-      round(score + CASE WHEN communities > 1 THEN 10 ELSE 0 END + CASE WHEN m = f THEN 0.2 ELSE 0 END, 6) AS score
+      round(score + CASE WHEN communities > 1 THEN 10::DOUBLE ELSE 0 END + CASE WHEN m = f THEN 0.2::DOUBLE ELSE 0 END, 6) AS score
     FROM scored JOIN mine USING (author, topic_id) JOIN first USING (topic_id)""",
 )
 def influence_bonuses(spark, sf):

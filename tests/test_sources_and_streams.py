@@ -42,7 +42,8 @@ def test_formats_round_trip(spark, tmp_path):
         out = str(tmp_path / format)
         assert writers.write_posts(df, out, format)
         again = readers.read_posts(spark, out, format, **options).select(*df.columns)
-        assert sorted(again.collect()) == want, format
+        # Empty text and null are the same in CSV.
+        assert sorted(again.na.fill("", ["post_text"]).collect()) == want, format
     assert writers.write_posts(df.limit(0), str(tmp_path / "none"), "json") is False
 
 

@@ -12,7 +12,7 @@ from threadlens.operators.leaders import outliers
 from threadlens.operators.metrics import describe_exact
 from threadlens.operators.selection import by_subscribers
 
-# White space and quotes survive the trip; empty text stays apart from null.
+# White space and quotes survive the trip. Empty text and null are the same in CSV.
 CSV = {
     "header": True,
     "escape": '"',
