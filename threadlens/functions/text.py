@@ -6,7 +6,7 @@ Everything here stays on the JVM and is linear in the text: stop-word tests are
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -93,19 +93,24 @@ def plain_tokens(text: str | Column) -> Column:
     return words(F.lower(col(text)))
 
 
-def raw_text_tokens(text: str | Column) -> Column:
-    """Lower-case word tokens of uncleaned text, with punctuation and clitics split off."""
-    spaced = F.lower(col(text))
-    for pattern in (
+# Fixed value: punctuation and clitic marks that end a word in uncleaned text. A period
+# counts only where nothing but closing marks stands between it and white space.
+WORD_ENDS = "|".join(
+    [
         r"\.\.\.|--",
         r"[\[\](){}<>;@#$%&?!\"“”«»‘’`]",
         r"[:,](?![0-9])",
-        r"'(?=s\b|m\b|d\b|ll\b|re\b|ve\b)",
-        r"\.(?=[\s\])}>\"'”’»]*(?:\s|$))",
-    ):
-        spaced = F.regexp_replace(spaced, pattern, " ")
+        r"'(?=(?:s|m|d|ll|re|ve)\b)",
+        r"\.(?=[\s\])}>\"'”’»,;:?!]*(?:\s|$))",
+    ]
+)
+
+
+def raw_text_tokens(text: str | Column) -> Column:
+    """Lower-case word tokens of uncleaned text, with punctuation and clitics split off."""
+    spaced = F.regexp_replace(F.lower(col(text)), WORD_ENDS, " ")
     spaced = F.regexp_replace(spaced, r"n't\b", " n't")
-    return words(split_contractions(spaced))
+    return words(F.when(has_contractions(text), split_contractions(spaced)).otherwise(spaced))
 
 
 def default_stopwords(spark: SparkSession, language: str) -> list[str]:
@@ -124,21 +129,30 @@ def stop_hits(tokens: Column, stopwords: Iterable[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(listed)))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def guess_language(text: str | Column, stopwords_by_language: Mapping[str, Sequence[str]]) -> Column:
     """Language with the most stop-word hits; null without a hit, ties to the first listed."""
-    tokens = words(F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{N}]+", " "))
-    scores = F.array(
-        *[
-            F.struct(
-                stop_hits(tokens, listed).alias("hits"),
-                F.lit(-i).alias("order"),
-                F.lit(language).alias("language"),
+    tokens = F.split(F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{N}]+", " "), " ")
+
+    def best(found: Column) -> Column:
+        return F.array_max(
+            F.array(
+                *[
+                    F.struct(
+                        stop_hits(found, listed).alias("hits"),
+                        F.lit(-i).alias("order"),
+                        F.lit(language).alias("language"),
+                    )
+                    for i, (language, listed) in enumerate(stopwords_by_language.items())
+                ]
             )
-            for i, (language, listed) in enumerate(stopwords_by_language.items())
-        ]
-    )
-    best = F.array_max(scores)
-    return F.when(best.getField("hits") > 0, best.getField("language"))
+        )
+
+    return bind(bind(tokens, best), lambda top: F.when(top.getField("hits") > 0, top.getField("language")))
 
 
 # Fixed values of the published normalisation of a summed valence.

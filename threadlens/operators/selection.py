@@ -42,7 +42,8 @@ def in_language(df: DataFrame, detected: str | Column, requested: str | Column)
     """Rows whose detected language is the requested one; undetected rows go."""
     detected = F.col(detected) if isinstance(detected, str) else detected
     requested = F.lit(requested) if isinstance(requested, str) else requested
-    return df.filter(detected == requested)
+    # Coalesced, so that no separate null test computes the detection once more.
+    return df.filter(F.coalesce(detected == requested, F.lit(False)))
 
 
 def exclude_communities(
