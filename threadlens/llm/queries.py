@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import language_mixture, quality_divergence, simhash_balls
+from threadlens.llm import bestfit_packing, language_mixture, quality_divergence, secret_crf, simhash_balls
 from threadlens.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def query(function):
     return function
 
 
+@query
+def op2_secret_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secret_crf.scan(docs, secret_crf.train(docs))
+
+
 @query
 def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -24,6 +30,11 @@ def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return language_mixture.identify(docs, model, extra={"held_out": remainder("doc_id", 4) == 2})
 
 
+@query
+def op4_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return bestfit_packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op8_simhash_balls(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_balls.near_duplicates(table(spark, folder, "documents"))
