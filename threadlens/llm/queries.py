@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bestfit_packing, language_mixture, quality_divergence, secret_crf, simhash_balls
+from threadlens.llm import bestfit_packing, byte_bpe, language_mixture, quality_divergence, secret_crf, simhash_balls
 from threadlens.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -35,6 +35,14 @@ def op4_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return bestfit_packing.pack(table(spark, folder, "documents"))
 
 
+@query
+def op7_byte_bpe(spark: SparkSession, folder: str, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = byte_bpe.load_vocabulary(json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.digests(table(spark, folder, "documents"), vocabulary)
+
+
 @query
 def op8_simhash_balls(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_balls.near_duplicates(table(spark, folder, "documents"))
