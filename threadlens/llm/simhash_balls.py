@@ -1,15 +1,15 @@
 """SimHash near-duplicates: fingerprints met in the middle on shared variants.
 
 Fingerprints within ``distance`` bits of each other are found by balls of half the radius. An odd distance is
-made even first: the bits are cut into ``BLOCKS`` blocks, and two fingerprints that differ in 1 to 3 bits
+made even first: the bits are cut into three blocks, and two fingerprints that differ in 1 to 3 bits
 differ in at most 2 bits outside some block that has a difference. So for each block every fingerprint emits
-the ball of radius 1 over the other bits (``blocks * (1 + 64 - 64 / blocks)`` variants, 131 in all), rows
-meet by shuffle on (block, variant), and what collides is verified bit by bit.
+the ball of radius 1 over the other bits (131 variants in all), rows meet by shuffle on (block, variant), and
+what collides is verified bit by bit.
 
 A bucket (block, variant) never emits all its pairs. Members with the same bits inside the block differ in
-two bits at most and are chained to the smallest; only one representative for each value of the block (and
-one that is the variant itself) is compared with the others. That keeps every connection, so components are
-exact, while links grow with the members of a bucket.
+two bits at most and are chained to one of them; one representative for each value of the block is compared
+with the few members that are the variant itself, and, for differences in all three blocks, with those whose
+flipped bit lies in the other block. That keeps every connection, so components are exact.
 
 Components come from alternating large and small stars over distinct fingerprints; each round is written to
 the shared folder. Defined results: null and wordless texts have fingerprint zero and are linked like any
@@ -54,20 +54,20 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def block_bits(blocks: int = BLOCKS) -> list[list[int]]:
+def block_bits() -> list[list[int]]:
     """The bit numbers of each block."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [list(range(edges[i], edges[i + 1])) for i in range(blocks)]
+    edges = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
+    return [list(range(edges[i], edges[i + 1])) for i in range(BLOCKS)]
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def balls(distinct: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """(block, variant, fp, inside, centre): the ball of radius 1 of every fingerprint outside each block."""
+def balls(distinct: DataFrame) -> DataFrame:
+    """(fp, block, variant): the ball of radius 1 of every fingerprint outside each block."""
     made = []
-    for number, own in enumerate(block_bits(blocks)):
+    for number, own in enumerate(block_bits()):
         outside = _signed(sum(1 << b for b in range(64) if b not in own))
         flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(64) if b not in own])
         made.append(F.transform(flips, _flipper(number, F.col("fp").bitwiseAND(F.lit(outside)))))
@@ -78,30 +78,43 @@ def _flipper(number: int, rest: Column):
     return lambda flip: F.struct(F.lit(number).alias("block"), rest.bitwiseXOR(flip).alias("variant"))
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join all within ``distance`` bits; each link is verified.
 
     Not every pair is listed, but any two fingerprints within the distance are connected.
     """
     if distance not in (1, 2, 3):
         raise ValueError("balls of radius 1 and one dropped block reach distances 1 to 3")
-    masks = [_signed(sum(1 << b for b in own)) for own in block_bits(blocks)]
-    met = balls(distinct, blocks).withColumn("members", F.count("fp").over(Window.partitionBy("block", "variant"))).where("members > 1").drop("members")
-    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("block") + 1)
-    met = snapshot(met.withColumn("inside", F.col("fp").bitwiseAND(mask)).withColumn("centre", F.col("fp").bitwiseXOR(F.col("inside")) == F.col("variant")), "met")
-
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    masks = [_signed(sum(1 << b for b in own)) for own in block_bits()]
+    met = balls(distinct).withColumn("members", F.count("fp").over(Window.partitionBy("block", "variant"))).where("members > 1").drop("members")
+    inside = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("block") + 1))
+    met = met.withColumn("inside", inside).withColumn("flip", F.col("fp").bitwiseXOR(F.col("inside")).bitwiseXOR(F.col("variant")))
+    met = snapshot(met, "met")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+
+    # one inside value: any two differ in the two flipped bits at most, and from the centre in one
     same = Window.partitionBy("block", "variant", "inside")
-    # all of one inside value lie within two bits; for distance 1 the centre is within one bit of each
-    hub = F.coalesce(F.min(F.when(F.col("centre"), F.col("fp"))).over(same), F.min("fp").over(same))
-    chained = met.select(F.col("fp").alias("b"), hub.alias("a")).where("a <> b").where(near("a", "b"))
-
-    kinds = met.groupBy("block", "variant", "inside").agg(F.min("fp").alias("any"), F.min(F.when(F.col("centre"), F.col("fp"))).alias("central"))
-    left, right = kinds.alias("l"), kinds.alias("r")
-    pairs = left.join(right, ["block", "variant"]).where("l.inside < r.inside")
-    crossed = pairs.select(F.inline(F.array(*[F.struct(F.col(f"l.{x}").alias("a"), F.col(f"r.{y}").alias("b")) for x in ("any", "central") for y in ("any", "central")])))
-    crossed = crossed.where("a is not null and b is not null").where(near("a", "b"))
-    return chained.select("a", "b").unionByName(crossed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hub = F.coalesce(F.min(F.when(F.col("flip") == 0, F.col("fp"))).over(same), F.min("fp").over(same))
+    chained = met.select(F.col("fp").alias("b"), hub.alias("a")).where("a <> b").where(near)
+
+    # other inside values, by one representative each. With the most differing block dropped, two fingerprints
+    # differ outside in no bit, in one (one of them is a centre), or in one bit of each other block.
+    def least(condition):
+        return F.min(F.when(condition, F.col("fp")))
+
+    second = F.col("flip").bitwiseAND(F.lit(masks[1])) != 0
+    kinds = met.groupBy("block", "variant", "inside").agg(
+        least(F.col("flip") == 0).alias("centre"), least(F.col("flip") != 0).alias("off"), least(second).alias("second"), least((F.col("flip") != 0) & ~second).alias("third")
+    )
+    centres = kinds.where("centre is not null").select("block", "variant", F.col("inside").alias("i"), F.col("centre").alias("a"))
+    others = kinds.select("block", "variant", F.col("inside").alias("j"), F.explode(F.array("centre", "off")).alias("b")).where("b is not null")
+    around = centres.join(others, ["block", "variant"]).where("i <> j").where(near)
+    first = kinds.where("block = 0")
+    ones = first.where("second is not null").select("variant", F.col("inside").alias("i"), F.col("second").alias("a"))
+    twos = first.where("third is not null").select("variant", F.col("inside").alias("j"), F.col("third").alias("b"))
+    across = ones.join(twos, "variant").where("i <> j").where(near)
+    found = chained.select("a", "b").unionByName(around.select("a", "b")).unionByName(across.select("a", "b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -128,7 +141,8 @@ def classes(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) ->
     nodes = snapshot(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     found = components(links(nodes.select("fp"), distance))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return rooted.select("fp", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
