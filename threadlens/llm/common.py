@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ def parts(batches, column: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.R
         texts = batch.column(batch.schema.get_field_index(column))
         # lengths in bytes come from Arrow, so only one slice of the texts is in Python at a time
         start, held = 0, 0
-        sizes = pa.compute.binary_length(texts).to_pylist()
+        sizes = pc.binary_length(texts).to_pylist()
         for i, size in enumerate([*sizes, None]):
             if i > start and (i == len(sizes) or held + (size or 0) > limit):
                 piece = batch.slice(start, i - start)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bestfit_packing, byte_bpe, language_mixture, quality_divergence, secret_crf, simhash_balls
+from threadlens.llm import bestfit_packing, byte_bpe, language_mixture, quality_divergence, secret_crf, simhash_balls, slot_sharding, topk_search
 from threadlens.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(function):
     return function
 
 
+@query
+def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.search(table(spark, folder, "embeddings"))
+
+
 @query
 def op2_secret_crf(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -35,6 +40,11 @@ def op4_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return bestfit_packing.pack(table(spark, folder, "documents"))
 
 
+@query
+def op5_slot_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return slot_sharding.shard(table(spark, folder, "documents"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers
