@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bestfit_packing, byte_bpe, language_mixture, quality_divergence, secret_crf, simhash_balls, slot_sharding, topk_search
+from threadlens.llm import bestfit_packing, byte_bpe, html_blocks, language_mixture, quality_divergence, secret_crf, simhash_balls, slot_sharding, topk_search
 from threadlens.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -45,6 +45,12 @@ def op5_slot_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return slot_sharding.shard(table(spark, folder, "documents"))
 
 
+@query
+def op6_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers
