@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm import bestfit_packing, byte_bpe, html_blocks, language_mixture, quality_divergence, secret_crf, simhash_balls, slot_sharding, topk_search
+from threadlens.llm import bestfit_packing, byte_bpe, html_blocks, language_mixture, logbilinear_lm, quality_divergence, secret_crf, simhash_balls, slot_sharding, topk_search
 from threadlens.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -64,6 +64,11 @@ def op8_simhash_balls(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_balls.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op9_logbilinear_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return logbilinear_lm.score(table(spark, folder, "documents"), remainder("doc_id", 7) == 2)
+
+
 @query
 def op10_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return quality_divergence.quality(table(spark, folder, "documents"))
