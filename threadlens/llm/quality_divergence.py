@@ -232,8 +232,11 @@ def judge(docs: DataFrame, references: References, carry: dict, text: str = "tex
             kept,
         ]
 
-    carry = {**carry, "_lang": F.col(lang).cast("string")}
-    return map_texts(docs, text, carry, [] if only_kept else FIELDS, work, keep=only_kept).drop("_lang")
+    free = "_lang"
+    while free in carry:
+        free += "_"
+    carry = {**carry, free: F.col(lang).cast("string")}
+    return map_texts(docs, text, carry, [] if only_kept else FIELDS, work, keep=only_kept).drop(free)
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", references: References | None = None, **limits) -> DataFrame:

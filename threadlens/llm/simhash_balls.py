@@ -155,13 +155,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each class, the one with the smallest key, with all its columns.
 
-    Rows with a null key are kept, as no class names them; of rows that repeat a kept key one stays.
+    Rows with a null key are kept, as no class names them; of rows that repeat a kept key the one whose text
+    sorts first stays.
     """
     prints = snapshot(fingerprints(docs, text, key, width), "prints")
     chosen = snapshot(classes(prints, key, distance).where("component_id is not null").select(F.col("component_id").alias(key)).distinct(), "chosen")
     first = docs.join(chosen, key, "left_semi")
-    repeats = first.groupBy(key).count().where("count > 1").select(key)
-    repeats = snapshot(repeats, "repeats")
+    repeats = snapshot(first.groupBy(key).count().where("count > 1").select(key), "repeats")
     single = first.join(repeats, key, "left_anti")
-    once = first.join(repeats, key, "left_semi").dropDuplicates([key])
-    return single.unionByName(once).unionByName(docs.where(F.col(key).isNull()))
+    order = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    once = first.join(repeats, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    return single.select(*docs.columns).unionByName(once).unionByName(docs.where(F.col(key).isNull()))

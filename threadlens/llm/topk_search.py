@@ -11,7 +11,7 @@ come first. Cells give at most k rows per query, which are ranked at the end; no
 Defined results: vectors that are null, or hold null or non-finite components, and rows with a null id take no
 part; missing components of shorter vectors count as 0; a query has fewer rows if there are fewer candidates;
 ties go to the smaller id; repeated rows are candidates of their own, but never of a query of their id; scores
-beyond a long are the nearest long. Other columns are not read, so they may clash.
+beyond a long count as the nearest long. Other columns are not read, so they may clash.
 """
 
 from __future__ import annotations
@@ -95,8 +95,9 @@ def _search_large(query_ids, queries, ids, candidates, k) -> list[tuple[int, int
     found = []
     for name, query in zip(query_ids, queries, strict=True):
         scores = whole @ np.array([int(x) for x in query], dtype=object) if len(query) else np.zeros(len(ids), dtype=object)
-        ranked = sorted((-s, int(i)) for s, i in zip(scores, ids, strict=True) if i != name)[:k]
-        found += [(int(name), i, max(-(2**63), min(2**63 - 1, -s))) for s, i in ranked]
+        nearest = [max(-(2**63), min(2**63 - 1, s)) for s in scores]
+        ranked = sorted((-s, int(i)) for s, i in zip(nearest, ids, strict=True) if i != name)[:k]
+        found += [(int(name), i, -s) for s, i in ranked]
     return found
 
 
