@@ -160,9 +160,11 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     """
     prints = snapshot(fingerprints(docs, text, key, width), "prints")
     chosen = snapshot(classes(prints, key, distance).where("component_id is not null").select(F.col("component_id").alias(key)).distinct(), "chosen")
-    first = docs.join(chosen, key, "left_semi")
-    repeats = snapshot(first.groupBy(key).count().where("count > 1").select(key), "repeats")
-    single = first.join(repeats, key, "left_anti")
-    order = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    once = first.join(repeats, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
-    return single.select(*docs.columns).unionByName(once).unionByName(docs.where(F.col(key).isNull()))
+    repeats = snapshot(prints.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeats")
+    # the only step that moves texts: once, and in the same way at every size
+    kept = docs.join(chosen.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
+    if not repeats.isEmpty():
+        order = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        once = kept.join(repeats, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+        kept = kept.join(repeats, key, "left_anti").select(*docs.columns).unionByName(once)
+    return kept.unionByName(docs.where(F.col(key).isNull()))
