@@ -65,6 +65,20 @@ def user_metrics_by_rows(spark, sf):
     return six(metrics.author_metrics(scaled), USER_METRICS)
 
 
+@query("nested_metrics", f"WITH {METRICS_SQL} SELECT post_author, {ROUNDED} FROM user_metrics")
+def nested_metrics(spark, sf):
+    """Posts with comment arrays, stored in parts of three comments."""
+    from pyspark.sql import Window
+
+    from driver_queries.adapters import comments, posts
+    from threadlens.operators.threads import assemble_posts
+    from threadlens.plans import authors
+
+    place = F.row_number().over(Window.partitionBy("post_id").orderBy("comments_upvote_score", "comments_author")) - 1
+    nested = assemble_posts(posts(spark, sf), comments(spark, sf).withColumn("comment_rank", place), per_row=3)
+    return six(authors.user_metrics(nested), USER_METRICS)
+
+
 @query(
     "self_comment_rows",
     f"""WITH {COUNTED} SELECT post_id, post_author, comments_author, round(comments_upvote_score, 6) AS score,

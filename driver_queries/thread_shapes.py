@@ -16,7 +16,8 @@ SEP = " | "
     f"""WITH {MESSAGES} SELECT post_id, (comment_rank // 3)::INT AS part,
       md5(string_agg(body, '{SEP}' ORDER BY comment_rank)) AS bodies,
       string_agg(length(body)::VARCHAR, '{SEP}' ORDER BY comment_rank) AS lengths,
-      string_agg(comments_author, '{SEP}' ORDER BY comment_rank) AS authors, count(*)::INT AS comments_num
+      string_agg(comments_author, '{SEP}' ORDER BY comment_rank) AS authors,
+      (sum(count(*)) OVER (PARTITION BY post_id))::INT AS comments_num, (min(comment_rank))::INT AS part_start
     FROM replies GROUP BY 1, 2""",
 )
 def comment_arrays(spark, sf):
@@ -28,6 +29,7 @@ def comment_arrays(spark, sf):
         F.array_join(F.col("comments_lenght").cast("array<string>"), SEP).alias("lengths"),
         F.array_join("comments_author", SEP).alias("authors"),
         "comments_num",
+        "part_start",
     )
 
 
@@ -69,6 +71,57 @@ def zip_to_shorter(spark, sf):
     )
 
 
+def in_parts(spark, sf):
+    """Threads stored in rows of three comments."""
+    return threads.assemble_posts(thread_posts(spark, sf), replies(spark, sf), per_row=3)
+
+
+@query(
+    "post_and_comment_documents",
+    f"""WITH {MESSAGES} SELECT post_id || '#' || turn AS text_id, md5(body) AS text FROM messages""",
+)
+def post_and_comment_documents(spark, sf):
+    from threadlens.operators import corpus
+
+    return corpus.post_and_comment_texts(in_parts(spark, sf)).select("text_id", F.md5("text").alias("text"))
+
+
+@query(
+    "authored_documents",
+    f"""WITH {MESSAGES} SELECT post_id || '#' || turn AS text_id, comments_author AS author, md5(body) AS text,
+      CASE WHEN turn = 0 THEN 'post' ELSE 'comment' END AS kind FROM messages""",
+)
+def authored_documents(spark, sf):
+    from threadlens.operators import corpus
+
+    return corpus.authored_texts(in_parts(spark, sf)).select("text_id", "author", F.md5("text").alias("text"), "kind")
+
+
+@query(
+    "limited_arrays",
+    f"""WITH {MESSAGES} SELECT post_id, comment_rank AS place, md5(body) AS body FROM replies WHERE comment_rank < 4""",
+)
+def limited_arrays(spark, sf):
+    from threadlens.operators.selection import limit_comment_arrays
+
+    cut = limit_comment_arrays(in_parts(spark, sf), 4, ["comments_bodies"])
+    rows = cut.select("post_id", "part_start", F.posexplode("comments_bodies").alias("at", "body"))
+    return rows.select("post_id", (F.col("part_start") + F.col("at")).cast("long").alias("place"), F.md5("body").alias("body"))
+
+
+@query(
+    "community_documents",
+    f"""WITH {MESSAGES}, c AS (SELECT post_id, sum(length(regexp_replace(lower(body), '[^a-z]', '', 'g'))) AS letters FROM messages GROUP BY 1)
+    SELECT post_id, letters::BIGINT AS letters FROM c""",
+)
+def community_documents(spark, sf):
+    """One token list per post, whatever parts it is stored in: its letters are those of the whole thread."""
+    from threadlens.operators.topics import community_tokens
+
+    rows = community_tokens(in_parts(spark, sf))
+    return rows.select("post_id", F.length(F.regexp_replace(F.array_join("tokens", ""), "[^a-z]", "")).cast("long").alias("letters"))
+
+
 @query(
     "children_lists",
     f"""WITH {MESSAGES} SELECT post_id, parent_id, (comment_rank // 4)::INT AS part,
@@ -108,24 +161,26 @@ def thread_edges(spark, sf):
     return threads.thread_edges(replies(spark, sf))
 
 
-def stored_maps(spark, sf):
+def stored_maps(spark, sf, per_row=threads.COMMENTS_PER_ROW):
     """Posts with their comment map, as a collector stores them; very long threads in parts."""
-    tree = threads.comment_tree(replies(spark, sf))
-    node = F.struct(
-        F.col("comments_author").alias("author"),
-        F.when(F.col("root").isNull(), F.col("comment_id")).alias("id"),
-        "body",
-        F.lit(None).cast("timestamp").alias("created_utc"),
-        "children",
-        "parent_id",
-        F.col("comments_upvote_score").alias("upvote_score"),
-        "root",
-    )
-    part = F.floor(F.coalesce("comment_rank", F.lit(0)) / threads.COMMENTS_PER_ROW).alias("map_part")
-    maps = tree.groupBy("post_id", part).agg(
-        F.map_from_entries(F.collect_list(F.struct("comment_id", node))).alias("comments_graph")
+    return thread_posts(spark, sf).join(threads.comment_graph(replies(spark, sf), per_row), "post_id", "left")
+
+
+@query(
+    "stored_maps",
+    f"""WITH {MESSAGES}, kids AS (SELECT parent_id AS comment_id, string_agg(comment_id, '{SEP}' ORDER BY comment_id) AS children
+      FROM replies GROUP BY 1)
+    SELECT p.post_id, m.comment_id, md5(CASE WHEN m.turn > 0 THEN m.body END) AS body, coalesce(k.children, '') AS children, m.turn = 0 AS root
+    FROM messages m JOIN messages p ON p.post_id = m.post_id AND p.turn = 0 LEFT JOIN kids k ON k.comment_id = m.comment_id
+    WHERE m.turn > 0 OR k.children IS NOT NULL""",
+)
+def stored_map_facts(spark, sf):
+    """Every node of maps stored in parts of three places, its children put together again."""
+    nodes = threads.comment_nodes(stored_maps(spark, sf, per_row=3))
+    whole = nodes.groupBy("post_id", "comment_id").agg(
+        F.md5(F.max("body")).alias("body"), F.sort_array(F.flatten(F.collect_list("children"))).alias("children"), F.coalesce(F.bool_or("root"), F.lit(False)).alias("root")
     )
-    return thread_posts(spark, sf).join(maps, "post_id", "left")
+    return whole.withColumn("children", F.array_join("children", SEP))
 
 
 @query("thread_edges_from_maps", f"WITH {MESSAGES}, {EDGES} SELECT src, dst FROM edges")

@@ -189,12 +189,18 @@ def raw_text_tokens(spark, sf):
 # --- trained models (checked by invariants in the tests) ---------------------
 
 
+_MODELS: dict = {}
+
+
 def trained(spark, sf):
+    """Model, vectors and vocabulary; ten passes in chunks of a tenth, trained once per session and folder."""
     prepared = snapshot(corpus.with_tokens(texts(spark, sf), STOP), "tokens")
-    vocab = snapshot(corpus.vocabulary(prepared, 2, 0.5, 2000), "vocabulary")
+    vocab = snapshot(corpus.vocabulary(prepared, 2, 0.5, 5000), "vocabulary")
     vectors = topics.term_vectors(prepared.select("text_id", "subreddit", "author", "tokens"), vocab)
-    model = topics.train_topics(vectors, NUM_TOPICS, passes=2, max_updates=20)
-    return model, vectors, vocab
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = topics.train_topics(vectors, NUM_TOPICS, chunk_size=0.1)
+    return _MODELS[key], vectors, vocab
 
 
 @query("lda_topics")

@@ -71,7 +71,7 @@ def test_arrays_round_trip(spark, deep, rows):
     assert got["p"].comments_author[-1] is None and got["p"].comments_num == 9
     assert got["empty"].comments_bodies == [] and got["empty"].comments_num == 0
     parts = threads.assemble_posts(posts, deep, per_row=4)
-    assert sorted(r.comments_num for r in parts.collect()) == [0, 1, 4, 4]
+    assert sorted((r.comments_num, r.part, r.part_start) for r in parts.collect()) == [(0, 0, 0), (9, 0, 0), (9, 1, 4), (9, 2, 8)]
     exploded = threads.prepare_comments(nested)
     assert exploded.count() == 10
     assert exploded.filter("post_id = 'empty'").first().is_self_comment is False

@@ -127,10 +127,10 @@ def test_first_rows_win_over_names(spark):
     assert pick(names=["b"]) == ["b"] and pick(top_by_weight=1) == ["b"] and pick() == ["a", "b", "c"]
 
 
-def test_updates_are_bounded(spark):
+def test_chunks_are_rows_or_a_share(spark):
     df = corpus.with_tokens(spark.createDataFrame([(i, "alpha beta gamma") for i in range(30)], "text_id int, text string"))
     vocab = corpus.vocabulary(df, 1, 1.0, 10)
-    model = topics.train_topics(topics.term_vectors(df, vocab), 2, passes=2, chunk_size=1, max_updates=5)
-    assert model.vocabSize() == 3
+    model = topics.train_topics(topics.term_vectors(df, vocab), 2, passes=2, chunk_size=0.5, alpha=0.3, learn_alpha=False)
+    assert model.vocabSize() == 3 and list(model.estimatedDocConcentration()) == [0.3, 0.3]
     with pytest.raises(ValueError):
         topics.train_topics(topics.term_vectors(df.limit(0), vocab), 2)

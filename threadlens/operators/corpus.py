@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
 from threadlens.operators.ranking import running_total
+from threadlens.operators.threads import is_first_part, part_start
 from threadlens.runtime import snapshot
 
 # Phrase detection and vocabulary defaults.
@@ -25,30 +26,42 @@ def post_and_comment_texts(
 ) -> DataFrame:
     """Every post text and every comment text as its own document, in one pass over the posts.
 
-    ``part`` 0 is the post, 1, 2, ... its comments; ``text_id`` names the document.
+    ``part`` 0 is the post, 1, 2, ... its comments; ``text_id`` names the document. Posts
+    stored in parts give the same documents as posts in one row.
     """
-    bodies = F.array(F.col("post_title_and_text"))
+    first, start = is_first_part(posts), part_start(posts)
+    none = F.array().cast("array<string>")
+    bodies = F.when(first, F.array(F.col("post_title_and_text"))).otherwise(none)
     if comment_words_in:
-        bodies = F.concat(bodies, F.coalesce(F.col("comments_bodies"), F.array().cast("array<string>")))
-    rows = posts.select("post_id", *keep, F.posexplode(bodies).alias("part", "text"))
+        bodies = F.concat(bodies, F.coalesce(F.col("comments_bodies"), none))
+    place = F.col("_at") + start + F.when(first, 0).otherwise(1)
+    names = [c for c in ("part", "part_start") if c in posts.columns]
+    rows = posts.select("post_id", *keep, *names, F.posexplode(bodies).alias("_at", "text")).withColumn("_place", place)
+    rows = rows.select("post_id", *keep, F.col("_place").alias("part"), "text")
     return rows.withColumn("text_id", F.concat_ws("#", F.col("post_id").cast("string"), F.col("part").cast("string")))
 
 
 def authored_texts(posts: DataFrame) -> DataFrame:
-    """Documents with their writer; comments and comment authors pair up to the shorter list."""
-    comments = F.slice(
-        F.arrays_zip(F.col("comments_bodies").alias("text"), F.col("comments_author").alias("author")),
-        1,
-        F.least(F.size("comments_bodies"), F.size("comments_author")),
-    )
-    head = F.array(F.struct(F.col("post_title_and_text").alias("text"), F.col("post_author").alias("author")))
-    rows = posts.select("post_id", "subreddit", F.posexplode(F.concat(head, comments)).alias("part", "_t"))
+    """Documents with their writer; comments and comment authors pair up to the shorter list.
+
+    Posts without comment arrays give their own text; posts in parts give it once.
+    """
+    first, start = is_first_part(posts), part_start(posts)
+    writer = posts.schema["post_author"].dataType.simpleString()
+    kind = f"array<struct<text:string,author:{writer}>>"
+    shorter = F.least(F.size("comments_bodies"), F.size("comments_author"))
+    pairs = F.arrays_zip(F.col("comments_bodies").alias("text"), F.col("comments_author").alias("author")).cast(kind)
+    comments = F.coalesce(F.slice(pairs, 1, F.greatest(shorter, F.lit(0))), F.array().cast(kind))
+    head = F.when(first, F.array(F.struct(F.col("post_title_and_text").alias("text"), F.col("post_author").alias("author"))).cast(kind)).otherwise(F.array().cast(kind))
+    names = [c for c in ("part", "part_start") if c in posts.columns]
+    rows = posts.select("post_id", "subreddit", *names, F.posexplode(F.concat(head, comments)).alias("_at", "_t"))
+    rows = rows.withColumn("_place", F.col("_at") + start + F.when(first, 0).otherwise(1))
     return rows.select(
-        F.concat_ws("#", F.col("post_id").cast("string"), F.col("part").cast("string")).alias("text_id"),
+        F.concat_ws("#", F.col("post_id").cast("string"), F.col("_place").cast("string")).alias("text_id"),
         "subreddit",
         "_t.author",
         "_t.text",
-        F.when(F.col("part") == 0, "post").otherwise("comment").alias("kind"),
+        F.when(F.col("_place") == 0, "post").otherwise("comment").alias("kind"),
     )
 
 

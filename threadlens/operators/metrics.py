@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.operators.ranking import exact_percentiles
@@ -155,7 +155,10 @@ def post_sides(posts: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def post_sides_nested(posts: DataFrame) -> DataFrame:
-    """``post_sides`` from posts with comment arrays: computed in the row, no shuffle."""
+    """``post_sides`` from posts with comment arrays: computed in the row, no shuffle.
+
+    Posts stored in parts are reduced part by part, then merged to one row per post.
+    """
     zipped = F.arrays_zip(F.col("comments_author").alias("a"), F.col("comments_upvote_score").alias("s"))
     own = lambda c: F.coalesce(c.getField("a") == F.col("post_author"), F.lit(False))
     sides = {"other": F.filter(zipped, lambda c: ~own(c)), "own": F.filter(zipped, own)}
@@ -183,13 +186,33 @@ def post_sides_nested(posts: DataFrame) -> DataFrame:
 
     spread = {f"m2_{side}": squared_deviation(side) for side in sides}
     silent = F.coalesce(F.size("comments_author"), F.lit(0)) <= 0
-    return out.withColumns(
+    reduced = out.withColumns(
         {
             **spread,
             "rows_other": F.when(silent, 1).otherwise(F.col("rows_other")),
             **{c: F.when(silent, 0).otherwise(F.col(c)) for c in ("rows_own", "n_other", "n_own")},
         }
     ).drop("_other", "_own", "_scores_other", "_scores_own")
+    return merge_parts(reduced) if "part" in posts.columns else reduced
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """One row per post from the rows of its parts: sums, ranges and moments."""
+    post = Window.partitionBy("post_id")
+    whole, merged = {}, [F.min("score_min").alias("score_min"), F.max("score_max").alias("score_max")]
+    for side in SIDES:
+        n, mean = F.col(f"n_{side}"), F.col(f"mean_{side}")
+        whole[f"_mean_{side}"] = F.try_divide(F.sum(n * mean).over(post), F.sum(n).over(post))
+        away = mean - F.col(f"_mean_{side}")
+        merged += [
+            F.sum(f"rows_{side}").alias(f"rows_{side}"),
+            F.sum(n).alias(f"n_{side}"),
+            F.max(f"_mean_{side}").alias(f"mean_{side}"),
+            F.sum(F.col(f"m2_{side}") + n * F.coalesce(away * away, F.lit(0.0))).alias(f"m2_{side}"),
+        ]
+    measures = ("score_min", "score_max", *[f"{m}_{side}" for m in ("rows", "n", "mean", "m2") for side in SIDES])
+    kept = [c for c in ("post_id", "post_author", "subreddit", "comments_num", "post_upvote_ratio") if c in parts.columns]
+    return parts.select(*kept, *measures).withColumns(whole).groupBy(*kept).agg(*merged)
 
 
 def metrics_from_sides(sides: DataFrame) -> DataFrame:
@@ -231,38 +254,29 @@ def metrics_from_sides(sides: DataFrame) -> DataFrame:
         *[v.alias(f"y_{k}") for k, v in values.items()],
     )
 
-    sums: list[Column] = []
-
-    def moments(name: str, y: Column, weight: Column, extra: Column = F.lit(0.0)) -> None:
-        used = y.isNotNull()
-        sums.extend(
-            [
-                F.coalesce(F.sum(F.when(used, weight)), F.lit(0)).alias(f"w_{name}"),
-                F.sum(y * weight).alias(f"s_{name}"),
-                F.sum(y * y * weight + extra).alias(f"q_{name}"),
-            ]
-        )
-
+    scaled = snapshot(scaled, "scaled-sides")
+    cells = {}
     for side, label in zip(SIDES, METRIC_SIDES):
         for m in post_measures:
-            moments(f"{METRIC_MEASURES[m]}_{label}", F.col(f"y_{m}"), F.col(f"rows_{side}"))
-        moments(
-            f"comment_upvote_score_{label}",
-            F.col(f"y_score_{side}"),
-            F.col(f"n_{side}"),
-            F.col(f"y_dev_{side}"),
-        )
+            cells[f"{METRIC_MEASURES[m]}_{label}"] = (F.col(f"y_{m}"), F.col(f"rows_{side}"), F.lit(0.0))
+        cells[f"comment_upvote_score_{label}"] = (F.col(f"y_score_{side}"), F.col(f"n_{side}"), F.col(f"y_dev_{side}"))
 
-    grouped = scaled.groupBy("post_author").agg(*sums)
+    # Means first, then deviations from them: a difference of sums would cancel for large counts.
+    sums: list[Column] = []
+    for name, (y, weight, _) in cells.items():
+        w = F.coalesce(F.sum(F.when(y.isNotNull(), weight)), F.lit(0))
+        sums += [w.alias(f"w_{name}"), F.try_divide(F.sum(y * weight), w).alias(f"mean_{name}")]
+    means = snapshot(scaled.groupBy("post_author").agg(*sums), "author-means")
+    apart = scaled.join(means.select("post_author", *[f"mean_{name}" for name in cells]), "post_author")
+    squares = []
+    for name, (y, weight, inner) in cells.items():
+        away = y - F.col(f"mean_{name}")
+        squares.append(F.sum(away * away * weight + inner).alias(f"m2_{name}"))
+    grouped = means.join(apart.groupBy("post_author").agg(*squares), "post_author")
     metrics: list[Column] = []
-    for label in METRIC_MEASURES.values():
-        for side in METRIC_SIDES:
-            w, s, q = (F.col(f"{p}_{label}_{side}") for p in "wsq")
-            variance = F.try_divide(F.greatest(q - s * s / F.nullif(w, F.lit(0)), F.lit(0.0)), w - 1)
-            metrics += [
-                F.try_divide(s, w).alias(f"mean_{label}_{side}"),
-                F.when(w > 1, F.sqrt(variance)).alias(f"std_{label}_{side}"),
-            ]
+    for name in cells:
+        w = F.col(f"w_{name}")
+        metrics += [f"mean_{name}", F.when(w > 1, F.sqrt(F.try_divide(F.col(f"m2_{name}"), w - 1))).alias(f"std_{name}")]
     return finish_metrics(grouped.select("post_author", *metrics), participation(sides))
 
 

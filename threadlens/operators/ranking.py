@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from threadlens.runtime import snapshot
 
-# Spark keeps at most this many rows per group and map task before the shuffle
-# of a row_number filter (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Spark keeps ``n`` rows per group and map task before the shuffle of a row_number
+# filter, and one task gets them all: with many map tasks only a small ``n`` is safe.
+GROUP_LIMIT = 20
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

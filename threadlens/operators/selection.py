@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadlens.functions.posts import literal_structs
 from threadlens.functions.text import contains_text
 from threadlens.operators.ranking import first_per_group, first_row, rank_rows
+from threadlens.operators.threads import is_first_part, part_start
 
 # The default reference dates and the half width of their windows.
 DEFAULT_REFERENCE_DATES = ["25-05-2014", "26-05-2019", "09-06-2024"]
@@ -172,7 +173,10 @@ def limit_comments(df: DataFrame, n: int, post: str = "post_id", order: Sequence
 
 
 def limit_comment_arrays(df: DataFrame, n: int, arrays: Sequence[str]) -> DataFrame:
-    return df.withColumns({a: F.slice(F.col(a), 1, n) for a in arrays})
+    """At most ``n`` comments per post; the later parts of a post keep what the earlier ones leave."""
+    left = F.greatest(F.lit(n) - part_start(df), F.lit(0))
+    cut = df.withColumns({a: F.slice(F.col(a), F.lit(1), left) for a in arrays})
+    return cut.where(is_first_part(df) | (left > 0))
 
 
 # --- communities -----------------------------------------------------------

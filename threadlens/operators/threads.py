@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.posts import is_self_comment, sentiment_color, thread_node_size
@@ -11,14 +11,29 @@ from threadlens.runtime import snapshot
 COMMENT_ARRAYS = ["comments_author", "comments_upvote_score", "comments_bodies"]
 
 # A post with more comments than this is stored as several rows, numbered by
-# ``part``, so that no single row or task has to hold a whole hot thread.
+# ``part``, so that no single row or task has to hold a whole hot thread. Every row
+# carries ``part_start``, the place of its first comment in the thread, and the
+# ``comments_num`` of the whole post; what belongs to the post counts in part 0 only.
 COMMENTS_PER_ROW = 10_000
 
 
+def is_first_part(posts: DataFrame) -> Column:
+    """True on the row that stands for the post; tables without parts have one row per post."""
+    return F.coalesce(F.col("part"), F.lit(0)) == 0 if "part" in posts.columns else F.lit(True)
+
+
+def part_start(posts: DataFrame) -> Column:
+    """The thread place of the row's first comment."""
+    return F.coalesce(F.col("part_start"), F.lit(0)) if "part_start" in posts.columns else F.lit(0)
+
+
 def explode_comments(posts: DataFrame, arrays=COMMENT_ARRAYS) -> DataFrame:
-    """One row per comment from parallel arrays; a post without comments keeps one null row."""
+    """One row per comment from parallel arrays; a post without comments keeps one null row.
+
+    Later parts always hold comments, so a post in parts gives the same rows as a post in one row.
+    """
     zipped = F.explode_outer(F.arrays_zip(*[F.col(a) for a in arrays])).alias("_c")
-    kept = [c for c in posts.columns if c not in arrays]
+    kept = [c for c in posts.columns if c not in (*arrays, "part", "part_start")]
     return posts.select(*kept, zipped).select(*kept, *[F.col(f"_c.{a}").alias(a) for a in arrays])
 
 
@@ -55,7 +70,8 @@ def comment_arrays(comments: DataFrame, per_row: int = COMMENTS_PER_ROW) -> Data
     """The parallel comment arrays of each post, in thread order.
 
     ``comment_rank`` is the comment's place in its post, from 0. One row per post and
-    ``part`` of ``per_row`` places; the parts in order are the whole list.
+    ``part`` of ``per_row`` places; the parts in order are the whole list. ``part_start``
+    counts the comments before the part, ``comments_num`` those of the whole post.
     """
     fields = {
         "comments_bodies": F.col("body"),
@@ -72,18 +88,21 @@ def comment_arrays(comments: DataFrame, per_row: int = COMMENTS_PER_ROW) -> Data
     row = F.struct("comment_rank", *[value.alias(name) for name, value in present.items()])
     part = F.floor(F.col("comment_rank") / per_row).cast("int").alias("part")
     grouped = comments.groupBy("post_id", part).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    # one row per post and part from here on
+    thread = Window.partitionBy("post_id")
     return grouped.select(
         "post_id",
         "part",
+        F.coalesce(F.sum(F.size("_rows")).over(thread.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("part_start"),
         *[F.col(f"_rows.{name}").alias(name) for name in present],
-        F.size("_rows").alias("comments_num"),
+        F.sum(F.size("_rows")).over(thread).cast("int").alias("comments_num"),
     )
 
 
 def assemble_posts(posts: DataFrame, comments: DataFrame, per_row: int = COMMENTS_PER_ROW) -> DataFrame:
     """Posts with their comment arrays; a post without comments gets empty arrays."""
     arrays = comment_arrays(comments, per_row)
-    joined = posts.join(arrays, "post_id", "left").na.fill(0, ["part", "comments_num"])
+    joined = posts.join(arrays, "post_id", "left").na.fill(0, ["part", "part_start", "comments_num"])
     names = [f.name for f in arrays.schema.fields if f.dataType.typeName() == "array"]
     return joined.withColumns(
         {n: F.coalesce(F.col(n), F.array().cast(arrays.schema[n].dataType)) for n in names}
@@ -126,6 +145,30 @@ def comment_tree(comments: DataFrame, per_row: int = COMMENTS_PER_ROW) -> DataFr
     )
 
 
+def comment_graph(comments: DataFrame, per_row: int = COMMENTS_PER_ROW) -> DataFrame:
+    """The stored comment map, keyed by comment id: one row per post and part.
+
+    A node whose children lie in several parts is in each of those rows with the
+    children of that part, so no row holds more than a part and no key comes twice.
+    """
+    tree = comment_tree(comments, per_row)
+    own = F.floor(F.coalesce("comment_rank", F.lit(0)) / per_row).cast("int")
+    created = F.col("comments_created_utc") if "comments_created_utc" in comments.columns else F.lit(None)
+    node = F.struct(
+        F.col("comments_author").alias("author"),
+        F.when(F.col("root").isNull(), F.col("comment_id")).alias("id"),
+        "body",
+        created.cast("timestamp").alias("created_utc"),
+        "children",
+        "parent_id",
+        F.col("comments_upvote_score").alias("upvote_score"),
+        "root",
+    )
+    row = F.when(F.size("children") > 0, F.col("part")).otherwise(own)
+    entries = F.collect_list(F.struct("comment_id", node))
+    return tree.groupBy("post_id", row.alias("part")).agg(F.map_from_entries(entries).alias("comments_graph"))
+
+
 def thread_nodes(posts: DataFrame) -> DataFrame:
     """Node table of the thread graph from stored comment maps: posts, then comments."""
     post_nodes = posts.select(
@@ -163,11 +206,11 @@ def thread_edges_from_maps(posts: DataFrame) -> DataFrame:
     return thread_edges(comments.select("post_id", "comment_id", "parent_id"))
 
 
-def reply_levels(comments: DataFrame, max_rounds: int = 40) -> DataFrame:
+def reply_levels(comments: DataFrame) -> DataFrame:
     """Reply depth of every comment, 0 for a reply to the post itself.
 
     Each round doubles the distance every open comment has looked up, so a chain of
-    ``n`` replies takes about log2(n) joins. Comments whose chain never reaches the
+    ``n`` replies takes about log2(n) joins; each round writes open rows only. Comments whose chain never reaches the
     post (a missing or circular parent) get a null level.
     """
     top = F.col("parent_id").isNull() | (F.col("parent_id") == F.col("post_id"))
@@ -177,41 +220,34 @@ def reply_levels(comments: DataFrame, max_rounds: int = 40) -> DataFrame:
             "comment_id",
             F.col("parent_id").alias("up"),
             F.when(top, 0).otherwise(1).cast("long").alias("steps"),
-            top.alias("done"),
+            F.coalesce(top, F.lit(False)).alias("done"),
         ),
         "levels",
     )
-    open_rows = state.filter(~F.col("done")).count()
-    for _ in range(max_rounds):
-        if not open_rows:
-            break
-        above = state.select(
-            "post_id",
-            F.col("comment_id").alias("up"),
-            F.col("up").alias("_up"),
-            F.col("steps").alias("_steps"),
-            F.col("done").alias("_done"),
-        )
-        moved = (
-            state.filter(~F.col("done"))
-            .join(above, ["post_id", "up"])
-            .select(
-                "post_id",
-                "comment_id",
-                F.col("_up").alias("up"),
-                (F.col("steps") + F.col("_steps")).alias("steps"),
-                F.col("_done").alias("done"),
-            )
-        )
+    settled = [state.filter("done").select("post_id", "comment_id", "steps")]
+    still = state.filter(~F.col("done"))
+    open_rows = still.count()
+    while open_rows:
+        above = settled[-1].select("post_id", F.col("comment_id").alias("up"), F.lit(None).cast("string").alias("_up"), F.col("steps").alias("_steps"), F.lit(True).alias("_done"))
+        for earlier in settled[:-1]:
+            above = above.unionByName(earlier.select("post_id", F.col("comment_id").alias("up"), F.lit(None).cast("string").alias("_up"), F.col("steps").alias("_steps"), F.lit(True).alias("_done")))
+        above = above.unionByName(still.select("post_id", F.col("comment_id").alias("up"), F.col("up").cast("string").alias("_up"), F.col("steps").alias("_steps"), F.lit(False).alias("_done")))
         # An open comment whose parent is missing drops out of the join: it stays unreachable.
-        state = snapshot(state.filter("done").unionByName(moved), "levels")
-        left = state.filter(~F.col("done")).count()
+        moved = snapshot(
+            still.join(above, ["post_id", "up"]).select("post_id", "comment_id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done")),
+            "levels",
+        )
+        settled.append(moved.filter("done").select("post_id", "comment_id", "steps"))
+        still = moved.filter(~F.col("done"))
+        left = still.count()
         if left == open_rows:
             # Some reachable comment settles in every round, so the rest are circular.
             break
         open_rows = left
-    levels = state.filter("done").select("post_id", "comment_id", F.col("steps").alias("level"))
-    return comments.join(levels, ["post_id", "comment_id"], "left")
+    levels = settled[0]
+    for found in settled[1:]:
+        levels = levels.unionByName(found)
+    return comments.join(levels.withColumnRenamed("steps", "level"), ["post_id", "comment_id"], "left")
 
 
 def breadth_first(levels: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.storagelevel import StorageLevel
 
 from threadlens.functions import text as tx
 from threadlens.operators.ranking import first_row, rank_rows
+from threadlens.operators.threads import is_first_part
 from threadlens.runtime import one_row
 
 # Training defaults and the smallest probability reported.
@@ -22,12 +23,12 @@ SEED = 17
 MIN_PROBABILITY = 0.01
 
 
-def vocabulary_terms(vocab: DataFrame, limit: int = 1_000_000) -> list[str]:
-    """Terms by id on the driver; the vocabulary is bounded by its ``keep_n``."""
-    rows = vocab.select("term_id", "term").orderBy("term_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a vocabulary of more than {limit} terms has to be cut with keep_n first")
-    return [r.term for r in rows]
+def vocabulary_terms(vocab: DataFrame) -> list[str]:
+    """Terms by id on the driver, where the model itself holds topics x terms.
+
+    What bounds them is the vocabulary's ``keep_n``: cut a vocabulary with it before making vectors.
+    """
+    return [r.term for r in vocab.select("term_id", "term").orderBy("term_id").collect()]
 
 
 def term_vectors(texts: DataFrame, vocab: DataFrame, tokens: str = "tokens", name: str = "features") -> DataFrame:
@@ -44,17 +45,17 @@ def train_topics(
     vectors: DataFrame,
     num_topics: int = NUM_TOPICS,
     passes: int = PASSES,
-    chunk_size: int = CHUNK_SIZE,
-    max_updates: int = 200,
+    chunk_size: float = CHUNK_SIZE,
     learn_alpha: bool = True,
+    alpha: float | Sequence[float] | None = None,
     online: bool = True,
     seed: int = SEED,
 ):
     """Online variational LDA over term vectors.
 
-    Small corpora get ``passes * ceil(N / chunk_size)`` updates of ``chunk_size`` texts.
-    Above ``max_updates`` the chunks grow instead, so every text is still seen about
-    ``passes`` times while the number of driver round trips stays bounded.
+    ``passes * ceil(N / chunk_size)`` updates of about ``chunk_size`` texts, one driver round
+    trip each; a ``chunk_size`` below 1 is a share of the corpus. ``alpha`` is a prior for all
+    topics or one per topic; without it Spark's default is the start. ``learn_alpha`` updates it.
     """
     from pyspark.ml.clustering import LDA
 
@@ -63,7 +64,8 @@ def train_topics(
         n = corpus.count()
         if not n:
             raise ValueError("no texts to train on")
-        updates = min(passes * math.ceil(n / chunk_size), max_updates) if online else passes
+        chunk = max(1, math.ceil(n * chunk_size)) if chunk_size < 1 else chunk_size
+        updates = passes * math.ceil(n / chunk) if online else passes
         share = min(1.0, passes / updates) if online else 1.0
         lda = LDA(
             k=num_topics,
@@ -74,6 +76,8 @@ def train_topics(
             optimizeDocConcentration=learn_alpha,
             featuresCol="features",
         )
+        if alpha is not None:
+            lda.setDocConcentration([float(alpha)] * num_topics if isinstance(alpha, int | float) else [float(a) for a in alpha])
         return lda.fit(corpus)
     finally:
         corpus.unpersist()
@@ -130,7 +134,14 @@ def topic_word_arrays(words: DataFrame) -> DataFrame:
 
 
 def community_tokens(posts: DataFrame) -> DataFrame:
-    """Lower-case title and comments of a post as tokens, nothing removed."""
+    """Lower-case title and comments of a post as tokens, nothing removed; one row per post.
+
+    The text of a post is one document, so the parts of a long thread come together here.
+    """
+    if "part" in posts.columns:
+        rows = F.sort_array(F.collect_list(F.struct("part", F.coalesce("comments_bodies", F.array().cast("array<string>")).alias("bodies"))))
+        whole = posts.groupBy("post_id").agg(F.flatten(rows.getField("bodies")).alias("comments_bodies"))
+        posts = posts.where(is_first_part(posts)).drop("comments_bodies", "part", "part_start").join(whole, "post_id")
     title = F.lower(F.coalesce("post_title", F.lit("")))
     bodies = F.lower(F.array_join(F.coalesce("comments_bodies", F.array().cast("array<string>")), " "))
     return posts.withColumn("tokens", tx.raw_text_tokens(F.concat_ws(" ", title, bodies)))

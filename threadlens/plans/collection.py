@@ -82,17 +82,16 @@ def collect_posts(
         hits = selection.limit_results(hits, post_limit, ["subreddit", "lang", "term"], ["created_utc", "id"])
     hits = hits.withColumn("_at", px.epoch_to_timestamp("created_utc"))
     hits = selection.created_between(hits, start, end, "_at").drop("_at")
-    hits = hits.withColumn("_lang", px.F.lit(None).cast("string")) if not stopwords_by_language else hits.withColumn(
-        "_lang", _guess("title", stopwords_by_language)
-    )
-    hits = selection.in_language(hits, "_lang", F.col("lang")).drop("_lang")
+    if stopwords_by_language:  # without a table of languages no text can be guessed, and none is dropped
+        hits = hits.withColumn("_lang", _guess("title", stopwords_by_language))
+        hits = selection.in_language(hits, "_lang", F.col("lang")).drop("_lang")
     hits = selection.first_seen(hits, ["lang_rank", "term_rank"], "id")
     if seen is not None:
         hits = selection.unseen_posts(hits, seen.select(F.col("post_id").alias("id")), "id")
     posts = flatten_submissions(hits, F.col("lang"), F.col("term"))
 
     rows = flatten_comments(comments)
-    if check_comments_language:
+    if check_comments_language and stopwords_by_language:
         languages = posts.select("post_id", "post_language")
         rows = rows.join(languages, "post_id").withColumn("_lang", _guess("body", stopwords_by_language))
         rows = selection.in_language(rows, "_lang", F.col("post_language")).drop("_lang", "post_language")

@@ -12,15 +12,11 @@ frame is written once as Parquet under ``spark.checkpoint.dir`` and read back, s
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 _written: list[str] = []
-_local_folder: dict[str, str] = {}
 
 
 def session(app_name: str = "threadlens", master: str | None = None, **conf) -> SparkSession:
@@ -41,18 +37,17 @@ def session(app_name: str = "threadlens", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named in ``spark.checkpoint.dir``, which every executor has to reach.
+
+    Local sessions without the setting, as in tests, use a folder of their own under the warehouse.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folder:
-        folder = tempfile.mkdtemp(prefix="threadlens-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _local_folder[app] = folder
-    return _local_folder[app]
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/_snapshots/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -69,15 +64,6 @@ def snapshot(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Share a scan of fewer splits than cores among all cores, before heavy work per row.
-
-    Small files only: a scan that already has a split for every core stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def one_row(df: DataFrame, **aggregates: Column) -> dict:
     """A few global aggregates as plain values: one row crosses to the driver.
 

@@ -39,6 +39,8 @@ POSTS = T.StructType(
         T.StructField("comments_created_utc", T.ArrayType(T.TimestampType())),
         T.StructField("comments_num", T.IntegerType()),
         T.StructField("comments_graph", T.MapType(T.StringType(), COMMENT_NODE)),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("part_start", T.IntegerType()),
     ]
 )
 

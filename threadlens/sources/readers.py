@@ -13,16 +13,18 @@ def _nested(schema: T.StructType) -> list[T.StructField]:
     return [f for f in schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
-def read_posts(spark: SparkSession, path, format: str = "parquet", lines: bool = False) -> DataFrame:
+def read_posts(spark: SparkSession, path, format: str = "parquet", array: bool = False) -> DataFrame:
     """Posts from Parquet, JSON or CSV.
 
-    ``json`` reads one array of records per file, or one record per line with
-    ``lines`` (which splits large files). ISO text becomes a timestamp by schema.
+    ``json`` reads one record per line, as ``write_posts`` writes it and as large files
+    split; with ``array`` it reads one array of records per file. ISO text becomes a
+    timestamp by schema. A CSV file with line breaks in its fields is one task: keep
+    such files small.
     """
     if format == "parquet":
         return spark.read.schema(POSTS).parquet(path)
     if format == "json":
-        return spark.read.schema(POSTS).option("multiLine", not lines).json(path)
+        return spark.read.schema(POSTS).option("multiLine", array).json(path)
     if format == "csv":
         nested = {f.name: f.dataType for f in _nested(POSTS)}
         flat = T.StructType(

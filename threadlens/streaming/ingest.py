@@ -39,7 +39,8 @@ def live_counts(
 ) -> DataFrame:
     """Counts per key over tumbling event time; rows later than ``delay`` are dropped.
 
-    In append mode a window comes out once, when the watermark has passed its end.
+    With ``append_to`` a window comes out once, when the watermark has passed its end; with
+    ``update_to`` it comes out whenever it changes, so open windows are seen as well.
     """
     counted = (
         stream.withWatermark(created, delay)
@@ -66,3 +67,25 @@ def append_to(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start(path)
+
+
+def update_to(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Checkpointed updates: each micro-batch writes the rows it changed to a folder of its own.
+
+    A batch that is run again after a failure replaces its folder. ``latest`` reads the result.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def latest(updates: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
+    """The last written row of every key."""
+    others = [c for c in updates.columns if c not in (*keys, batch)]
+    last = F.max_by(F.struct(*others), F.col(batch)).alias("_row")
+    return updates.groupBy(*keys).agg(last).select(*keys, "_row.*")
