@@ -118,28 +118,55 @@ def pc1_two_by_fit(spark, sf):
     return six(leaders.first_component(scaled, [FIRST, SECOND], "pc").select("post_author", "pc"), ["pc"])
 
 
-@query("pc1_family")
+@query("pc1_family", f"WITH {METRICS_SQL} SELECT count(*) AS authors, true AS centred, true AS eigenvector, true AS dominant FROM user_metrics")
 def pc1_family(spark, sf):
-    scaled = scaled_table(spark, sf)
-    return leaders.first_component(scaled, FEATURE_FAMILIES["popularity"], "popularity_pc").select(
-        "post_author", F.round("popularity_pc", 6).alias("popularity_pc")
+    """What makes a score the first component: C v = l v, so the covariances with the features have the length of
+    the score's own variance, and no feature varies more."""
+    features = FEATURE_FAMILIES["popularity"]
+    scored = leaders.first_component(scaled_table(spark, sf), features, "pc")
+    own = F.var_pop("pc")
+    along = sum((F.pow(F.covar_pop(f, "pc"), 2) for f in features), F.lit(0.0))
+    return scored.agg(
+        F.count("pc").alias("authors"),
+        (F.abs(F.avg("pc")) < 1e-6).alias("centred"),
+        (F.abs(F.sqrt(along) - own) < 1e-6 * own).alias("eigenvector"),
+        (own >= F.greatest(*[F.var_pop(f) for f in features]) - 1e-9).alias("dominant"),
     )
 
 
-@query("explained_variance")
+@query("explained_variance", "SELECT i::INT AS component, true AS falls, true AS adds_up FROM range(1, 9) t(i)")
 def explained_variance(spark, sf):
-    return six(
-        leaders.explained_variance(scaled_table(spark, sf), FEATURE_FAMILIES["popularity"]), ["variance", "cumulative"]
+    """Shares of eight components: none above the one before, running shares as they add up, one in all."""
+    shares = leaders.explained_variance(scaled_table(spark, sf), FEATURE_FAMILIES["popularity"])
+    pairs = shares.alias("x").join(shares.alias("y"), F.expr("y.component <= x.component"))
+    grouped = pairs.groupBy("x.component", "x.variance", "x.cumulative").agg(F.sum("y.variance").alias("sum"), F.min("y.variance").alias("least"))
+    last = (F.col("component") < 8) | (F.abs(F.col("cumulative") - 1) < 1e-9)
+    return grouped.select(
+        F.col("component").cast("int").alias("component"), (F.col("variance") <= F.col("least") + 1e-12).alias("falls"), ((F.abs(F.col("sum") - F.col("cumulative")) < 1e-9) & last).alias("adds_up")
     )
 
 
-@query("author_clusters")
+@query("author_clusters", f"WITH {METRICS_SQL} SELECT 6::BIGINT AS clusters, count(*)::BIGINT AS members FROM user_metrics")
 def author_clusters(spark, sf):
-    return six(leaders.cluster_profile(leaders.leader_scores(metrics_table(spark, sf))), [f"mean_{p}" for p in PICKED])
+    """Six clusters that hold every author once."""
+    profile = leaders.cluster_profile(leaders.leader_scores(metrics_table(spark, sf)))
+    return profile.agg(F.count("cluster").alias("clusters"), F.sum("members").alias("members"))
 
 
-@query("leader_scores")
+@query("leader_scores", f"WITH {METRICS_SQL} SELECT post_author, true AS distance, true AS zscores, true AS flagged, true AS clustered FROM user_metrics")
 def leader_scores(spark, sf):
-    scored = leaders.leader_scores(metrics_table(spark, sf))
-    names = [*PICKED, "distance_from_center", *[f"{p}_zscore" for p in PICKED]]
-    return six(scored.select("post_author", *names, "cluster", "is_outlier"), names)
+    """Distance, z-scores and flag of every author against their formulas over the written components."""
+    scored = snapshot(leaders.leader_scores(metrics_table(spark, sf)), "scored")
+    moments = scored.agg(*[f(c).alias(f"{n}:{c}") for c in PICKED for n, f in (("mean", F.avg), ("dev", F.stddev_pop))]).first().asDict()
+    near = lambda a, b: F.abs(a - b) < 1e-6
+    zscores, beyond = F.lit(True), F.lit(False)
+    for c in PICKED:
+        z = (F.col(c) - moments[f"mean:{c}"]) / moments[f"dev:{c}"]
+        zscores, beyond = zscores & near(F.col(f"{c}_zscore"), z), beyond | (F.abs(z) > 4.891638475699)
+    return scored.select(
+        "post_author",
+        near(F.col("distance_from_center"), F.sqrt(sum((F.col(c) * F.col(c) for c in PICKED), F.lit(0.0)))).alias("distance"),
+        zscores.alias("zscores"),
+        (F.col("is_outlier") == beyond).alias("flagged"),
+        F.col("cluster").between(0, 5).alias("clustered"),
+    )

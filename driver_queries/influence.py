@@ -125,7 +125,7 @@ def influence_bonuses(spark, sf):
     return scored.select("author", "topic_id", "initiated", F.round("score", 6).alias("score"))
 
 
-@query("author_influence_trained")
+@query("author_influence_trained", "SELECT true AS gapless, true AS falling, true AS known")
 def author_influence_trained(spark, sf):
     from driver_queries.topic_models import trained
     from threadlens.operators import topics
@@ -139,4 +139,10 @@ def author_influence_trained(spark, sf):
         0.2,
         count_mode="kind",
     )
-    return found.select("author", "topic_id", "rank", F.round("score", 4).alias("score"))
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "score")))
+    by_topic = found.groupBy("topic_id").agg(ranked.getField("rank").alias("ranks"), ranked.getField("score").alias("scores"), F.bool_and(F.col("author").between(0, 49)).alias("known"))
+    return by_topic.agg(
+        F.bool_and(F.transform("ranks", lambda r: r.cast("int")) == F.sequence(F.lit(1), F.size("ranks"))).alias("gapless"),
+        F.bool_and(F.col("scores") == F.reverse(F.array_sort("scores"))).alias("falling"),
+        F.bool_and("known").alias("known"),
+    )

@@ -175,7 +175,7 @@ def collected_posts(spark, sf):
     )
 
 
-@query("topic_run_reloaded")
+@query("topic_run_reloaded", "SELECT doc_id AS text_id, true AS same FROM documents")
 def topic_run_reloaded(spark, sf):
     """A saved model, its vocabulary and parameters, loaded and applied again."""
     from driver_queries.topic_models import trained
@@ -187,4 +187,7 @@ def topic_run_reloaded(spark, sf):
     topics.save_topic_run(path, model, texts, vocab, corpus.bag_of_words(texts, vocab), {"num_topics": 4})
     again, words = topics.load_topic_run(spark, f"{path}/model", f"{path}/vocab")
     loaded = topics.term_vectors(spark.read.parquet(f"{path}/texts"), words)
-    return topics.document_topics(again, loaded).withColumn("prob", F.round("prob", 4))
+    shares = lambda df: df.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("topic_id", F.round("prob", 3).alias("prob")))).alias("shares"))
+    live, back = shares(topics.document_topics(model, vectors)), shares(topics.document_topics(again, loaded)).withColumnRenamed("shares", "again")
+    apart = F.exists(F.zip_with("shares", "again", lambda a, b: F.abs(a["prob"] - b["prob"]) > 0.002), lambda x: x)
+    return live.join(back, "text_id").select("text_id", ((F.size("shares") == F.size("again")) & ~apart).alias("same"))

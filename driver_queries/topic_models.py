@@ -203,20 +203,42 @@ def trained(spark, sf):
     return _MODELS[key], vectors, vocab
 
 
-@query("lda_topics")
+@query("lda_topics", "SELECT doc_id AS text_id, true AS whole FROM documents")
 def lda_topics(spark, sf):
+    """The shares of every text: each from 0.01 to 1, and what is missing to 1 fits the ones left out."""
     model, vectors, _ = trained(spark, sf)
-    return topics.document_topics(model, vectors).withColumn("prob", F.round("prob", 4))
+    found = topics.document_topics(model, vectors).groupBy("text_id").agg(F.sum("prob").alias("sum"), F.min("prob").alias("least"), F.count("prob").alias("n"))
+    gone = 0.01 * (NUM_TOPICS - F.col("n"))
+    return found.select("text_id", ((F.col("least") >= 0.01) & (F.col("sum") <= 1 + 1e-6) & (F.col("sum") >= 1 - gone - 1e-6)).alias("whole"))
 
 
-@query("topic_words")
+@query("topic_words", f"SELECT i::INT AS topic_id, 10::BIGINT AS words, true AS ranked, true AS known FROM range(0, {NUM_TOPICS}) t(i)")
 def topic_words(spark, sf):
+    """Ten different words of the vocabulary per topic, by falling probability."""
     model, _, vocab = trained(spark, sf)
-    return topics.topic_words(model, vocab).withColumn("prob", F.round("prob", 6))
+    listed = topics.topic_words(model, vocab).join(vocab.select(F.col("term").alias("word"), F.lit(1).alias("known")), "word", "left")
+    row = F.sort_array(F.collect_list(F.struct("rank", "prob"))).getField("prob")
+    grouped = listed.groupBy("topic_id").agg(F.count_distinct("word").alias("words"), row.alias("probs"), (F.count("known") == F.count("word")).alias("known"))
+    return grouped.select(F.col("topic_id").cast("int").alias("topic_id"), "words", (F.col("probs") == F.reverse(F.array_sort("probs"))).alias("ranked"), "known")
 
 
-@query("community_topic_weights")
+@query("community_topic_weights", f"WITH {TEXTS} SELECT subreddit, count(*) AS texts, true AS whole FROM texts GROUP BY 1")
 def community_topic_weights(spark, sf):
+    """The weights of a community add up to its number of texts, less the shares left out."""
     model, vectors, _ = trained(spark, sf)
     doc_topics = topics.document_topics(model, vectors, ["text_id", "subreddit"])
-    return topics.community_topic_weights(doc_topics).withColumn("weight", F.round("weight", 4))
+    weights = topics.community_topic_weights(doc_topics).groupBy("subreddit").agg(F.sum("weight").alias("weight"))
+    counts = doc_topics.groupBy("subreddit").agg(F.count_distinct("text_id").alias("texts"), F.count("prob").alias("shares"))
+    gone = 0.01 * (NUM_TOPICS * F.col("texts") - F.col("shares"))
+    whole = (F.col("weight") <= F.col("texts") + 1e-6) & (F.col("weight") >= F.col("texts") - gone - 1e-6)
+    return weights.join(counts, "subreddit").select("subreddit", "texts", whole.alias("whole"))
+
+
+@query("word_weights_trained", f"SELECT i::INT AS topic_id, true AS whole FROM range(0, {NUM_TOPICS}) t(i)")
+def word_weights_trained(spark, sf):
+    """Every word's weight in every topic of a trained model: they add up to 1, one per vocabulary word."""
+    model, _, vocab = trained(spark, sf)
+    size = vocab.count()
+    weights = topics.all_word_weights(model, vocab)
+    grouped = weights.groupBy("topic_id").agg(F.sum("prob").alias("sum"), F.count_distinct("word").alias("n"))
+    return grouped.select(F.col("topic_id").cast("int").alias("topic_id"), ((F.abs(F.col("sum") - 1) < 1e-6) & (F.col("n") == size)).alias("whole"))

@@ -229,12 +229,16 @@ def apply_phrases(texts: DataFrame, phrases: DataFrame, key: str = "text_id") ->
 def with_phrases(
     texts: DataFrame, min_count: int = PHRASE_MIN_COUNT, threshold: float = PHRASE_THRESHOLD, key: str = "text_id"
 ) -> DataFrame:
-    """Two passes: pairs first, then pairs of what the first pass made."""
-    texts = snapshot(texts, "tokens")
+    """Two passes: pairs first, then pairs of what the first pass made.
+
+    Only keys and tokens go through the passes; other columns are joined at the end.
+    """
+    whole, others = texts, [c for c in texts.columns if c not in (key, "tokens")]
+    texts = snapshot(texts.select(key, "tokens"), "tokens")
     for step in ("bigrams", "trigrams"):
         accepted = snapshot(phrase_scores(texts, min_count, threshold).select("a", "b"), "phrases")
         texts = snapshot(apply_phrases(texts, accepted, key), step)
-    return texts
+    return whole.select(key, *others).join(texts, key).select(*whole.columns) if others else texts
 
 
 # --- vocabulary and bags of words -------------------------------------------
@@ -307,6 +311,8 @@ def with_language(
 def sentiment_labels(df: DataFrame, lexicon: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
     """Sentiment of each text from a (word, valence) lexicon; no known word is unknown."""
     rows = df.select(key, F.explode(tx.plain_tokens(F.regexp_replace(text, r"[^\p{L}\p{N}']+", " "))).alias("word"))
+    # written once, so that the planner knows its size and does not move the tokens to it
+    lexicon = snapshot(lexicon, "lexicon")
     sums = rows.join(lexicon, "word").groupBy(key).agg(F.sum("valence").alias("_total"))
     joined = df.join(sums, key, "left").withColumn("compound", tx.compound_valence("_total"))
     return joined.withColumn("sentiment", tx.sentiment_class("compound")).drop("_total")

@@ -39,8 +39,7 @@ def keyword_hits(assignments: DataFrame, words: DataFrame) -> DataFrame:
     """
     lists = snapshot(topic_word_arrays(words).select("topic_id", "words"), "topic-words")
     joined = assignments.join(lists, "topic_id", "left")
-    lowered = F.lower("text")
-    hits = F.size(F.filter("words", lambda w: F.contains(lowered, w)))
+    hits = tx.bind(F.lower("text"), lambda lowered: F.size(F.filter("words", lambda w: F.contains(lowered, w))))
     return joined.withColumn("keywords", F.when(F.col("words").isNull(), 0).otherwise(hits)).drop("words")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.functions.posts import literal_structs
-from threadlens.functions.text import contains_text
+from threadlens.functions.text import bind, contains_text
 from threadlens.operators.ranking import first_per_group, first_row, rank_rows
 from threadlens.operators.threads import is_first_part, part_start
 
@@ -138,20 +138,23 @@ def search_terms(
     The terms are configuration and travel as a literal array: one pass over the text,
     no join. Matching ignores case.
     """
-    rows = term_rows(terms)
-    lowered = {c: F.lower(F.col(c)) for c in texts}
-
-    def found(term: Column) -> Column:
-        needle = F.lower(term.getField("term"))
-        hit = F.lit(False)
-        for c in texts:
-            hit = hit | F.coalesce(F.contains(lowered[c], needle), F.lit(False))
-        for c in arrays:
-            anywhere = F.exists(F.col(c), lambda body: F.contains(F.lower(body), needle))
-            hit = hit | F.coalesce(anywhere, F.lit(False))
-        return hit
-
-    hits = F.explode(F.filter(literal_structs(rows), found)).alias("_term")
+    rows = [{**row, "needle": row["term"].lower()} for row in term_rows(terms)]
+    fields = [F.lower(F.col(c)).alias(f"t{i}") for i, c in enumerate(texts)]
+    fields += [F.transform(F.col(c), F.lower).alias(f"a{i}") for i, c in enumerate(arrays)]
+
+    def found(low: Column):
+        def any_text(term: Column) -> Column:
+            needle, hit = term.getField("needle"), F.lit(False)
+            for i in range(len(texts)):
+                hit = hit | F.coalesce(F.contains(low.getField(f"t{i}"), needle), F.lit(False))
+            for i in range(len(arrays)):
+                hit = hit | F.coalesce(F.exists(low.getField(f"a{i}"), lambda body: F.contains(body, needle)), F.lit(False))
+            return hit
+
+        return F.filter(literal_structs(rows), any_text)
+
+    # the texts are lower-cased once per row, not once per term
+    hits = F.explode(bind(F.struct(*fields), found)).alias("_term")
     return df.select("*", hits).select(*df.columns, "_term.lang", "_term.term", "_term.lang_rank", "_term.term_rank")
 
 
