@@ -8,7 +8,7 @@ from importlib import import_module
 
 from driver_queries.registry import ORACLES, QUERIES
 
-MODULES = ["selection", "author_metrics", "author_leaders", "texts", "thread_shapes", "topic_models", "influence", "live", "storage"]
+MODULES = ["selection", "author_metrics", "author_leaders", "texts", "thread_shapes", "topic_models", "influence", "live", "storage", "small_parts"]
 
 
 def load() -> tuple[dict, dict]:

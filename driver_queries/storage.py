@@ -130,7 +130,7 @@ def store_details(spark, sf):
       WHEN fr = greatest(en, fr, de) THEN 'fr' ELSE 'de' END AS detected FROM g),
     kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS rn FROM hits JOIN d USING (doc_id) WHERE detected = wanted)
     SELECT 'd' || doc_id AS post_id, source AS subreddit, wanted AS post_language, term AS search_term, 'link' AS post_type,
-      coalesce(n, 0)::INT AS comments_num, md5(text || ' ' || text) AS text
+      coalesce(n, 0)::INT AS comments_num, md5(text || ' ' || text) AS text, coalesce(n, 0)::INT AS nodes
     FROM kept LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) c ON conv_id = doc_id WHERE rn = 1""",
 )
 def collected_posts(spark, sf):
@@ -172,6 +172,7 @@ def collected_posts(spark, sf):
     return found.select(
         "post_id", "subreddit", "post_language", "search_term", "post_type", "comments_num",
         F.md5("post_title_and_text").alias("text"),
+        F.size(F.filter(F.map_values(F.coalesce("comments_graph", F.create_map().cast(found.schema["comments_graph"].dataType))), lambda node: node["id"].isNotNull())).alias("nodes"),
     )
 
 

@@ -61,8 +61,7 @@ def epoch_to_date(seconds: str | Column) -> Column:
 
 def parse_day(text: str | Column, strict: bool = False) -> Column:
     """``DD-MM-YYYY`` text as a timestamp; bad input is null, or an error when strict."""
-    parse = F.to_timestamp if strict else F.try_to_timestamp
-    return parse(col(text), F.lit(DAY_FIRST))
+    return F.to_timestamp(col(text), DAY_FIRST) if strict else F.try_to_timestamp(col(text), F.lit(DAY_FIRST))
 
 
 def parse_iso(text: str | Column, is_timestamp: bool = False) -> Column:

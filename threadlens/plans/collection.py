@@ -69,7 +69,7 @@ def collect_posts(
     check_comments_language: bool = False,
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Search, filter, de-duplicate and assemble posts with their comment arrays.
+    """Search, filter, de-duplicate and assemble posts with their comment arrays and comment map.
 
     The result limit per (community, term) is taken before the filters, as a search
     would; the first search to find a post gives its language and term.
@@ -97,7 +97,19 @@ def collect_posts(
         rows = selection.in_language(rows, "_lang", F.col("post_language")).drop("_lang", "post_language")
     if comment_limit is not None:
         rows = selection.limit_comments(rows, comment_limit)
-    return threads.assemble_posts(posts, rows)
+    graph = threads.comment_graph(rows)
+    return threads.assemble_posts(posts, rows).join(graph, ["post_id", "part"], "left")
+
+
+def collected_details(posts: DataFrame, details: DataFrame, *inaccessible: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a collection hands over: posts, and details with their counts, both without inaccessible communities.
+
+    A post stored in parts counts once.
+    """
+    if inaccessible:
+        posts, details = (selection.drop_communities(df, *inaccessible) for df in (posts, details))
+    whole = posts.where(threads.is_first_part(posts))
+    return posts, selection.add_type_counts(selection.add_post_counts(details, whole), whole)
 
 
 def _guess(text: str, stopwords_by_language: Mapping[str, Sequence[str]]) -> Column:

@@ -29,16 +29,25 @@ def model_topics(
     no_above: float = corpus.NO_ABOVE,
     keep_n: int = corpus.KEEP_N,
     comment_words_in: bool = True,
+    patterns: Sequence[str] = (),
+    normal_forms: DataFrame | None = None,
+    text_preprocessing_type: str | None = None,
+    chunk_size: float = topics.CHUNK_SIZE,
+    alpha: float | Sequence[float] | None = None,
 ) -> TopicRun:
+    """Posts to a trained model, its texts, vocabulary, bags of words and topic words."""
     texts, vocab, bow = corpus.prepare_corpus(
         posts,
         stopwords,
+        patterns,
+        normal_forms,
+        text_preprocessing_type,
         comment_words_in=comment_words_in,
         no_below=no_below,
         no_above=no_above,
         keep_n=keep_n,
     )
-    model = topics.train_topics(topics.term_vectors(texts, vocab), num_topics, passes)
+    model = topics.train_topics(topics.term_vectors(texts, vocab), num_topics, passes, chunk_size, alpha=alpha)
     words = snapshot(topics.topic_words(model, vocab, num_words), "topic-words")
     return TopicRun(model, texts, vocab, bow, words)
 
