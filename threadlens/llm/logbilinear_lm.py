@@ -32,7 +32,7 @@ from threadlens.runtime import snapshot
 
 CLASSES, WIDTH = 512, 24
 SAMPLE_DOCS, EPOCHS, BATCH, NOISE, RATE = 2000, 2, 2048, 128, 0.05
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 6_000_000
 #: No word has white space in it, so this names the end token.
 END = " "
 OPEN, LN10 = 0, float(np.log(10))
@@ -165,13 +165,12 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     listed = cut.select("slice", F.posexplode(F.arrays_zip("words", "counts"))).select("slice", "pos", F.col("col.words").alias("word"), F.col("col.counts").alias("n"))
     counts = snapshot(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("word")).first())
-    # the open class and at most ``classes`` - 1 words: a fixed number of rows
+    # the open class and at most ``classes`` - 1 words: a fixed number of rows, below 65,536
     top = counts.orderBy(F.desc("c"), "word").limit(classes - 1).collect()
     number = {r["word"].encode("utf-8", "surrogatepass"): i + 1 for i, r in enumerate(top)}
     open_tokens, open_words = n - sum(r["c"] for r in top), v - len(top)
     near, far, total = fit(_sample(docs, held, number, text, key, sample_docs), len(top) + 1).scores()
-    numbered = {word.decode("utf-8", "surrogatepass"): i for word, i in number.items()}
-    end = numbered.get(END, OPEN)
+    end = number.get(END.encode(), OPEN)
     base_log, open_log = np.log10(n + v + 1), np.log10(open_tokens + open_words + 1)
 
     names = ("key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -180,13 +179,12 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     def run(whole: pa.Table, known: pa.Table) -> pa.Table:
         made = []
         for row in range(whole.num_rows):
-            count = np.zeros(known.num_rows, dtype=np.int64)
-            count[known["pos"].to_numpy()] = known["c"].to_numpy()
+            count, of_word = np.zeros(known.num_rows, dtype=np.int64), np.zeros(known.num_rows, dtype=np.int64)
+            found = known["found"].to_numpy()
+            count[known["pos"].to_numpy()], of_word[known["pos"].to_numpy()] = found >> 16, found & 0xFFFF
             keys, held_out, lengths = (whole[x][row].as_py() for x in ("keys", "held", "lengths"))
             size = sum(lengths)
             ids = np.frombuffer(pa.decompress(whole["ids"][row].as_py(), 4 * size, codec="zstd", asbytes=True), dtype=np.int32)
-            words = whole["words"][row].as_py()
-            of_word = np.fromiter((numbered.get(w, OPEN) for w in words), dtype=np.int64, count=len(words))
             logs = np.log10(count + 1)
             next_, first = of_word[ids], np.cumsum(lengths) - lengths
             before = np.concatenate([[end], next_[:-1]])
@@ -199,6 +197,9 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
             made.append(pa.table([keys, held_out, lengths, add((count[ids] > 0).astype(np.int64)), [int(n)] * len(keys), add(logs[ids] - base_log), add(log_p)], schema=schema))
         return pa.concat_tables(made) if made else schema.empty_table()
 
-    met = listed.select("slice", "pos", "word").join(counts, "word", "left").select(F.col("slice").alias("part"), "pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
-    scored = cut.drop("counts").groupBy("slice").cogroup(met.groupBy("part")).applyInArrow(run, "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # a word's count and class go back to its slice in one number
+    named = docs.sparkSession.createDataFrame([(r["word"], i + 1) for i, r in enumerate(top)], "word string, class long")
+    known_words = counts.join(named, "word", "left").select("word", F.shiftleft("c", 16).bitwiseOR(F.coalesce("class", F.lit(OPEN).cast("long"))).alias("found"))
+    met = listed.select("slice", "pos", "word").join(known_words, "word", "left").select(F.col("slice").alias("part"), "pos", F.coalesce("found", F.lit(0).cast("long")).alias("found"))
+    scored = cut.drop("counts", "words").groupBy("slice").cogroup(met.groupBy("part")).applyInArrow(run, "key string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select(F.col("key").cast(docs.schema[key].dataType).alias(key), *names[1:])
