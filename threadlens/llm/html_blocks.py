@@ -42,9 +42,9 @@ NAMES = re.compile(r"(?:\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))|\b
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 96, 48, 8, 16
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
-#: Bounds of the training sample: pages, and blocks of a page that are used.
-SAMPLE_PAGES, TRAIN_BLOCKS = 300, 80
-EPOCHS, RATE, THRESHOLD = 12, 0.01, 0.5
+#: Bounds of the training sample: pages, blocks of a page that are used, and characters of a page.
+SAMPLE_PAGES, TRAIN_BLOCKS, TRAIN_CHARS = 600, 80, 200_000
+EPOCHS, RATE, THRESHOLD = 10, 0.01, 0.5
 
 
 @dataclass
@@ -137,8 +137,8 @@ def _names(attributes: str) -> frozenset:
     return frozenset(words - {""})
 
 
-def by_markup(block: Block) -> bool | None:
-    """Main text by the tags alone; None if the page does not tell."""
+def by_markup(block: Block) -> bool:
+    """Main text by the tags alone: inside an article or main element, and in nothing foreign there."""
     inside = any(t in ("article", "main") for t, _ in block.path)
     start = next((i for i, (t, _) in enumerate(block.path) if t in ("article", "main")), 0)
     foreign = any(t in FOREIGN_TAGS or names & FOREIGN_NAMES or "hidden" in names for t, names in block.path[start:])
@@ -164,9 +164,8 @@ def features(page: list[Block]) -> np.ndarray:
             known[block.path] = np.minimum(row, 2)
         out[i, :PATH_DIMS] = known[block.path]
         words = block.text.lower().split()
-        for word in words[:40]:  # a description of the block; the text itself is never cut
-            out[i, PATH_DIMS + bucket(word, WORD_DIMS)] += 1
-        out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= max(1, min(len(words), 40)) ** 0.5
+        hashed = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIMS for w in words]
+        out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(hashed, minlength=WORD_DIMS) / max(1, len(words)) ** 0.5
         out[i, -MEASURES:] = (
             np.log1p(len(words)) / 4,
             min(1.0, block.linked / max(1, len(block.text))),
@@ -302,9 +301,9 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, see
 
 def varied(page: list[Block], answers: list[bool], random: np.random.Generator) -> tuple[list[Block], list[bool]]:
     """A training page with its telling tags made plain at times, and foreign blocks of other forms put in."""
-    plain = random.random() < 0.5
+    tag = str(random.choice(["article", "article", "main", "div", "div", "section"]))
     names = [frozenset({str(random.choice(["content", "post", "entry", "story", "body", "text", "main"]))}), frozenset()][int(random.random() < 0.5)]
-    made = [Block(b.text, tuple(("div", names) if plain and t in ("article", "main") else (t, n) for t, n in b.path), b.linked) for b in page]
+    made = [Block(b.text, tuple((tag, names if tag in ("div", "section") else n) if t in ("article", "main") else (t, n) for t, n in b.path), b.linked) for b in page]
     base = next((b.path for b, a in zip(made, answers, strict=True) if a), ())
     outer = next((base[:i] for i, (t, n) in enumerate(base) if t in ("article", "main") or n and n == names), base[:-1])
     for i, block in enumerate(made):  # other forms of text inside the main part
@@ -334,14 +333,13 @@ def train(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pag
     rows = pages.where(F.col(html).contains("<article") | F.col(html).contains("<main")).select(F.col(html).cast("string").alias("_html"), F.xxhash64(F.col(key).cast("string"), F.lit("pages")).alias("_draw"))
     total = rows.count()
     share = min(1.0, 1.5 * sample_pages / max(total, 1))
-    drawn = rows.where(F.shiftrightunsigned("_draw", 34) < F.lit(int(share * 2**30))).where(F.length("_html") < 200_000).orderBy("_draw").limit(sample_pages)
+    drawn = rows.where(F.shiftrightunsigned("_draw", 34) < F.lit(int(share * 2**30))).where(F.length("_html") < TRAIN_CHARS).orderBy("_draw").limit(sample_pages)
     random, examples = np.random.default_rng(seed), []
     for row in sorted(drawn.collect(), key=lambda r: r["_draw"]):
         page = blocks(row["_html"])[:TRAIN_BLOCKS]
         answers = [bool(by_markup(b)) for b in page]
         if any(answers):
-            for _ in range(3):
-                out, told = varied(page, answers, random)
+            for out, told in ((page, answers), *(varied(page, answers, random) for _ in range(2))):
                 examples.append((features(out), np.array(told, dtype=np.float32)))
     return fit(examples, seed=seed) if examples else None
 
