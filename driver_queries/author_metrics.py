@@ -59,6 +59,21 @@ def user_metrics(spark, sf):
     return six(author_table(spark, sf), USER_METRICS)
 
 
+REAL_METRICS_SQL = METRICS_SQL.replace("nullif(o_custkey % 200, 0)", "o_custkey").replace("nullif(l_suppkey % 200, 0)", "l_suppkey")
+
+
+@query("user_metrics_real_authors", f"WITH {REAL_METRICS_SQL} SELECT post_author, {ROUNDED} FROM user_metrics")
+def user_metrics_real_authors(spark, sf):
+    """As many authors as there are customers, instead of 200."""
+    from driver_queries.adapters import posts, table
+
+    written = posts(spark, sf).drop("post_author").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("post_author")), "post_id")
+    said = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("post_id"), F.col("l_suppkey").alias("comments_author"), F.col("l_extendedprice").alias("comments_upvote_score"))
+    counts = threads.comment_counts(said)
+    counted = written.join(counts, "post_id", "left").na.fill(0, ["comments_num"])
+    return six(user_metrics_flat(counted, said), USER_METRICS)
+
+
 @query("user_metrics_by_rows", f"WITH {METRICS_SQL} SELECT post_author, {ROUNDED} FROM user_metrics")
 def user_metrics_by_rows(spark, sf):
     scaled = metrics.scale_columns(comment_rows(spark, sf), MEASURES)
