@@ -155,3 +155,27 @@ def test_leader_pipeline(spark):
     assert regular.count() + outlying.count() == 40
     assert leaders.outliers(scored.drop("is_outlier")) is None
     assert leaders.farthest(scored, 5).count() == 5
+
+
+def test_equal_values_have_no_spread(spark):
+    """Deviations from the mean, not a difference of large sums."""
+    posts = spark.range(100_000).select(
+        F.lit("s").alias("subreddit"), F.col("id").cast("string").alias("post_id"), F.when(F.col("id") < 2, "other").otherwise("u").alias("post_author"),
+        F.when(F.col("id") == 0, 7).otherwise(3).alias("comments_num"), F.when(F.col("id") == 1, 0.9).otherwise(0.1).alias("post_upvote_ratio"),
+        F.array(F.lit("w")).alias("comments_author"), F.array(F.col("id") % 2).alias("comments_upvote_score"),
+    )
+    row = authors.user_metrics(posts).where("post_author = 'u'").first()
+    assert row["std_comments_per_post_on_others_posts"] < 1e-12 and row["std_post_upvote_ratio_on_others_posts"] < 1e-12
+    assert abs(row["std_comment_upvote_score_on_others_posts"] - 0.5) < 1e-4
+
+
+def test_posts_in_parts_give_the_same_metrics(spark):
+    comments = spark.createDataFrame(
+        [(p, i, "u" if (i + len(p)) % 3 else "v", float(i * i % 7)) for p, n in (("a", 11), ("bb", 4), ("ccc", 1)) for i in range(n)],
+        "post_id string, comment_rank long, comments_author string, comments_upvote_score double",
+    )
+    posts = spark.createDataFrame([("a", "u", "s", 0.5), ("bb", "v", "s", 0.2), ("ccc", "u", "t", 0.9), ("d", "u", "s", 0.1)], "post_id string, post_author string, subreddit string, post_upvote_ratio double")
+    whole, parts = (
+        {r.post_author: [round(r[c], 9) for c in USER_METRICS] for r in authors.user_metrics(threads.assemble_posts(posts, comments, per_row=n)).collect()} for n in (10_000, 3)
+    )
+    assert whole == parts and len(whole) == 2

@@ -78,3 +78,19 @@ def test_hot_post_and_hot_author_keep_every_row(spark):
     assert rows.select("post_id").distinct().count() == 200
     cut = selection.limit_comment_arrays(spark.createDataFrame([([1, 2, 3],)], "a array<int>"), 2, ["a"])
     assert cut.first().a == [1, 2]
+
+
+def test_collection_without_stop_words_keeps_posts(spark):
+    from threadlens.plans.collection import collect_posts
+
+    submissions = spark.createDataFrame(
+        [("p", "s", "find me", "body", ("u",), 1.0, 1, 0.5, "x", True)],
+        "id string, subreddit string, title string, selftext string, author struct<name:string>, created_utc double, score long, upvote_ratio double, url string, is_self boolean",
+    )
+    comments = spark.createDataFrame(
+        [("p", "c1", 0, "t3_p", ("w",), "hello", 2.0, 3), ("p", "c2", 1, "t1_c1", None, "again", 3.0, 4)],
+        "post_id string, id string, comment_rank long, parent_id string, author struct<name:string>, body string, created_utc double, score long",
+    )
+    row = collect_posts(submissions, comments, {"en": ["find"]}, {}).first()
+    assert row.comments_num == 2 and row.comments_bodies == ["hello", "again"]
+    assert row.comments_graph["p"].children == ["c1"] and row.comments_graph["c1"].children == ["c2"] and row.comments_graph["c2"].author is None
