@@ -68,3 +68,23 @@ def test_model_beats_counts_on_held_out_documents(spark):
 
     rows = [r for r in QUERIES["op9_logbilinear_lm"](spark, "/root/testdata/sf0.001").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_every_training_document_is_learned_from(spark, make_docs):
+    random, rows = np.random.default_rng(3), []
+    for i in range(300):
+        ids = [0]
+        for _ in range(1000):
+            ids.append((ids[-1] + 1) % 5 if random.random() < 0.9 else int(random.integers(0, 5)))
+        rows.append((i, " ".join("abcde"[x] for x in ids), "en", "s"))
+    # without a sample all order of words comes from the passes over the documents
+    got = op.score(make_docs(rows).coalesce(2), F.lit(False), sample_docs=0).collect()
+    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
+
+
+def test_classes_grow_with_the_corpus(spark, awkward, monkeypatch):
+    assert op.class_count(10**6) == 512 and 512 < op.class_count(10**8) < op.class_count(10**10)
+    docs = lambda: sorted((str(r.doc_id), round(r.score, 2)) for r in op.score(awkward, F.lit(False), classes=40, passes=0).collect())
+    by_table = docs()
+    monkeypatch.setattr(op, "TABLE_CLASSES", 1)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 0.02 + 1e-4 * abs(a[1]) for a, b in zip(docs(), by_table, strict=True))
