@@ -66,3 +66,15 @@ def test_references_and_unknown_languages(spark, make_docs):
     assert sorted(r.doc_id for r in good.collect()) == [0, 1, 2, 3, 4, 9] and good.columns == docs.columns
     unreferenced = op.quality(docs, references=op.References({}, {})).collect()
     assert all(r.kept for r in unreferenced)
+
+
+def test_clean_documents_of_rare_languages_stay(spark, make_docs):
+    # one Greek document beside 2,000 times its words in English
+    english = " ".join(f"the cat{i} and the dog{i} sat on the mat" for i in range(60))
+    greek = " ".join(f"η γάτα{c} και{c} ο σκύλος κάθονται μαζί στο χαλί" for c in "αβγδεζηθικ")
+    docs = make_docs([(i, english, "en", "s") for i in range(400)] + [(1000, greek, "el", "s")])
+    assert [r.kept for r in op.quality(docs).collect() if r.doc_id == 1000] == [True]
+    assert 1000 in {r.doc_id for r in op.keep_good(docs).collect()}
+    # a stated language without a reference is not judged by another language's
+    only_english = op.load_references(op.language_references(docs.where("lang = 'en'")))
+    assert [r.kept for r in op.quality(docs, references=only_english).collect() if r.doc_id == 1000] == [True]

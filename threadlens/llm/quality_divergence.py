@@ -3,11 +3,12 @@
 A document is described by two histograms: its characters over classes (lower case, upper case, digits,
 white space, ...) and its words over common words, "any other" and "only marks". Both are compared with the reference
 of the document's language, the summed histograms of **all** documents of that language, by the
-Jensen-Shannon distance (base 2, 0 to 1). A document without a known language takes its nearest reference.
+Jensen-Shannon distance (base 2, 0 to 1). Every language of the table has a reference, however rare. A document
+that states no language takes its nearest reference.
 Below ``min_words`` words a histogram says too little and only the fixed rules decide.
 
-Defined results: null text counts as empty (no words, ``base_failed``); a document whose language has no
-reference, or an empty reference table, is not rejected by divergence; repeated rows are judged alike;
+Defined results: null text counts as empty (no words, ``base_failed``); a document that states a
+language without a reference, or an empty reference table, is not rejected by divergence (distances 0); repeated rows are judged alike;
 columns of the input that carry a result's name are replaced by the result.
 """
 
@@ -37,9 +38,6 @@ CHAR_CLASSES = 9
 CHAR_LIMIT, WORD_LIMIT, SUM_LIMIT, MIN_WORDS = 0.32, 0.52, 0.70, 50
 WINDOW = 8
 
-#: A reference needs this share of all reference words, so there are at most 1,000 references.
-LEAST_SHARE = 0.001
-
 FIELDS = [
     ("n_words", "long", pa.int64()),
     ("word_chars", "long", pa.int64()),
@@ -155,20 +153,21 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
 
 @dataclass
 class References:
-    """Histograms by language, at most 1 / LEAST_SHARE of them."""
+    """Histograms by language, about 1 KB each."""
 
     chars: dict[str, np.ndarray]
     words: dict[str, np.ndarray]
 
 
 def load_references(table: DataFrame) -> References:
-    """The references as arrays: languages below ``LEAST_SHARE`` of all words are left out, which bounds them."""
-    total = table.where("kind = 'word'").agg(F.sum("n")).first()[0] or 0
-    large = table.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("words")).where(F.col("words") >= F.lit(LEAST_SHARE * total))
+    """The references of all languages as arrays: two short histograms a language, whatever the number of documents."""
     found = References({}, {})
-    for row in table.join(large.select("lang"), "lang").collect():  # at most 1,000 languages of fixed width
+    by_lang = table.groupBy("lang", "kind").agg(F.collect_list(F.struct("bin", "n")).alias("bins"))  # BINS at most
+    for row in by_lang.collect():
         kind, width = (found.chars, CHAR_CLASSES) if row["kind"] == "char" else (found.words, BINS)
-        kind.setdefault(row["lang"], np.zeros(width))[row["bin"]] = row["n"]
+        kind[row["lang"]] = np.zeros(width)
+        for place, n in row["bins"]:
+            kind[row["lang"]][place] = n
     return found
 
 
@@ -209,11 +208,14 @@ def judge(docs: DataFrame, references: References, carry: dict, text: str = "tex
             mine = langs == g
             by_char[mine] = jensen_shannon(chars[mine], references.chars[g])
             by_word[mine] = jensen_shannon(named[mine], references.words[g])
-        if references.chars and references.words and not known.all():
-            away = [(jensen_shannon(chars[~known], references.chars[g]), jensen_shannon(named[~known], references.words[g])) for g in sorted(references.chars) if g in references.words]
-            both = np.array(away)
-            nearest = both.sum(axis=1).argmin(axis=0)
-            by_char[~known], by_word[~known] = both[nearest, 0, np.arange(len(nearest))], both[nearest, 1, np.arange(len(nearest))]
+        unstated = np.array([g is None for g in langs], dtype=bool)
+        if unstated.any():
+            best = np.full(int(unstated.sum()), np.inf)
+            for g in sorted(references.chars.keys() & references.words.keys()):
+                char, word = jensen_shannon(chars[unstated], references.chars[g]), jensen_shannon(named[unstated], references.words[g])
+                nearer = np.flatnonzero(char + word < best)
+                at = np.flatnonzero(unstated)[nearer]
+                best[nearer], by_char[at], by_word[at] = (char + word)[nearer], char[nearer], word[nearer]
         n_words = np.array([len(w) for w in words])
         repeats = np.array([repeated_words(w) for w in words])
         failed = (n_words < 20) | (100 * repeats > 30 * n_words)
