@@ -54,3 +54,12 @@ def test_awkward_rows_and_no_rows(spark, awkward, make_docs):
     got = op.identify(awkward, empty).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
     assert op.identify(make_docs([]), model).count() == 0
+
+
+def test_rare_languages_are_learned(spark, make_docs):
+    # Greek has less than a thousandth of the letters
+    rows = [(i, " ".join([SAMPLES["en"]] * 60), "en", "s") for i in range(60)] + [(900, "η γάτα και ο σκύλος κάθονται μαζί στο χαλί", "el", "s")]
+    model = op.train(make_docs(rows))
+    assert model.languages == ["el", "en"]
+    got = op.identify(make_docs([(1, "ο σκύλος και η γάτα στο χαλί", None, "s"), (2, SAMPLES["en"], None, "s")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "el", 2: "en"}

@@ -1,6 +1,7 @@
 """Language ID: each document is a mixture of languages, estimated by expectation-maximisation.
 
-Training counts letter trigrams (hashed, non-letters are word ends) per language over **all** training rows.
+Training counts letter trigrams (hashed, non-letters are word ends) per language over **all** training rows, and
+every language that has letters there is learned, however rare.
 A word's likelihood under a language is the product over its trigrams. For each document EM estimates the
 languages' shares of its words; then the language set is grown in the order of the shares while the
 likelihood, penalised by log(words) / 2 for each further language, improves. The prediction is the largest
@@ -26,8 +27,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 ITERATIONS = 12
 SETTLED = 1e-3
-#: Languages with a smaller share of all trigrams are not learned, so there are at most 1,000.
-LEAST_SHARE = 0.001
+#: Languages whose counts cross the driver together.
+TOGETHER = 20
 UNKNOWN = "und"
 
 FIELDS = [
@@ -93,18 +94,19 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Fit on all rows of ``docs`` that have a language; what is collected is bounded by ``LEAST_SHARE``."""
+    """Fit on all rows of ``docs`` that have a language, and learn every one of them: ``BUCKETS`` floats a language."""
     from threadlens.runtime import snapshot
 
     counts = snapshot(count_trigrams(docs, text, lang), "trigrams")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    names = sorted(r["lang"] for r in sizes.where(F.col("size") >= F.lit(LEAST_SHARE * total)).collect())
-    matrix = np.full((BUCKETS, len(names)), SMOOTHING, dtype=np.float64)
-    for i, name in enumerate(names):  # one language at a time, BUCKETS rows at most
-        rows = counts.where(F.col("lang") == name).select("bucket", "n").toPandas()
-        matrix[rows["bucket"], i] += rows["n"]
-    return Model(names, np.log(matrix / matrix.sum(axis=0)).T.astype(np.float32).copy())
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    log_p = np.full((len(names), BUCKETS), SMOOTHING, dtype=np.float32)
+    for start in range(0, len(names), TOGETHER):  # BUCKETS rows a language at most
+        place = {name: i for i, name in enumerate(names[start : start + TOGETHER])}
+        rows = counts.where(F.col("lang").isin(list(place))).toPandas()
+        some = np.full((len(place), BUCKETS), SMOOTHING, dtype=np.float64)
+        some[rows["lang"].map(place).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] += rows["n"].to_numpy()
+        log_p[start : start + TOGETHER] = np.log(some / some.sum(axis=1, keepdims=True))
+    return Model(names, log_p)
 
 
 def fit_shares(like: np.ndarray, first: np.ndarray, owner: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
