@@ -61,3 +61,19 @@ def test_gradients_by_difference():
         down = (op._run(x, mask, w_in, w_re) * weigh).sum()
         w[at] = base
         assert abs((up - down) / (2 * step) - slope[at]) < 1e-2 * max(1, abs(slope[at]))
+
+
+def test_text_after_hidden_elements_stays():
+    read = lambda page: [b.text for b in op.blocks(page)]
+    assert read("<p>one<object><p>fallback</p></object></p><p>two</p><p>three</p>")[-2:] == ["two", "three"]
+    assert read("<p>one<svg><foreignObject><div>x</div></foreignObject></svg></p><p>two</p>")[-1] == "two"
+    assert read('<article><svg class=icon/>one<p>two</p></article>') == ["one", "two"]
+    assert read('<p>one<svg><path d="m0"/><g/><text>no</text></svg> two</p>') == ["one two"]
+    assert read("<p>one<object><p>fallback</p></object></p><p>two</p>") == ["one", "two"]
+
+
+def test_without_article_or_main(spark):
+    html = "<body><nav>menu</nav><div class=story><p>one</p><p>two</p></div><footer>site</footer></body>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    model = op.train(pages)
+    assert model is None and [r.text for r in op.extract(pages, model).collect()] == ["one\n\ntwo"]

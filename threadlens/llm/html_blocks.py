@@ -8,7 +8,7 @@ the answer (an article or main element, without what is a menu, notice, form, ..
 pages are varied: the telling tags are replaced by plain ones, and foreign blocks are put in.
 
 Defined results: null or empty html, and a page without main text, give an empty text; an untrained model (no
-usable page) goes by the markup; scripts, styles, comments and the head are never text; a line break is
+usable page) goes by the markup, and where that has no article or main element takes all but foreign blocks; scripts, styles, comments and the head are never text; a line break is
 white space; unclosed and stray tags are allowed; repeated pages give equal results. Nothing is cut off.
 """
 
@@ -70,11 +70,10 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     at, end = 0, len(page)
-    hidden = 0
     while at < end:
         match = TOKEN.search(page, at)
         chunk = page[at : match.start()] if match else page[at:]
-        if chunk and not hidden:
+        if chunk and not any(t[0] in HIDDEN_TAGS for t in stack):
             words.append(chunk)
             if any(t[0] == "a" for t in stack):
                 linked += len(chunk)
@@ -90,7 +89,6 @@ def blocks(page: str) -> list[Block]:
                 continue  # stray, or an inline end tag outside its block
             if tag in BLOCK_TAGS or any(t[0] in BLOCK_TAGS for t in stack[depth:]):
                 close()
-            hidden -= sum(t[0] in HIDDEN_TAGS for t in stack[depth:])
             del stack[depth:]
             continue
         if tag in BLOCK_TAGS:
@@ -98,13 +96,11 @@ def blocks(page: str) -> list[Block]:
             _imply_ends(stack, tag)
         elif tag == "br":
             words.append(" ")
-        if tag in EMPTY_TAGS:
-            continue
-        if tag == "body" and hidden:  # an unclosed head
-            hidden, stack = 0, [t for t in stack if t[0] not in HIDDEN_TAGS]
+        if tag in EMPTY_TAGS or match[3].endswith("/") and (tag == "svg" or any(t[0] == "svg" for t in stack)):
+            continue  # nothing inside; only foreign elements close themselves
+        if tag == "body":  # an unclosed head
+            stack[:] = [t for t in stack if t[0] not in HIDDEN_TAGS]
         stack.append((tag, _names(match[3])))
-        if tag in HIDDEN_TAGS:
-            hidden += 1
         if tag in RAW_TAGS:
             stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
             at = stop.start() if stop else end
@@ -118,7 +114,7 @@ def _imply_ends(stack: list, tag: str) -> None:
     bounds = ("ul", "ol", "dl", "table", "select") if ended else ()
     for i in range(len(stack) - 1, -1, -1):
         name = stack[i][0]
-        if name in bounds or name in BLOCK_TAGS and name != "p" and name not in ended:
+        if name in bounds or name in ("object", "foreignobject") or name in BLOCK_TAGS and name != "p" and name not in ended:
             return
         if name == "p" or name in ended:
             del stack[i:]
@@ -139,10 +135,19 @@ def _names(attributes: str) -> frozenset:
 
 def by_markup(block: Block) -> bool:
     """Main text by the tags alone: inside an article or main element, and in nothing foreign there."""
-    inside = any(t in ("article", "main") for t, _ in block.path)
-    start = next((i for i, (t, _) in enumerate(block.path) if t in ("article", "main")), 0)
-    foreign = any(t in FOREIGN_TAGS or names & FOREIGN_NAMES or "hidden" in names for t, names in block.path[start:])
-    return inside and not foreign
+    start = next((i for i, (t, _) in enumerate(block.path) if t in ("article", "main")), None)
+    return start is not None and not foreign(block.path[start:])
+
+
+def foreign(path: tuple[tuple[str, frozenset], ...]) -> bool:
+    """A menu, notice, form, ... or hidden."""
+    return any(t in FOREIGN_TAGS or names & FOREIGN_NAMES or "hidden" in names for t, names in path)
+
+
+def unlearned(page: list[Block]) -> list[Block]:
+    """Main text without a model: by the markup, or on a page with no article or main element all that is not foreign."""
+    told = any(t in ("article", "main") for b in page for t, _ in b.path)
+    return [b for b in page if (by_markup(b) if told else not foreign(b.path))]
 
 
 def bucket(text: str, size: int) -> int:
@@ -348,7 +353,7 @@ def main_texts(pages: list[str], model: Labeller | None) -> list[str]:
     """The main text of each page."""
     cut = [blocks(p) for p in pages]
     if model is None:
-        return ["\n\n".join(b.text for b in page if by_markup(b)) for page in cut]
+        return ["\n\n".join(b.text for b in unlearned(page)) for page in cut]
     labels = probabilities([features(p) for p in cut], model)
     return ["\n\n".join(b.text for b, p in zip(page, given, strict=True) if p > THRESHOLD) for page, given in zip(cut, labels, strict=True)]
 
