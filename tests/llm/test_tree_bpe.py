@@ -12,7 +12,7 @@ from threadlens.llm import tree_bpe as op
 from threadlens.llm.queries import op12_tree_bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-PIECES = ["a", "b", "the", " ", "  ", "\n", "\n\n", "\t", "'", "'s", "'re", "'ll", "1", "23", "é", "漢", "😀", "!", "!!!", "==", "aaaa", "abab", "\xa0", "　", "ing", " un", ".", "<|endoftext|>", "<|", "endoftext|>"]
+PIECES = ["a", "b", "the", " ", "  ", "\n", "\n\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\u2028", "'", "'s", "'re", "'ll", "1", "23", "é", "漢", "😀", "!", "!!!", "==", "aaaa", "abab", "\xa0", "　", "ing", " un", ".", "<|endoftext|>", "<|", "endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +38,7 @@ texts = st.lists(st.sampled_from(PIECES), min_size=1, max_size=4).flatmap(lambda
 
 
 @settings(max_examples=400, deadline=None)
-@given(texts, st.sampled_from([1, 2, 5, 17, 60]), st.sampled_from([1, 16, 64]))
+@given(texts, st.sampled_from([1, 2, 5, 17, 60, 2000]), st.sampled_from([1, 16, 64]))
 def test_joins_equal_the_library(encoder, library, text, leaf, window):
     encoder.leaf, encoder.window = leaf, window
     made = encoder.encode([text])[0]
@@ -59,13 +59,20 @@ def test_long_unsplit_texts(vocabulary, library, text):
     assert op.TreeEncoder(vocabulary).encode([text])[0].ids.tolist() == exact(library, text)
 
 
+def test_dropped_units_change_nothing(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(op, "STORE", 4)
+    small = op.TreeEncoder(vocabulary)
+    for text in ("one two\nthree four five\n\n six", "six one <|endoftext|> seven  eight\x1cnine", "one two "):
+        assert small.encode([text])[0].ids.tolist() == exact(library, text)
+
+
 def test_windows_stay_small_where_sides_agree(vocabulary, monkeypatch):
     encoder, read = op.TreeEncoder(vocabulary), []
     inner = encoder._library
     monkeypatch.setattr(encoder, "_library", lambda some: read.append(sum(map(len, some))) or inner(some))
     text = "".join(np.random.default_rng(1).choice(list("abcdefghij"), 200_000))
     encoder.encode([text])
-    assert read[0] == len(text) and sum(read[1:]) < len(text) / 4
+    assert 0 < sum(read) < len(text) / 4
 
 
 def test_parts_in_rounds_and_awkward_rows(spark, awkward, make_docs, vocabulary, library):

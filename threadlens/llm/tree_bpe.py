@@ -1,7 +1,9 @@
 """BPE encoding by tree concatenation: halves of a text are encoded apart and joined exactly.
 
-A text is halved until its leaves hold at most ``leaf`` characters; leaves go to the tokenizers library whole, with no
-regard to words. Neighbours are joined by encoding a window around the join anew. The window starts at a token of
+A text is halved until its leaves hold at most ``leaf`` characters, with no regard to words. A leaf is encoded by the
+tokenizers library, equal units once: a word of the pattern always starts where white space follows something else, and
+behind a single white space other than a space, so the stretches between such places encode by themselves as they
+do in the leaf. Neighbours are joined by encoding a window around the join anew. The window starts at a token of
 the left side and grows until both sides agree with it:
 
 * on the left, the window's first token is the one the left side has there, or a word of the pattern starts there;
@@ -28,6 +30,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,13 +43,21 @@ from threadlens.llm.common import map_texts
 from threadlens.runtime import snapshot
 
 #: Characters of a leaf, and of the parts in which a very long text is dealt to tasks.
-LEAF_CHARS, PART_CHARS = 2_048, 65_536
+LEAF_CHARS, PART_CHARS = 4_096, 65_536
 #: Bytes on each side of a join in its first window, and bytes at a cut end that decide no word.
 WINDOW, MARGIN = 64, 32
 #: Longest contraction of the pattern, in bytes.
 SHORT = 3
 #: Parts joined by one task in one round.
 FAN = 8
+#: Marks the ids that start a word.
+FIRST = np.uint32(1 << 31)
+#: Units kept in a task (beyond, those not met of late are dropped), and the longest that is kept.
+STORE, UNIT_CHARS = 300_000, 64
+#: White space behind something else; something else behind a single white space that no word takes in. (Python's white
+#: space is the library's and four control characters.)
+CONTROLS = "\x1c\x1d\x1e\x1f"
+CUT = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])|(?<=\S[^\S\x1c-\x1f ])(?=\S)")
 
 
 @dataclass
@@ -111,13 +123,55 @@ class TreeEncoder:
         self.library.no_padding()
         self.sizes = np.array([len(t) for t in vocabulary.table], dtype=np.int64)
         self.leaf, self.window = max(1, leaf), max(1, window)
+        self.store: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _marked(self, texts: list[str]) -> Iterable[np.ndarray]:
+        """The library's ids; those that start a word carry the mark."""
+        for start in range(0, len(texts), 256):
+            for made in self.library.encode_batch(texts[start : start + 256], add_special_tokens=False):
+                words = np.array(made.word_ids, dtype=np.uint32)
+                ids = np.array(made.ids, dtype=np.uint32)
+                ids[np.flatnonzero(np.diff(words, prepend=np.uint32(2**32 - 1)))] |= FIRST
+                yield ids
 
     def _library(self, texts: list[str]) -> list[Encoded]:
+        return [self.known(t.encode(), ids & ~FIRST, ids >= FIRST) for t, ids in zip(texts, self._marked(texts), strict=True)]
+
+    def _learn(self, units: list[str]) -> None:
+        """Have all ``units`` in the store. Those that end in no white space are put together, a line break before each that
+        starts with none: then every unit is cut off again where it starts and ends."""
+        alone = [u for u in units if not u or u[-1].isspace()]
+        self.store.update((u, ids.tobytes()) for u, ids in zip(alone, self._marked(alone), strict=True))
+        rest = [u for u in units if u and not u[-1].isspace()]
+        spaced = [u for u in rest if u[0].isspace() and u[0] not in CONTROLS]
+        bare = set(rest).difference(spaced)
+        for some, lead in ((spaced, ""), (list(bare), "\n")):
+            for at in range(0, len(some), 500):
+                few = some[at : at + 500]
+                ids = next(iter(self._marked(["x" + "".join([lead + u for u in few])])))
+                ends = 1 + np.cumsum([len(lead) + len(u.encode()) for u in few])
+                places = np.searchsorted(np.cumsum(self.sizes[ids & ~FIRST]), [1, *ends], side="right").tolist()
+                packed = ids.tobytes()
+                # a line break before a unit is a token of its own
+                self.store.update((u, packed[4 * (b + len(lead)) : 4 * e]) for u, b, e in zip(few, places, places[1:]))
+
+    def _leaves(self, texts: list[str]) -> list[Encoded]:
+        cut = [CUT.split(text) for text in texts]
+        if len(self.store) > STORE // 2:
+            self.store, self.older = {}, self.store
+        missing = set().union(*cut) - self.store.keys()
+        back = missing & self.older.keys()
+        self.store.update((u, self.older[u]) for u in back)
+        missing = list(missing - back)
+        self._learn(missing)
         out = []
-        for start in range(0, len(texts), 256):
-            some = texts[start : start + 256]
-            for text, made in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                out.append(self.known(text.encode(), np.array(made.ids, dtype=np.uint32), np.diff(np.array(made.word_ids, dtype=np.int64), prepend=-1) != 0))
+        for text, units in zip(texts, cut, strict=True):
+            ids = np.frombuffer(b"".join(map(self.store.__getitem__, units)), dtype=np.uint32)
+            out.append(self.known(text.encode(), ids & ~FIRST, ids >= FIRST))
+        for unit in missing:
+            if len(unit) > UNIT_CHARS:
+                del self.store[unit]
         return out
 
     def known(self, body: bytes, ids: np.ndarray, first: np.ndarray) -> Encoded:
@@ -133,7 +187,7 @@ class TreeEncoder:
             cuts = [len(text) * k // count for k in range(count + 1)]
             owners.append(range(len(leaves), len(leaves) + count))
             leaves += [text[a:b] for a, b in zip(cuts, cuts[1:])]
-        made = self._library(leaves)
+        made = self._leaves(leaves)
         return self.join([[made[i] for i in own] for own in owners])
 
     def join(self, rows: list[list[Encoded]]) -> list[Encoded]:
@@ -233,7 +287,7 @@ def _agree(left: Encoded, right: Encoded, a: int, b: int, window: Encoded) -> En
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> str:
     """The text of the ids; bytes that are no UTF-8 become replacement characters, unknown ids are left out."""
-    return b"".join([table[i] for i in ids.tolist() if 0 <= i < len(table)]).decode("utf-8", "replace")
+    return b"".join(map(table.__getitem__, ids[ids < len(table)].tolist())).decode("utf-8", "replace")
 
 
 def _encoder(held: dict, vocabulary: Vocabulary, leaf: int, window: int) -> TreeEncoder:
