@@ -184,7 +184,7 @@ def topic_run_reloaded(spark, sf):
 
     model, vectors, vocab = trained(spark, sf)
     path = fresh_path(spark, "topic-run")
-    texts = vectors.drop("features")
+    texts = vectors.drop("bag")
     topics.save_topic_run(path, model, texts, vocab, corpus.bag_of_words(texts, vocab), {"num_topics": 4})
     again, words = topics.load_topic_run(spark, f"{path}/model", f"{path}/vocab")
     loaded = topics.term_vectors(spark.read.parquet(f"{path}/texts"), words)

@@ -115,11 +115,12 @@ def limited_arrays(spark, sf):
     SELECT post_id, letters::BIGINT AS letters FROM c""",
 )
 def community_documents(spark, sf):
-    """One token list per post, whatever parts it is stored in: its letters are those of the whole thread."""
+    """Tokens of a post by part: their letters are those of the whole thread."""
     from threadlens.operators.topics import community_tokens
 
     rows = community_tokens(in_parts(spark, sf))
-    return rows.select("post_id", F.length(F.regexp_replace(F.array_join("tokens", ""), "[^a-z]", "")).cast("long").alias("letters"))
+    letters = F.length(F.regexp_replace(F.array_join("tokens", ""), "[^a-z]", "")).cast("long")
+    return rows.groupBy("post_id").agg(F.sum(letters).alias("letters"))
 
 
 @query(

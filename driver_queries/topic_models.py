@@ -189,18 +189,12 @@ def raw_text_tokens(spark, sf):
 # --- trained models (checked by invariants in the tests) ---------------------
 
 
-_MODELS: dict = {}
-
-
-def trained(spark, sf):
-    """Model, vectors and vocabulary; ten passes in chunks of a tenth, trained once per session and folder."""
+def trained(spark, sf, passes=2):
+    """Model, vectors and vocabulary: passes in chunks of a tenth."""
     prepared = snapshot(corpus.with_tokens(texts(spark, sf), STOP), "tokens")
     vocab = snapshot(corpus.vocabulary(prepared, 2, 0.5, 5000), "vocabulary")
     vectors = topics.term_vectors(prepared.select("text_id", "subreddit", "author", "tokens"), vocab)
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        _MODELS[key] = topics.train_topics(vectors, NUM_TOPICS, chunk_size=0.1)
-    return _MODELS[key], vectors, vocab
+    return topics.train_topics(vectors, NUM_TOPICS, passes, chunk_size=0.1, num_terms=vocab.count()), vectors, vocab
 
 
 @query("lda_topics", "SELECT doc_id AS text_id, true AS whole FROM documents")
@@ -225,7 +219,7 @@ def topic_words(spark, sf):
 @query("community_topic_weights", f"WITH {TEXTS} SELECT subreddit, count(*) AS texts, true AS whole FROM texts GROUP BY 1")
 def community_topic_weights(spark, sf):
     """The weights of a community add up to its number of texts, less the shares left out."""
-    model, vectors, _ = trained(spark, sf)
+    model, vectors, _ = trained(spark, sf, passes=topics.PASSES)
     doc_topics = topics.document_topics(model, vectors, ["text_id", "subreddit"])
     weights = topics.community_topic_weights(doc_topics).groupBy("subreddit").agg(F.sum("weight").alias("weight"))
     counts = doc_topics.groupBy("subreddit").agg(F.count_distinct("text_id").alias("texts"), F.count("prob").alias("shares"))

@@ -36,7 +36,7 @@ def test_document_topics_sum_to_one_and_empty_gets_the_prior(run):
     vectors = topics.term_vectors(fitted.texts, fitted.vocab)
     sums = topics.document_topics(fitted.model, vectors, min_probability=0.0).groupBy("text_id").agg(F.sum("prob").alias("s"))
     assert all(r.s == pytest.approx(1.0) for r in sums.collect())
-    prior = fitted.model.estimatedDocConcentration().toArray()
+    prior = fitted.model.prior
     empty = topics.document_topics(fitted.model, vectors.filter("text_id = 'empty#0'"), min_probability=0.0)
     assert [r.prob for r in empty.orderBy("topic_id").collect()] == pytest.approx(list(prior / prior.sum()))
 
@@ -76,7 +76,7 @@ def test_saving_and_loading(run, spark, tmp_path):
     topics.save_topic_run(path, fitted.model, fitted.texts, fitted.vocab, fitted.bow, {"num_topics": 2})
     model, vocab = topics.load_topic_run(spark, f"{path}/model", f"{path}/vocab")
     assert vocab.count() == fitted.vocab.count()
-    assert model.topicsMatrix().toArray() == pytest.approx(fitted.model.topicsMatrix().toArray())
+    assert model.weights == pytest.approx(fitted.model.weights) and model.prior == pytest.approx(fitted.model.prior)
     assert topics.load_topic_run(spark, fitted.model, fitted.vocab) == (fitted.model, fitted.vocab)
     with pytest.raises(ValueError):
         topics.load_topic_run(spark, "a", fitted.vocab)
@@ -131,6 +131,6 @@ def test_chunks_are_rows_or_a_share(spark):
     df = corpus.with_tokens(spark.createDataFrame([(i, "alpha beta gamma") for i in range(30)], "text_id int, text string"))
     vocab = corpus.vocabulary(df, 1, 1.0, 10)
     model = topics.train_topics(topics.term_vectors(df, vocab), 2, passes=2, chunk_size=0.5, alpha=0.3, learn_alpha=False)
-    assert model.vocabSize() == 3 and list(model.estimatedDocConcentration()) == [0.3, 0.3]
+    assert model.num_terms == 3 and list(model.prior) == [0.3, 0.3]
     with pytest.raises(ValueError):
         topics.train_topics(topics.term_vectors(df.limit(0), vocab), 2)

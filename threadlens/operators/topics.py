@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from threadlens.functions import text as tx
 from threadlens.operators.ranking import first_row, rank_rows
 from threadlens.operators.threads import is_first_part
+from threadlens.operators.topic_model import BAG, TopicModel, bag_column, train
 from threadlens.runtime import one_row
 
 # Training defaults and the smallest probability reported.
@@ -21,24 +21,24 @@ CHUNK_SIZE = 100
 PASSES = 10
 SEED = 17
 MIN_PROBABILITY = 0.01
+#: Terms a topic model can have: topics x terms are held on the driver and in each task.
+MAX_TERMS = 1_000_000
 
 
 def vocabulary_terms(vocab: DataFrame) -> list[str]:
     """Terms by id on the driver, where the model itself holds topics x terms.
 
-    What bounds them is the vocabulary's ``keep_n``: cut a vocabulary with it before making vectors.
+    The vocabulary's ``keep_n`` bounds them; one of more than ``MAX_TERMS`` terms is refused.
     """
-    return [r.term for r in vocab.select("term_id", "term").orderBy("term_id").collect()]
+    rows = vocab.select("term_id", "term").orderBy("term_id").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"a topic model takes {MAX_TERMS} terms at most; cut the vocabulary with keep_n")
+    return [r.term for r in rows]
 
 
-def term_vectors(texts: DataFrame, vocab: DataFrame, tokens: str = "tokens", name: str = "features") -> DataFrame:
-    """Term-count vectors over the vocabulary; the look-up runs inside each task."""
-    from pyspark.ml.feature import CountVectorizerModel
-
-    model = CountVectorizerModel.from_vocabulary(
-        vocabulary_terms(vocab), inputCol=tokens, outputCol=name, minTF=1.0
-    )
-    return model.transform(texts)
+def term_vectors(texts: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Adds ``bag``, the (term_id, cnt) of every text; the look-up runs inside each task and moves nothing."""
+    return texts.withColumn("bag", bag_column(vocabulary_terms(vocab), tokens))
 
 
 def train_topics(
@@ -50,53 +50,25 @@ def train_topics(
     alpha: float | Sequence[float] | None = None,
     online: bool = True,
     seed: int = SEED,
-):
-    """Online variational LDA over term vectors.
+    num_terms: int | None = None,
+) -> TopicModel:
+    """Online variational topic model over bags.
 
-    ``passes * ceil(N / chunk_size)`` updates of about ``chunk_size`` texts, one driver round
-    trip each; a ``chunk_size`` below 1 is a share of the corpus. ``alpha`` is a prior for all
-    topics or one per topic; without it Spark's default is the start. ``learn_alpha`` updates it.
+    ``passes * ceil(N / chunk_size)`` updates, each of which reads the texts of its chunk only; a ``chunk_size``
+    below 1 is a share of the corpus. ``alpha`` is a prior for all topics or one per topic; without it the start
+    is 1 / topics. ``learn_alpha`` updates it. ``num_terms`` is the size of the vocabulary, if more than the texts use.
     """
-    from pyspark.ml.clustering import LDA
-
-    corpus = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = corpus.count()
-        if not n:
-            raise ValueError("no texts to train on")
-        chunk = max(1, math.ceil(n * chunk_size)) if chunk_size < 1 else chunk_size
-        updates = passes * math.ceil(n / chunk) if online else passes
-        share = min(1.0, passes / updates) if online else 1.0
-        lda = LDA(
-            k=num_topics,
-            seed=seed,
-            maxIter=updates,
-            optimizer="online",
-            subsamplingRate=share,
-            optimizeDocConcentration=learn_alpha,
-            featuresCol="features",
-        )
-        if alpha is not None:
-            lda.setDocConcentration([float(alpha)] * num_topics if isinstance(alpha, int | float) else [float(a) for a in alpha])
-        return lda.fit(corpus)
-    finally:
-        corpus.unpersist()
+    return train(vectors, num_topics, passes, chunk_size, num_terms, learn_alpha, alpha, online, seed)
 
 
 def document_topics(
-    model, vectors: DataFrame, keep: Sequence[str] = ("text_id",), min_probability: float = MIN_PROBABILITY
+    model: TopicModel, vectors: DataFrame, keep: Sequence[str] = ("text_id",), min_probability: float = MIN_PROBABILITY
 ) -> DataFrame:
     """(…, topic_id, prob) per text, small probabilities dropped.
 
-    A text without a vocabulary word gets the normalised prior instead of zeros.
+    A text without a vocabulary word gets the normalised prior.
     """
-    from pyspark.ml.functions import vector_to_array
-
-    prior = model.estimatedDocConcentration().toArray()
-    prior = F.array(*[F.lit(float(p)) for p in prior / prior.sum()])
-    probs = vector_to_array("topicDistribution")
-    empty = F.aggregate(probs, F.lit(0.0), lambda acc, p: acc + p) == 0
-    scored = model.transform(vectors).withColumn("_probs", F.when(empty, prior).otherwise(probs))
+    scored = vectors.select(*keep, model.topic_shares("bag").alias("_probs"))
     rows = scored.select(*keep, F.posexplode("_probs").alias("topic_id", "prob"))
     return above_minimum(rows, min_probability)
 
@@ -105,16 +77,17 @@ def above_minimum(doc_topics: DataFrame, min_probability: float = MIN_PROBABILIT
     return doc_topics.filter(F.col("prob") >= min_probability)
 
 
-def topic_words(model, vocab: DataFrame, num_words: int = 10) -> DataFrame:
+def topic_words(model: TopicModel, vocab: DataFrame, num_words: int = 10) -> DataFrame:
     """(topic_id, word, prob, rank) of the ``num_words`` heaviest words of each topic."""
-    pairs = F.explode(F.arrays_zip("termIndices", "termWeights")).alias("_w")
-    rows = (
-        model.describeTopics(num_words)
-        .select(F.col("topic").alias("topic_id"), pairs)
-        .select("topic_id", F.col("_w.termIndices").alias("term_id"), F.col("_w.termWeights").alias("prob"))
-        .join(vocab.select("term_id", F.col("term").alias("word")), "term_id")
-    )
-    return top_words(rows.select("topic_id", "word", "prob"), num_words)
+    shares = model.word_shares()
+    rows = []
+    for topic, row in enumerate(shares):
+        # equal weights at the edge all take part, and are ranked by word
+        edge = np.partition(row, len(row) - num_words)[len(row) - num_words] if 0 < num_words < len(row) else 0.0
+        rows += [(topic, int(i), float(row[i])) for i in np.flatnonzero(row >= edge)]
+    heaviest = vocab.sparkSession.createDataFrame(rows, "topic_id int, term_id int, prob double")
+    named = heaviest.join(vocab.select("term_id", F.col("term").alias("word")), "term_id")
+    return top_words(named.select("topic_id", "word", "prob"), num_words)
 
 
 def top_words(weights: DataFrame, k: int) -> DataFrame:
@@ -134,19 +107,26 @@ def topic_word_arrays(words: DataFrame) -> DataFrame:
 
 
 def community_tokens(posts: DataFrame) -> DataFrame:
-    """Lower-case title and comments of a post as tokens, nothing removed; one row per post.
+    """Lower-case title and comments of a post as tokens, nothing removed; a row for every part of a post.
 
-    The text of a post is one document, so the parts of a long thread come together here.
+    White space parts the bodies, so the tokens of the parts are those of the whole text.
     """
-    if "part" in posts.columns:
-        rows = F.sort_array(F.collect_list(F.struct("part", F.coalesce("comments_bodies", F.array().cast("array<string>")).alias("bodies"))))
-        whole = posts.groupBy("post_id").agg(F.flatten(rows.getField("bodies")).alias("comments_bodies"))
-        posts = posts.where(is_first_part(posts)).drop("comments_bodies", "part", "part_start").join(whole, "post_id")
-    title = F.lower(F.coalesce("post_title", F.lit("")))
+    title = F.when(is_first_part(posts), F.lower(F.coalesce("post_title", F.lit("")))).otherwise("")
     bodies = F.lower(F.array_join(F.coalesce("comments_bodies", F.array().cast("array<string>")), " "))
     return posts.withColumn("tokens", tx.raw_text_tokens(F.concat_ws(" ", title, bodies)))
 
 
+def community_vectors(posts: DataFrame, vocab: DataFrame, key: str = "post_id", keep: Sequence[str] = ("subreddit",)) -> DataFrame:
+    """(key, …, bag), one row per post: words are counted part by part, and only the counts come together."""
+    counted = term_vectors(community_tokens(posts), vocab)
+    if "part" not in posts.columns:
+        return counted.select(key, *keep, "bag")
+    words = counted.select(key, F.explode("bag").alias("w")).groupBy(key, "w.term_id").agg(F.sum("w.cnt").alias("cnt"))
+    bags = words.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_id", "cnt"))).alias("bag"))  # a vocabulary at most
+    heads = posts.where(is_first_part(posts)).select(key, *keep)
+    return heads.join(bags, key, "left").withColumn("bag", F.coalesce("bag", F.array().cast(BAG)))
+
+
 def community_topic_weights(doc_topics: DataFrame, community: str = "subreddit") -> DataFrame:
     """Sum of topic probabilities of a community's texts."""
     return doc_topics.groupBy(community, "topic_id").agg(F.sum("prob").alias("weight"))
@@ -159,9 +139,9 @@ def topic_shares(doc_topics: DataFrame, weight: str = "prob") -> DataFrame:
     return totals.withColumn("share", F.try_divide(F.col("weight"), F.lit(whole)))
 
 
-def all_word_weights(model, vocab: DataFrame) -> DataFrame:
+def all_word_weights(model: TopicModel, vocab: DataFrame) -> DataFrame:
     """Every (topic, word, phi); topics times vocabulary rows."""
-    return topic_words(model, vocab, vocab.count()).drop("rank")
+    return topic_words(model, vocab, model.num_terms).drop("rank")
 
 
 def term_relevance(weights: DataFrame, vocab_counts: DataFrame, lam: float = 0.6) -> DataFrame:
@@ -275,10 +255,10 @@ def neighbour_lists(edges: DataFrame, per_row: int = 10_000) -> DataFrame:
 # --- saving and loading -----------------------------------------------------
 
 
-def save_topic_run(path: str, model, texts: DataFrame, vocab: DataFrame, bow: DataFrame, params: dict) -> None:
+def save_topic_run(path: str, model: TopicModel, texts: DataFrame, vocab: DataFrame, bow: DataFrame, params: dict) -> None:
     """Model, vocabulary, bags, texts and the parameters that made them, under one path."""
     spark = texts.sparkSession
-    model.write().overwrite().save(f"{path}/model")
+    model.save(spark, f"{path}/model")
     for name, table in {"texts": texts, "vocab": vocab, "bow": bow}.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
     row = [(json.dumps(params, sort_keys=True, default=str),)]
@@ -287,12 +267,10 @@ def save_topic_run(path: str, model, texts: DataFrame, vocab: DataFrame, bow: Da
 
 def load_topic_run(spark: SparkSession, model, vocab):
     """(model, vocabulary) from paths, or the live objects as they are."""
-    from pyspark.ml.clustering import LocalLDAModel
-
     if isinstance(model, str) != isinstance(vocab, str):
         raise ValueError("give two paths or two live objects")
     if isinstance(model, str):
-        return LocalLDAModel.load(model), spark.read.parquet(vocab)
+        return TopicModel.load(spark, model), spark.read.parquet(vocab)
     return model, vocab
 
 

@@ -47,16 +47,15 @@ def model_topics(
         no_above=no_above,
         keep_n=keep_n,
     )
-    model = topics.train_topics(topics.term_vectors(texts, vocab), num_topics, passes, chunk_size, alpha=alpha)
+    vectors = topics.term_vectors(texts, vocab)
+    model = topics.train_topics(vectors, num_topics, passes, chunk_size, alpha=alpha, num_terms=vocab.count())
     words = snapshot(topics.topic_words(model, vocab, num_words), "topic-words")
     return TopicRun(model, texts, vocab, bow, words)
 
 
 def community_weights(run: TopicRun, posts: DataFrame) -> DataFrame:
-    vectors = topics.term_vectors(topics.community_tokens(posts), run.vocab)
-    return topics.community_topic_weights(
-        topics.document_topics(run.model, vectors, ["post_id", "subreddit"])
-    )
+    vectors = topics.community_vectors(posts, run.vocab)
+    return topics.community_topic_weights(topics.document_topics(run.model, vectors, ["post_id", "subreddit"]))
 
 
 def topic_community_graph(

@@ -56,6 +56,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one path given by ``fresh_path``, when nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def snapshot(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and return the frame that reads it."""
     spark = df.sparkSession
