@@ -1,10 +1,14 @@
 """Cleaning, tokens, phrases, vocabulary, language and sentiment."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driver_queries.adapters import TEXTS, texts
 from driver_queries.registry import query
 from threadlens.functions import text as tx
+from threadlens.functions.stems import STEMMERS, Dialect, stems
 from threadlens.operators import corpus
 from threadlens.runtime import snapshot
 
@@ -186,6 +190,48 @@ def normal_forms(spark, sf):
     return joined(corpus.map_tokens(prepared, mapping, "en"))
 
 
+DUCK = Dialect(
+    lambda word, pattern: f"regexp_matches({word}, '{pattern}')",
+    lambda word, pattern: f"regexp_extract({word}, '{pattern}', 0)",
+    lambda word, pattern, new: "regexp_replace({}, '{}', '{}', 'g')".format(word, pattern, new.replace("$", "\\")),
+)
+LETTER_WORDS = f"""{TEXTS}, words AS MATERIALIZED (
+  SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ')) AS token FROM texts)"""
+
+
+def _stems_sql(language: str, source: str, name: str) -> str:
+    """CTEs, one for each step of a language's rules; the last has (token, stem)."""
+    tables, before = [], source
+    for i, (column, sql) in enumerate(STEMMERS[language](DUCK)):
+        tables.append(f"{name}{i} AS MATERIALIZED (SELECT *, {sql} AS {column} FROM {before})")
+        before = f"{name}{i}"
+    return ", ".join([*tables, f"{name} AS (SELECT token, stem FROM {before})"])
+
+
+@query(
+    "word_stems",
+    f"WITH {LETTER_WORDS}, " + ", ".join(_stems_sql(g, "words", g) for g in STEMMERS) + " " + " UNION ALL ".join(f"SELECT '{g}' AS lang, token, stem FROM {g}" for g in STEMMERS),
+)
+def word_stems(spark, sf):
+    """Every word of the texts under the rules of each language."""
+    found = texts(spark, sf).select(F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " ")).alias("token"))
+    words = snapshot(found.distinct(), "words")
+    return reduce(DataFrame.unionAll, [stems(words, g).select(F.lit(g).alias("lang"), "token", "stem") for g in STEMMERS])
+
+
+@query(
+    "stemmed_texts",
+    f"""WITH {TOKENS}, words AS MATERIALIZED (SELECT DISTINCT unnest(tokens) AS token FROM tokens), {_stems_sql("en", "words", "en")},
+    placed AS (SELECT text_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM tokens),
+    stemmed AS (SELECT text_id, list(stem ORDER BY pos) AS tokens FROM placed JOIN en USING (token) GROUP BY 1),
+    kept AS (SELECT text_id, coalesce(stemmed.tokens, []) AS tokens FROM texts LEFT JOIN stemmed USING (text_id))
+    SELECT {JOINED} FROM kept""",
+)
+def stemmed_texts(spark, sf):
+    """All tokens of all texts replaced by their English stems."""
+    return joined(corpus.normalize_tokens(token_table(spark, sf), "stemming", None, "en"))
+
+
 LANGUAGES = {
     "en": ["the", "and", "of", "is", "by", "with", "are", "was"],
     "fr": ["le", "la", "que", "qui", "une", "et", "des", "pour"],

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
+from threadlens.functions.stems import stems
 from threadlens.operators.ranking import running_total
 from threadlens.operators.threads import is_first_part, part_start
 from threadlens.runtime import snapshot
@@ -128,10 +129,18 @@ def map_tokens(df: DataFrame, mapping: DataFrame, language: str | None = None, k
     return joined.withColumn("tokens", F.when(F.col("_norms").isNull(), F.col("tokens")).otherwise(replaced)).drop("_norms")
 
 
+def stem_forms(texts: DataFrame, language: str) -> DataFrame:
+    """(lang, token, norm): the stem of every distinct token, by the published rules of the language."""
+    tokens = texts.select(F.explode("tokens").alias("token")).distinct()
+    return stems(tokens, language).select(F.lit(language).alias("lang"), "token", F.col("stem").alias("norm"))
+
+
 def normalize_tokens(
     df: DataFrame, kind: str | None, mapping: DataFrame | None, language: str | None = None, key: str = "text_id"
 ) -> DataFrame:
-    """Stemming or lemmatisation by a caller table; any other kind leaves the tokens as they are."""
+    """Stemming by rules or a caller table, lemmatisation by a caller table; any other kind leaves the tokens as they are."""
+    if kind == "stemming" and mapping is None and language is not None:
+        mapping = stem_forms(df, language)
     if kind in ("stemming", "lemmatization"):
         if mapping is None:
             raise ValueError(f"{kind} needs a (lang, token, norm) table")
@@ -290,10 +299,11 @@ def prepare_corpus(
     no_below: int = NO_BELOW,
     no_above: float = NO_ABOVE,
     keep_n: int | None = KEEP_N,
+    language: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Posts with comment arrays to (texts, vocabulary, bags of words)."""
     texts = with_tokens(post_and_comment_texts(posts, comment_words_in), stopwords, patterns)
-    texts = normalize_tokens(texts, text_preprocessing_type, normal_forms)
+    texts = normalize_tokens(texts, text_preprocessing_type, normal_forms, language)
     texts = with_phrases(texts)
     vocab = snapshot(vocabulary(texts, no_below, no_above, keep_n), "vocabulary")
     return texts, vocab, bag_of_words(texts, vocab)

@@ -34,8 +34,12 @@ def model_topics(
     text_preprocessing_type: str | None = None,
     chunk_size: float = topics.CHUNK_SIZE,
     alpha: float | Sequence[float] | None = None,
+    language: str | None = None,
 ) -> TopicRun:
-    """Posts to a trained model, its texts, vocabulary, bags of words and topic words."""
+    """Posts to a trained model, its texts, vocabulary, bags of words and topic words.
+
+    ``text_preprocessing_type`` "stemming" uses ``normal_forms``, or the rules of ``language``.
+    """
     texts, vocab, bow = corpus.prepare_corpus(
         posts,
         stopwords,
@@ -46,6 +50,7 @@ def model_topics(
         no_below=no_below,
         no_above=no_above,
         keep_n=keep_n,
+        language=language,
     )
     vectors = topics.term_vectors(texts, vocab)
     model = topics.train_topics(vectors, num_topics, passes, chunk_size, alpha=alpha, num_terms=vocab.count())
