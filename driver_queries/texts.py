@@ -257,6 +257,34 @@ def language_guess(spark, sf):
     return corpus.with_language(texts(spark, sf), LANGUAGES).select("text_id", "detected")
 
 
+GRAMS = """grams AS (
+    SELECT text_id, post_language, substr(' ' || w || ' ', unnest(range(1, length(w) + 1)), 3) AS gram FROM (
+      SELECT text_id, post_language, unnest(string_split(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g'), ' ')) AS w FROM texts) WHERE w <> '')"""
+
+
+@query(
+    "language_model",
+    f"""WITH {TEXTS}, {GRAMS},
+    counts AS MATERIALIZED (SELECT post_language AS lang, gram, count(*) AS n FROM grams WHERE text_id % 3 <> 0 GROUP BY 1, 2),
+    totals AS (SELECT lang, round(1000000 * ln(0.5 / (sum(n) + 0.5 * (SELECT count(DISTINCT gram) FROM counts))))::BIGINT AS base FROM counts GROUP BY 1),
+    gains AS (SELECT lang, gram, round(1000000 * ln((n + 0.5) / 0.5))::BIGINT AS gain FROM counts),
+    mine AS (SELECT text_id, gram, count(*) AS n FROM grams GROUP BY 1, 2),
+    sizes AS (SELECT text_id, sum(n) AS n FROM mine GROUP BY 1),
+    hits AS (SELECT text_id, lang, sum(mine.n * gain) AS gain FROM mine JOIN gains USING (gram) GROUP BY 1, 2),
+    scores AS (SELECT s.text_id, t.lang, coalesce(h.gain, 0) + s.n * t.base AS score
+      FROM sizes s CROSS JOIN totals t LEFT JOIN hits h ON h.text_id = s.text_id AND h.lang = t.lang),
+    best AS (SELECT text_id, lang, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, lang) AS place FROM scores)
+    SELECT text_id, post_language, lang AS detected FROM texts LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (text_id)""",
+)
+def language_model(spark, sf):
+    """Profiles learned from two thirds of the texts, and the language of every text."""
+    from threadlens.operators.languages import detect_languages, learn_profiles
+
+    rows = texts(spark, sf)
+    profiles = learn_profiles(rows.where("text_id % 3 <> 0"), "text", "post_language")
+    return rows.select("text_id", "post_language").join(detect_languages(rows, profiles), "text_id")
+
+
 @query(
     "texts_in_language",
     f"SELECT text_id, post_language FROM ({_language_sql()}) JOIN (SELECT doc_id AS text_id, lang AS post_language FROM documents) USING (text_id) WHERE detected = post_language",

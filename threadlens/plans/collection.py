@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import posts as px
 from threadlens.operators import selection, threads
+from threadlens.operators.languages import LanguageProfiles, detect_languages
 
 
 def flatten_submissions(raw: DataFrame, language: str | Column, term: str | Column) -> DataFrame:
@@ -68,11 +69,13 @@ def collect_posts(
     end=None,
     check_comments_language: bool = False,
     seen: DataFrame | None = None,
+    profiles: LanguageProfiles | None = None,
 ) -> DataFrame:
     """Search, filter, de-duplicate and assemble posts with their comment arrays and comment map.
 
     The result limit per (community, term) is taken before the filters, as a search
-    would; the first search to find a post gives its language and term.
+    would; the first search to find a post gives its language and term. Languages are told by learned
+    ``profiles``, or without them by stop words.
     """
     if communities is not None:
         submissions = submissions.join(communities.select("subreddit"), "subreddit", "left_semi")
@@ -82,7 +85,10 @@ def collect_posts(
         hits = selection.limit_results(hits, post_limit, ["subreddit", "lang", "term"], ["created_utc", "id"])
     hits = hits.withColumn("_at", px.epoch_to_timestamp("created_utc"))
     hits = selection.created_between(hits, start, end, "_at").drop("_at")
-    if stopwords_by_language:  # without a table of languages no text can be guessed, and none is dropped
+    if profiles:
+        told = detect_languages(hits.select("id", "title").distinct(), profiles, "id", "title")
+        hits = selection.in_language(hits.join(told, "id", "left"), "detected", F.col("lang")).drop("detected")
+    elif stopwords_by_language:  # without a table of languages no text can be guessed, and none is dropped
         hits = hits.withColumn("_lang", _guess("title", stopwords_by_language))
         hits = selection.in_language(hits, "_lang", F.col("lang")).drop("_lang")
     hits = selection.first_seen(hits, ["lang_rank", "term_rank"], "id")
@@ -91,7 +97,11 @@ def collect_posts(
     posts = flatten_submissions(hits, F.col("lang"), F.col("term"))
 
     rows = flatten_comments(comments)
-    if check_comments_language and stopwords_by_language:
+    if check_comments_language and profiles:
+        rows = rows.join(posts.select("post_id", "post_language"), "post_id")
+        told = detect_languages(rows, profiles, "comment_id", "body")
+        rows = selection.in_language(rows.join(told, "comment_id", "left"), "detected", F.col("post_language")).drop("detected", "post_language")
+    elif check_comments_language and stopwords_by_language:
         languages = posts.select("post_id", "post_language")
         rows = rows.join(languages, "post_id").withColumn("_lang", _guess("body", stopwords_by_language))
         rows = selection.in_language(rows, "_lang", F.col("post_language")).drop("_lang", "post_language")
