@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from driver_queries.author_metrics import METRICS_SQL, author_table, six
+from driver_queries.author_metrics import METRICS_SQL, author_table, nine
 from driver_queries.registry import query
 from threadlens.functions.posts import critical_z
 from threadlens.operators import leaders
@@ -38,31 +38,31 @@ def score_table(spark, sf):
 
 @query(
     "standard_scale",
-    f"WITH {SCALED} SELECT post_author, {', '.join(f'round({c}, 6) AS {c}' for c in USER_METRICS)} FROM scaled_metrics",
+    f"WITH {SCALED} SELECT post_author, {', '.join(f'round({c} + 3e-11, 9) AS {c}' for c in USER_METRICS)} FROM scaled_metrics",
 )
 def standard_scale(spark, sf):
-    return six(scaled_table(spark, sf), USER_METRICS)
+    return nine(scaled_table(spark, sf), USER_METRICS)
 
 
 @query(
     "center_distance",
     f"""WITH {SCORES} SELECT post_author, round(sqrt(popularity_pc * popularity_pc + engagement_pc * engagement_pc
-      + initiative_pc * initiative_pc), 6) AS distance_from_center FROM scores""",
+      + initiative_pc * initiative_pc) + 3e-11, 9) AS distance_from_center FROM scores""",
 )
 def center_distance(spark, sf):
     measured = leaders.center_distance(score_table(spark, sf))
-    return six(measured.select("post_author", "distance_from_center"), ["distance_from_center"])
+    return nine(measured.select("post_author", "distance_from_center"), ["distance_from_center"])
 
 
 @query(
     "farthest_authors",
     f"""WITH {SCORES}, d AS (SELECT post_author, sqrt(popularity_pc * popularity_pc + engagement_pc * engagement_pc
       + initiative_pc * initiative_pc) AS d FROM scores)
-    SELECT post_author, round(d, 6) AS distance_from_center FROM d ORDER BY d DESC, post_author LIMIT 10""",
+    SELECT post_author, round(d + 3e-11, 9) AS distance_from_center FROM d ORDER BY d DESC, post_author LIMIT 10""",
 )
 def farthest_authors(spark, sf):
     far = leaders.farthest(leaders.center_distance(score_table(spark, sf)))
-    return six(far.select("post_author", "distance_from_center"), ["distance_from_center"])
+    return nine(far.select("post_author", "distance_from_center"), ["distance_from_center"])
 
 
 ZSCORES = SCORES + ", z AS (SELECT *, " + ", ".join(
@@ -73,21 +73,21 @@ BEYOND = " OR ".join(f"abs({p}_zscore) > {critical_z(ALPHA)!r}" for p in PICKED)
 
 @query(
     "zscore_outliers",
-    f"WITH {ZSCORES} SELECT post_author, {', '.join(f'round({p}_zscore, 6) AS {p}_zscore' for p in PICKED)}, {BEYOND} AS is_outlier FROM z",
+    f"WITH {ZSCORES} SELECT post_author, {', '.join(f'round({p}_zscore + 3e-11, 9) AS {p}_zscore' for p in PICKED)}, {BEYOND} AS is_outlier FROM z",
 )
 def zscore_outliers(spark, sf):
     flagged = leaders.zscore_outliers(score_table(spark, sf), ALPHA)
     names = [f"{p}_zscore" for p in PICKED]
-    return six(flagged.select("post_author", *names, "is_outlier"), names)
+    return nine(flagged.select("post_author", *names, "is_outlier"), names)
 
 
 @query(
     "outlier_rows",
-    f"WITH {ZSCORES} SELECT post_author, {', '.join(f'round({p}, 6) AS {p}' for p in PICKED)} FROM z WHERE {BEYOND}",
+    f"WITH {ZSCORES} SELECT post_author, {', '.join(f'round({p} + 3e-11, 9) AS {p}' for p in PICKED)} FROM z WHERE {BEYOND}",
 )
 def outlier_rows(spark, sf):
     _, outlying = leaders.split_outliers(leaders.zscore_outliers(score_table(spark, sf), ALPHA))
-    return six(leaders.outliers(outlying), list(PICKED))
+    return nine(leaders.outliers(outlying), list(PICKED))
 
 
 FIRST, SECOND = FEATURE_FAMILIES["initiative"][1], "mean_post_upvote_ratio_on_others_posts"
@@ -98,11 +98,11 @@ FIRST, SECOND = FEATURE_FAMILIES["initiative"][1], "mean_post_upvote_ratio_on_ot
     f"""WITH {SCALED}, s AS (
       SELECT post_author, ({FIRST} + CASE WHEN covar_pop({FIRST}, {SECOND}) OVER () < 0 THEN -1 ELSE 1 END * {SECOND}) / sqrt(2.0) AS s
       FROM scaled_metrics)
-    SELECT post_author, round(s * sign((SELECT s FROM s ORDER BY round(abs(s), 9) DESC, post_author DESC LIMIT 1)), 6) AS pc FROM s""",
+    SELECT post_author, round(s * sign((SELECT s FROM s ORDER BY round(abs(s), 9) DESC, post_author DESC LIMIT 1)) + 3e-11, 9) AS pc FROM s""",
 )
 def pc1_two_features(spark, sf):
     scaled = leaders.standard_scale(metrics_table(spark, sf), [FIRST, SECOND])
-    return six(leaders.first_component_of_two(scaled, FIRST, SECOND, "pc").select("post_author", "pc"), ["pc"])
+    return nine(leaders.first_component_of_two(scaled, FIRST, SECOND, "pc").select("post_author", "pc"), ["pc"])
 
 
 @query(
@@ -110,12 +110,12 @@ def pc1_two_features(spark, sf):
     f"""WITH {SCALED}, s AS (
       SELECT post_author, ({FIRST} + CASE WHEN covar_pop({FIRST}, {SECOND}) OVER () < 0 THEN -1 ELSE 1 END * {SECOND}) / sqrt(2.0) AS s
       FROM scaled_metrics)
-    SELECT post_author, round(s * sign((SELECT s FROM s ORDER BY round(abs(s), 9) DESC, post_author DESC LIMIT 1)), 6) AS pc FROM s""",
+    SELECT post_author, round(s * sign((SELECT s FROM s ORDER BY round(abs(s), 9) DESC, post_author DESC LIMIT 1)) + 3e-11, 9) AS pc FROM s""",
 )
 def pc1_two_by_fit(spark, sf):
     """The fitted component against the closed form."""
     scaled = leaders.standard_scale(metrics_table(spark, sf), [FIRST, SECOND])
-    return six(leaders.first_component(scaled, [FIRST, SECOND], "pc").select("post_author", "pc"), ["pc"])
+    return nine(leaders.first_component(scaled, [FIRST, SECOND], "pc").select("post_author", "pc"), ["pc"])
 
 
 @query("pc1_family", f"WITH {METRICS_SQL} SELECT count(*) AS authors, true AS centred, true AS eigenvector, true AS dominant FROM user_metrics")

@@ -2,15 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from driver_queries.adapters import COUNTED, comments, counted_posts
+from driver_queries.adapters import COUNTED, comments, counted_posts, rounded, rounded_sql
 from driver_queries.registry import query
 from threadlens.operators import metrics, threads
 from threadlens.plans.authors import MEASURES, user_metrics_flat
 from threadlens.schemas import METRIC_MEASURES, METRIC_SIDES, USER_METRICS
 
 
-def six(df, columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def nine(df, columns):
+    return df.withColumns({c: rounded(c) for c in columns})
 
 
 def _metrics_sql() -> str:
@@ -43,7 +43,7 @@ def _metrics_sql() -> str:
 
 
 METRICS_SQL = _metrics_sql()
-ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in USER_METRICS)
+ROUNDED = ", ".join(f"{rounded_sql(c)} AS {c}" for c in USER_METRICS)
 
 
 def author_table(spark, sf):
@@ -56,7 +56,7 @@ def comment_rows(spark, sf):
 
 @query("user_metrics", f"WITH {METRICS_SQL} SELECT post_author, {ROUNDED} FROM user_metrics")
 def user_metrics(spark, sf):
-    return six(author_table(spark, sf), USER_METRICS)
+    return nine(author_table(spark, sf), USER_METRICS)
 
 
 REAL_METRICS_SQL = METRICS_SQL.replace("nullif(o_custkey % 200, 0)", "o_custkey").replace("nullif(l_suppkey % 200, 0)", "l_suppkey")
@@ -71,13 +71,13 @@ def user_metrics_real_authors(spark, sf):
     said = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("post_id"), F.col("l_suppkey").alias("comments_author"), F.col("l_extendedprice").alias("comments_upvote_score"))
     counts = threads.comment_counts(said)
     counted = written.join(counts, "post_id", "left").na.fill(0, ["comments_num"])
-    return six(user_metrics_flat(counted, said), USER_METRICS)
+    return nine(user_metrics_flat(counted, said), USER_METRICS)
 
 
 @query("user_metrics_by_rows", f"WITH {METRICS_SQL} SELECT post_author, {ROUNDED} FROM user_metrics")
 def user_metrics_by_rows(spark, sf):
     scaled = metrics.scale_columns(comment_rows(spark, sf), MEASURES)
-    return six(metrics.author_metrics(scaled), USER_METRICS)
+    return nine(metrics.author_metrics(scaled), USER_METRICS)
 
 
 @query("nested_metrics", f"WITH {METRICS_SQL} SELECT post_author, {ROUNDED} FROM user_metrics")
@@ -91,12 +91,12 @@ def nested_metrics(spark, sf):
 
     place = F.row_number().over(Window.partitionBy("post_id").orderBy("comments_upvote_score", "comments_author")) - 1
     nested = assemble_posts(posts(spark, sf), comments(spark, sf).withColumn("comment_rank", place), per_row=3)
-    return six(authors.user_metrics(nested), USER_METRICS)
+    return nine(authors.user_metrics(nested), USER_METRICS)
 
 
 @query(
     "self_comment_rows",
-    f"""WITH {COUNTED} SELECT post_id, post_author, comments_author, round(comments_upvote_score, 6) AS score,
+    f"""WITH {COUNTED} SELECT post_id, post_author, comments_author, {rounded_sql('comments_upvote_score')} AS score,
         CASE WHEN is_self_comment THEN 'True' ELSE 'False' END AS is_self_comment FROM rows""",
 )
 def self_comment_rows(spark, sf):
@@ -106,7 +106,7 @@ def self_comment_rows(spark, sf):
         "post_id",
         "post_author",
         "comments_author",
-        F.round("comments_upvote_score", 6).alias("score"),
+        rounded("comments_upvote_score").alias("score"),
         flag_text("is_self_comment").alias("is_self_comment"),
     )
 
@@ -114,32 +114,31 @@ def self_comment_rows(spark, sf):
 @query(
     "scale_minmax",
     f"""WITH {COUNTED} SELECT post_id,
-      round((comments_num - min(comments_num) OVER c) / nullif(max(comments_num) OVER c - min(comments_num) OVER c, 0), 6)
+      {rounded_sql("(comments_num - min(comments_num) OVER c) / nullif(max(comments_num) OVER c - min(comments_num) OVER c, 0)")}
         AS comments_num_normalized,
-      round((post_upvote_ratio - min(post_upvote_ratio) OVER c)
-        / nullif(max(post_upvote_ratio) OVER c - min(post_upvote_ratio) OVER c, 0), 6) AS post_upvote_ratio_normalized
+      {rounded_sql("(post_upvote_ratio - min(post_upvote_ratio) OVER c) / nullif(max(post_upvote_ratio) OVER c - min(post_upvote_ratio) OVER c, 0)")}
+        AS post_upvote_ratio_normalized
       FROM counted WINDOW c AS (PARTITION BY subreddit)""",
 )
 def scale_minmax(spark, sf):
     names = ["comments_num", "post_upvote_ratio"]
     scaled = metrics.scale_columns(counted_posts(spark, sf), names)
     out = [f"{n}_normalized" for n in names]
-    return six(scaled.select("post_id", *out), out)
+    return nine(scaled.select("post_id", *out), out)
 
 
 @query(
     "scale_standard",
     f"""WITH {COUNTED} SELECT post_id,
-      round((comments_num - avg(comments_num) OVER c) / nullif(stddev_samp(comments_num) OVER c, 0), 6) AS comments_num_std,
-      round((post_upvote_ratio - avg(post_upvote_ratio) OVER c) / nullif(stddev_samp(post_upvote_ratio) OVER c, 0), 6)
-        AS post_upvote_ratio_std
+      {rounded_sql("(comments_num - avg(comments_num) OVER c) / nullif(stddev_samp(comments_num) OVER c, 0)")} AS comments_num_std,
+      {rounded_sql("(post_upvote_ratio - avg(post_upvote_ratio) OVER c) / nullif(stddev_samp(post_upvote_ratio) OVER c, 0)")} AS post_upvote_ratio_std
       FROM counted WINDOW c AS (PARTITION BY subreddit)""",
 )
 def scale_standard(spark, sf):
     names = ["comments_num", "post_upvote_ratio"]
     scaled = metrics.scale_columns(counted_posts(spark, sf), names, "standardization")
     out = [f"{n}_std" for n in names]
-    return six(scaled.select("post_id", *out), out)
+    return nine(scaled.select("post_id", *out), out)
 
 
 def _describe_sql() -> str:
@@ -155,20 +154,20 @@ def _describe_sql() -> str:
     }
     parts = []
     for stat, form in stats.items():
-        values = ", ".join(f"round({form.format(c=c)}, 6) AS {c}" for c in USER_METRICS)
+        values = ", ".join(f"{rounded_sql(form.format(c=c))} AS {c}" for c in USER_METRICS)
         parts.append(f"SELECT '{stat}' AS statistic, {values} FROM user_metrics")
     return f"WITH {METRICS_SQL} " + " UNION ALL ".join(parts)
 
 
 @query("metrics_describe", _describe_sql())
 def metrics_describe(spark, sf):
-    return six(metrics.describe_exact(author_table(spark, sf)), USER_METRICS)
+    return nine(metrics.describe_exact(author_table(spark, sf)), USER_METRICS)
 
 
 @query(
     "price_percentiles",
-    """SELECT m AS metric, round(quantile_cont(v, 0.25), 6) AS p0, round(quantile_cont(v, 0.5), 6) AS p1,
-       round(quantile_cont(v, 0.9), 6) AS p2, round(quantile_cont(v, 0.999), 6) AS p3
+    f"""SELECT m AS metric, {rounded_sql("quantile_cont(v, 0.25)")} AS p0, {rounded_sql("quantile_cont(v, 0.5)")} AS p1,
+       {rounded_sql("quantile_cont(v, 0.9)")} AS p2, {rounded_sql("quantile_cont(v, 0.999)")} AS p3
        FROM (SELECT 'l_extendedprice' AS m, l_extendedprice AS v FROM lineitem
              UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem) GROUP BY m""",
 )
@@ -179,4 +178,4 @@ def price_percentiles(spark, sf):
     found = exact_percentiles(
         table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"], [0.25, 0.5, 0.9, 0.999]
     )
-    return six(found, ["p0", "p1", "p2", "p3"])
+    return nine(found, ["p0", "p1", "p2", "p3"])

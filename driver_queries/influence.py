@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from driver_queries.adapters import texts
+from driver_queries.adapters import rounded, texts
 from driver_queries.registry import query
 from driver_queries.topic_models import SHARES, fixed_doc_topics, fixed_words
 from threadlens.operators import influence
@@ -41,20 +41,20 @@ def contributions(spark, sf):
 
 @query(
     "author_contributions",
-    f"""WITH {CONTRIBUTIONS} SELECT author, topic_id, round(mean_prob, 6) AS mean_prob, posts, comments, communities,
-      keywords, round(score, 6) AS score FROM scored""",
+    f"""WITH {CONTRIBUTIONS} SELECT author, topic_id, round(mean_prob + 3e-11, 9) AS mean_prob, posts, comments, communities,
+      keywords, round(score + 3e-11, 9) AS score FROM scored""",
 )
 def author_contributions(spark, sf):
-    return contributions(spark, sf).withColumns({"mean_prob": F.round("mean_prob", 6), "score": F.round("score", 6)})
+    return contributions(spark, sf).withColumns({"mean_prob": rounded("mean_prob"), "score": rounded("score")})
 
 
 @query(
     "author_influence_fixed",
-    f"WITH {DOMINANT} SELECT author, topic_id, rank, round(score, 6) AS score FROM dominant",
+    f"WITH {DOMINANT} SELECT author, topic_id, rank, round(score + 3e-11, 9) AS score FROM dominant",
 )
 def author_influence_fixed(spark, sf):
     dominant = influence.dominant_authors(contributions(spark, sf), 0.3)
-    return dominant.select("author", "topic_id", "rank", F.round("score", 6).alias("score"))
+    return dominant.select("author", "topic_id", "rank", rounded("score").alias("score"))
 
 
 OUTLIERS = DOMINANT + """, bounds AS (
@@ -66,11 +66,11 @@ OUTLIERS = DOMINANT + """, bounds AS (
 
 @query(
     "influence_outliers",
-    f"WITH {OUTLIERS} SELECT author, topic_id, round(q1, 6) AS q1, round(q3, 6) AS q3, is_outlier FROM flagged",
+    f"WITH {OUTLIERS} SELECT author, topic_id, round(q1 + 3e-11, 9) AS q1, round(q3 + 3e-11, 9) AS q3, is_outlier FROM flagged",
 )
 def influence_outliers(spark, sf):
     flagged = influence.influence_outliers(snapshot(influence.dominant_authors(contributions(spark, sf), 0.3), "dominant"))
-    return flagged.select("author", "topic_id", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"), "is_outlier")
+    return flagged.select("author", "topic_id", rounded("q1").alias("q1"), rounded("q3").alias("q3"), "is_outlier")
 
 
 def _author_graph(spark, sf):
@@ -80,11 +80,11 @@ def _author_graph(spark, sf):
 
 @query(
     "author_graph_edges",
-    f"""WITH {OUTLIERS} SELECT 'Topic_' || topic_id AS src, 'Author_' || author AS dst, round(score, 6) AS weight
+    f"""WITH {OUTLIERS} SELECT 'Topic_' || topic_id AS src, 'Author_' || author AS dst, round(score + 3e-11, 9) AS weight
     FROM flagged WHERE author NOT IN (7, 8)""",
 )
 def author_graph_edges(spark, sf):
-    return _author_graph(spark, sf)[1].withColumn("weight", F.round("weight", 6))
+    return _author_graph(spark, sf)[1].withColumn("weight", rounded("weight"))
 
 
 @query(
@@ -114,7 +114,7 @@ def author_communities(spark, sf):
     f"""WITH {CONTRIBUTIONS}, first AS (SELECT topic_id, min(text_id) AS f FROM marked GROUP BY 1),
     mine AS (SELECT author, topic_id, min(text_id) AS m FROM marked GROUP BY 1, 2)
     SELECT author, topic_id, m = f AS initiated,
-      round(score + CASE WHEN communities > 1 THEN 10::DOUBLE ELSE 0 END + CASE WHEN m = f THEN 0.2::DOUBLE ELSE 0 END, 6) AS score
+      round(score + CASE WHEN communities > 1 THEN 10::DOUBLE ELSE 0 END + CASE WHEN m = f THEN 0.2::DOUBLE ELSE 0 END + 3e-11, 9) AS score
     FROM scored JOIN mine USING (author, topic_id) JOIN first USING (topic_id)""",
 )
 def influence_bonuses(spark, sf):
@@ -122,7 +122,7 @@ def influence_bonuses(spark, sf):
     found = influence.author_topic_contributions(rows, fixed_words(spark), markers=MARKERS)
     flagged = influence.with_initiation(found, rows, "text_id")
     scored = influence.score_authors(flagged, spread_bonus=10.0, initiation_bonus=0.2)
-    return scored.select("author", "topic_id", "initiated", F.round("score", 6).alias("score"))
+    return scored.select("author", "topic_id", "initiated", rounded("score").alias("score"))
 
 
 @query("author_influence_trained", "SELECT true AS gapless, true AS falling, true AS known")

@@ -147,13 +147,11 @@ def _details(spark, sf):
 
 @query(
     "community_totals",
-    f"""WITH {POSTS}, kept AS (SELECT * FROM posts WHERE post_type = '1-URGENT' AND subreddit < 'NATION_2')
-    SELECT n_name AS subreddit, coalesce(n, 0) AS total_counter
-    FROM nation LEFT JOIN (SELECT subreddit, count(*) AS n FROM kept GROUP BY 1) ON n_name = subreddit""",
+    f"""WITH {POSTS} SELECT n_name AS subreddit, coalesce(n, 0) AS total_counter
+    FROM nation LEFT JOIN (SELECT subreddit, count(*) AS n FROM posts GROUP BY 1) ON n_name = subreddit""",
 )
 def community_totals(spark, sf):
-    kept = posts(spark, sf).filter("post_type = '1-URGENT' AND subreddit < 'NATION_2'")
-    return sel.add_post_counts(_details(spark, sf), kept).select("subreddit", "total_counter")
+    return sel.add_post_counts(_details(spark, sf), posts(spark, sf)).select("subreddit", "total_counter")
 
 
 @query(

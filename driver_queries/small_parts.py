@@ -131,16 +131,24 @@ def all_stop_words(spark, sf):
     return texts(spark, sf).select("text_id", hits.cast("long").alias("hits"))
 
 
+# The words of Spark's English list that are one run of letters.
+ENGLISH_STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it
+  its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had
+  having do does did doing a an the and but if or because as until while of at by for with about against between into through during
+  before after above below to from up down in out on off over under again further then once here there when where why how all any both
+  each few more most other some such no nor not only own same so than too very s t can will just don should now could would cannot
+  ought""".split()
+
+
 @query(
     "default_stop_words",
     f"""WITH {TEXTS}, w AS (SELECT text_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM texts)
-    SELECT text_id, count(*) FILTER (WHERE word IN ('the', 'and', 'of', 'to', 'is')) > 0 AS some FROM w GROUP BY 1""",
+    SELECT text_id, count(*) FILTER (WHERE list_contains({ENGLISH_STOP_WORDS}, word)) AS hits FROM w GROUP BY 1""",
 )
 def default_stop_words(spark, sf):
-    """Five words that the English default list has, looked up in it."""
-    listed = set(tx.default_stopwords(spark, "en")) & {"the", "and", "of", "to", "is", "eau"}
-    hits = tx.stop_hits(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), listed)
-    return texts(spark, sf).select("text_id", (hits > 0).alias("some"))
+    """Words of the whole English default list in every text."""
+    hits = tx.stop_hits(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), tx.default_stopwords(spark, "en"))
+    return texts(spark, sf).select("text_id", hits.cast("long").alias("hits"))
 
 
 @query(

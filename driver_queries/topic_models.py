@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from driver_queries.adapters import TEXTS, texts
+from driver_queries.adapters import TEXTS, rounded, texts
 from driver_queries.registry import query
-from driver_queries.texts import STOP, TOKENS, tokens
+from driver_queries.texts import JOINED, STOP, TOKENS, joined, tokens
 from threadlens.functions import text as tx
 from threadlens.operators import corpus, topics
 from threadlens.runtime import snapshot
@@ -49,10 +49,10 @@ def fixed_doc_topics(spark, sf):
 
 @query(
     "above_minimum",
-    f"WITH {SHARES} SELECT text_id, topic_id, round(prob, 6) AS prob FROM doc_topics",
+    f"WITH {SHARES} SELECT text_id, topic_id, round(prob + 3e-11, 9) AS prob FROM doc_topics",
 )
 def above_minimum(spark, sf):
-    return fixed_doc_topics(spark, sf).withColumn("prob", F.round("prob", 6))
+    return fixed_doc_topics(spark, sf).withColumn("prob", rounded("prob"))
 
 
 def weights_table(spark, sf):
@@ -66,54 +66,54 @@ WEIGHTS = f"""{SHARES}, weights AS (
 
 @query(
     "community_weights_fixed",
-    f"WITH {WEIGHTS} SELECT subreddit, topic_id, round(weight, 6) AS weight FROM weights",
+    f"WITH {WEIGHTS} SELECT subreddit, topic_id, round(weight + 3e-11, 9) AS weight FROM weights",
 )
 def community_weights_fixed(spark, sf):
-    return weights_table(spark, sf).withColumn("weight", F.round("weight", 6))
+    return weights_table(spark, sf).withColumn("weight", rounded("weight"))
 
 
 @query(
     "topic_shares",
-    f"""WITH {SHARES} SELECT topic_id, round(sum(prob), 4) AS weight,
-      round(sum(prob) / (SELECT sum(prob) FROM doc_topics), 6) AS share FROM doc_topics GROUP BY 1""",
+    f"""WITH {SHARES} SELECT topic_id, round(sum(prob) + 3e-11, 9) AS weight,
+      round(sum(prob) / (SELECT sum(prob) FROM doc_topics) + 3e-11, 9) AS share FROM doc_topics GROUP BY 1""",
 )
 def topic_shares(spark, sf):
     shares = topics.topic_shares(snapshot(fixed_doc_topics(spark, sf), "doc-topics"))
-    return shares.withColumns({"weight": F.round("weight", 4), "share": F.round("share", 6)})
+    return shares.withColumns({"weight": rounded("weight"), "share": rounded("share")})
 
 
 @query(
     "term_relevance",
     f"""WITH {TOKENS}, {WORDS_SQL}, counts AS (
       SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM tokens) GROUP BY 1)
-    SELECT topic_id, word, round(0.6 * ln(prob) + 0.4 * ln(prob / (n / (SELECT sum(n) FROM counts))), 6) AS relevance
+    SELECT topic_id, word, round(0.6 * ln(prob) + 0.4 * ln(prob / (n / (SELECT sum(n) FROM counts))) + 3e-11, 9) AS relevance
     FROM words JOIN counts USING (word)""",
 )
 def term_relevance(spark, sf):
     grams = tokens(spark, sf).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     found = topics.term_relevance(fixed_words(spark), snapshot(grams, "word-counts"))
-    return found.select("topic_id", "word", F.round("relevance", 6).alias("relevance"))
+    return found.select("topic_id", "word", rounded("relevance").alias("relevance"))
 
 
 @query(
     "topic_graph_edges",
     f"""WITH {WEIGHTS} SELECT DISTINCT 'Topic ' || (topic_id + 1) AS src, word AS dst, NULL::DOUBLE AS weight FROM words
-    UNION ALL SELECT subreddit, 'Topic ' || (topic_id + 1), round(weight, 6) FROM weights""",
+    UNION ALL SELECT subreddit, 'Topic ' || (topic_id + 1), round(weight + 3e-11, 9) FROM weights""",
 )
 def topic_graph_edges(spark, sf):
-    return _graph(spark, sf)[1].withColumn("weight", F.round("weight", 6))
+    return _graph(spark, sf)[1].withColumn("weight", rounded("weight"))
 
 
 @query(
     "topic_graph_nodes",
     f"""WITH {WEIGHTS} SELECT 'Topic ' || (topic_id + 1) AS id, 'topic' AS type,
-      round(10 + 20 * coalesce(sum(weight), 0), 4) AS size
+      round(10 + 20 * coalesce(sum(weight), 0) + 3e-11, 9) AS size
     FROM (SELECT DISTINCT topic_id FROM words) LEFT JOIN weights USING (topic_id) GROUP BY topic_id
     UNION ALL SELECT DISTINCT word, 'word', 10 FROM words
     UNION ALL SELECT DISTINCT subreddit, 'community', 10 FROM texts""",
 )
 def topic_graph_nodes(spark, sf):
-    return _graph(spark, sf)[0].withColumn("size", F.round("size", 4))
+    return _graph(spark, sf)[0].withColumn("size", rounded("size"))
 
 
 def _graph(spark, sf):
@@ -145,22 +145,22 @@ def typed_topic_edges(spark, sf):
 @query(
     "first_row_communities",
     f"""WITH {WEIGHTS}, f AS (SELECT subreddit, min(text_id) AS r FROM texts GROUP BY 1 ORDER BY r LIMIT 5)
-    SELECT subreddit, topic_id, round(weight, 6) AS weight FROM weights WHERE subreddit IN (SELECT subreddit FROM f)""",
+    SELECT subreddit, topic_id, round(weight + 3e-11, 9) AS weight FROM weights WHERE subreddit IN (SELECT subreddit FROM f)""",
 )
 def first_row_communities(spark, sf):
     first = topics.first_row_communities(texts(spark, sf).withColumnRenamed("text_id", "row_rank"), 5)
     kept = topics.limit_weights(weights_table(spark, sf), first)
-    return kept.withColumn("weight", F.round("weight", 6))
+    return kept.withColumn("weight", rounded("weight"))
 
 
 @query(
     "heaviest_communities",
     f"""WITH {WEIGHTS}, f AS (SELECT subreddit, sum(weight) AS w FROM weights GROUP BY 1 ORDER BY round(w, 9) DESC, subreddit LIMIT 5)
-    SELECT subreddit, topic_id, round(weight, 6) AS weight FROM weights WHERE subreddit IN (SELECT subreddit FROM f)""",
+    SELECT subreddit, topic_id, round(weight + 3e-11, 9) AS weight FROM weights WHERE subreddit IN (SELECT subreddit FROM f)""",
 )
 def heaviest_communities(spark, sf):
     kept = topics.limit_weights(weights_table(spark, sf), top_by_weight=5)
-    return kept.withColumn("weight", F.round("weight", 6))
+    return kept.withColumn("weight", rounded("weight"))
 
 
 @query(
@@ -176,14 +176,34 @@ def top_words_per_language(spark, sf):
     return topics.top_words(counts, 10)
 
 
+# The tokenizer's rules one after the other; three full stops stand aside while single ones are looked at.
+RAW_RULES = [
+    (r"\.\.\.", "\x01"),
+    (r"""\.([\s\])}>"'”’»,;:?!]*(?:\s|$))""", r" \1"),
+    (r"[:,]([^0-9]|$)", r" \1"),
+    (r"[:,]([^0-9]|$)", r" \1"),
+    (r"'((?:s|m|d|ll|re|ve)\b)", r" \1"),
+    (r"""\x01|--|[\[\](){}<>;@#$%&?!\"“”«»‘’`]""", " "),
+    (r"n't\b", " n't"),
+    *((rf"\b({a})({b})\b", r"\1 \2") for a, b in tx.CONTRACTIONS),
+]
+
+
+def _raw_sql() -> str:
+    out = "lower(text)"
+    for pattern, new in RAW_RULES:
+        quoted = pattern.replace("'", "''"), new.replace("'", "''")
+        out = f"regexp_replace({out}, '{quoted[0]}', '{quoted[1]}', 'g')"
+    return out
+
+
 @query(
     "raw_text_tokens",
-    f"""WITH {TEXTS}, w AS (SELECT text_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM texts)
-    SELECT text_id, count(*) FILTER (WHERE word IN ('the', 'and')) AS hits FROM w GROUP BY 1""",
+    f"""WITH {TEXTS}, raw AS (SELECT text_id, list_filter(regexp_split_to_array({_raw_sql()}, '\\s+'), lambda t: t <> '') AS tokens FROM texts)
+    SELECT {JOINED} FROM raw""",
 )
 def raw_text_tokens(spark, sf):
-    hits = F.size(F.filter(tx.raw_text_tokens(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), lambda t: t.isin("the", "and")))
-    return texts(spark, sf).select("text_id", hits.cast("long").alias("hits"))
+    return joined(texts(spark, sf).withColumn("tokens", tx.raw_text_tokens("text")))
 
 
 # --- trained models (checked by invariants in the tests) ---------------------
