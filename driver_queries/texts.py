@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driver_queries.adapters import TEXTS, texts
+from driver_queries.adapters import TEXTS, rounded, texts
 from driver_queries.registry import query
 from threadlens.functions import text as tx
 from threadlens.functions.stems import STEMMERS, Dialect, stems
@@ -312,3 +312,62 @@ def sentiment_labels(spark, sf):
     lexicon = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
     labelled = corpus.sentiment_labels(texts(spark, sf), lexicon)
     return labelled.select("text_id", F.round("compound", 6).alias("compound"), "sentiment")
+
+
+# Words of the texts in the part of intensifiers and negations, so that every rule meets them.
+CONTEXT_BOOSTERS = {"of": 0.293, "to": 0.293, "in": -0.293, "de": -0.293, "in the": -0.293, "of the": -0.293}
+CONTEXT_NEGATIONS = ["is", "not", "never", "was", "la", "mit"]
+BOOST_SQL = "CASE " + " ".join(f"WHEN {{0}} = '{w}' THEN {v}::DOUBLE" for w, v in CONTEXT_BOOSTERS.items()) + " END"
+SIGN_SQL = "(CASE WHEN v < 0 THEN -1 ELSE 1 END)"
+
+
+def _turn_sql(place: int) -> str:
+    a, b, c = "coalesce(lower(p1), '')", "coalesce(lower(p2), '')", "coalesce(lower(p3), '')"
+    me = [a, b, c][place - 1]
+    never = {1: "false", 2: f"{b} = 'never' AND {a} IN ('so', 'this')", 3: f"{c} = 'never' AND ({b} IN ('so', 'this') OR {a} IN ('so', 'this'))"}[place]
+    doubt = {1: "false", 2: f"{b} = 'without' AND {a} = 'doubt'", 3: f"{c} = 'without' AND ({b} = 'doubt' OR {a} = 'doubt')"}[place]
+    negated = f"{me} IN ({', '.join(repr(w) for w in CONTEXT_NEGATIONS)}) OR contains({me}, 'n''t')"
+    return f"CASE WHEN {never} THEN 1.25 WHEN {doubt} THEN 1 WHEN {negated} THEN -0.74 ELSE 1 END"
+
+
+def _neighbour_sql(place: int, before: str) -> str:
+    word = f"p{place}"
+    weight = f"({BOOST_SQL.format(f'lower({word})')} * {SIGN_SQL} + CASE WHEN {word} = upper({word}) AND {word} <> lower({word}) AND mixed THEN CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END)"
+    phrases = ""
+    if place == 3:
+        grams = ["lower(p3) || ' ' || lower(p2) || ' ' || lower(p1)", "lower(p3) || ' ' || lower(p2)", "lower(p2) || ' ' || lower(p1)"]
+        phrases = "".join(f" + coalesce({BOOST_SQL.format(f'({g})')}, 0)" for g in grams)
+    moved = f"(v + coalesce({weight} * {(1.0, 0.95, 0.9)[place - 1]}, 0)) * {_turn_sql(place)}{phrases}"
+    return f"n{place} AS (SELECT * EXCLUDE (v), CASE WHEN {word} IS NOT NULL AND lower({word}) NOT IN (SELECT word FROM lexicon) THEN {moved} ELSE v END AS v FROM {before})"
+
+
+@query(
+    "sentiment_in_context",
+    f"""WITH {TEXTS}, lexicon(word, base) AS (VALUES {", ".join(f"('{w}', {v}::DOUBLE)" for w, v in LEXICON.items())}),
+    split AS (SELECT text_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM texts),
+    bare AS (SELECT text_id, text, list_transform(ws, lambda w: CASE WHEN length(regexp_replace(w, '^[!-/:-@\\[-`{{-~]+|[!-/:-@\\[-`{{-~]+$', '', 'g')) <= 2 THEN w
+      ELSE regexp_replace(w, '^[!-/:-@\\[-`{{-~]+|[!-/:-@\\[-`{{-~]+$', '', 'g') END) AS ws FROM split),
+    flags AS (SELECT *, len(list_filter(ws, lambda w: w = upper(w) AND w <> lower(w))) AS caps, list_position(list_transform(ws, lambda w: lower(w)), 'but') AS but FROM bare),
+    placed AS (SELECT text_id, caps > 0 AND caps < len(ws) AS mixed, coalesce(but, 0) AS but, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM flags),
+    around AS (SELECT *, lag(w, 1) OVER t AS p1, lag(w, 2) OVER t AS p2, lag(w, 3) OVER t AS p3, lead(w) OVER t AS nx FROM placed WINDOW t AS (PARTITION BY text_id ORDER BY pos)),
+    hit AS (SELECT *, lower(w) AS word FROM around JOIN lexicon ON lower(w) = word),
+    based AS (SELECT *, CASE WHEN lower(p1) = 'no' OR lower(p2) = 'no' OR (lower(p3) = 'no' AND lower(p1) IN ('or', 'nor')) THEN base * -0.74
+      WHEN lower(w) = 'no' AND lower(nx) IN (SELECT word FROM lexicon) THEN 0 ELSE base END AS v0 FROM hit),
+    n0 AS (SELECT *, v0 + CASE WHEN w = upper(w) AND w <> lower(w) AND mixed THEN CASE WHEN v0 < 0 THEN -0.733 ELSE 0.733 END ELSE 0 END AS v FROM based),
+    {_neighbour_sql(1, "n0")}, {_neighbour_sql(2, "n1")}, {_neighbour_sql(3, "n2")},
+    last AS (SELECT text_id, CASE WHEN {BOOST_SQL.format("lower(w)")} IS NOT NULL OR (lower(w) = 'kind' AND lower(nx) = 'of') THEN 0
+      WHEN lower(p1) = 'least' AND lower(p1) NOT IN (SELECT word FROM lexicon) AND coalesce(lower(p2), '') NOT IN ('at', 'very') THEN v * -0.74 ELSE v END
+      * CASE WHEN but > 0 AND pos < but THEN 0.5 WHEN but > 0 AND pos > but THEN 1.5 ELSE 1 END AS v FROM n3),
+    sums AS (SELECT text_id, sum(v) AS s FROM last GROUP BY 1),
+    marks AS (SELECT text_id, length(text) - length(replace(text, '!', '')) AS e, length(text) - length(replace(text, '?', '')) AS q FROM texts),
+    stressed AS (SELECT text_id, s, least(e, 4) * 0.292 + CASE WHEN q <= 1 THEN 0 WHEN q <= 3 THEN q * 0.18 ELSE 0.96 END AS m FROM marks LEFT JOIN sums USING (text_id)),
+    c AS (SELECT text_id, CASE WHEN s > 0 THEN s + m WHEN s < 0 THEN s - m ELSE s END AS t FROM stressed)
+    SELECT text_id, round(t / sqrt(t * t + 15) + 3e-11, 9) AS compound, CASE WHEN t IS NULL THEN 'unknown' WHEN t / sqrt(t * t + 15) >= 0.05 THEN 'positive'
+      WHEN t / sqrt(t * t + 15) <= -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment FROM c""",
+)
+def sentiment_in_context(spark, sf):
+    from threadlens.operators import sentiment
+
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+    found = sentiment.sentiment_in_context(texts(spark, sf), lexicon, boosters=CONTEXT_BOOSTERS, negations=CONTEXT_NEGATIONS)
+    return found.withColumn("compound", rounded("compound"))
