@@ -6,7 +6,7 @@ from driver_queries.adapters import TEXTS, rounded, texts
 from driver_queries.registry import query
 from driver_queries.texts import JOINED, STOP, TOKENS, joined, tokens
 from threadlens.functions import text as tx
-from threadlens.operators import corpus, topics
+from threadlens.operators import corpus, topic_map, topics
 from threadlens.runtime import snapshot
 
 NUM_TOPICS = 4
@@ -176,6 +176,45 @@ def top_words_per_language(spark, sf):
     return topics.top_words(counts, 10)
 
 
+LANGUAGE_WORDS = f"""{TOKENS}, c AS (SELECT post_language AS topic_id, word, count(*)::DOUBLE AS n
+      FROM (SELECT post_language, unnest(tokens) AS word FROM tokens) GROUP BY 1, 2),
+    shares AS MATERIALIZED (SELECT topic_id, word, n / sum(n) OVER (PARTITION BY topic_id) AS p FROM c),
+    terms AS (SELECT a.topic_id AS a, b.topic_id AS b, w.word, coalesce(x.p, 0) AS p, coalesce(y.p, 0) AS q
+      FROM (SELECT DISTINCT topic_id FROM shares) a JOIN (SELECT DISTINCT topic_id FROM shares) b ON a.topic_id < b.topic_id
+      CROSS JOIN (SELECT DISTINCT word FROM shares) w
+      LEFT JOIN shares x ON x.topic_id = a.topic_id AND x.word = w.word LEFT JOIN shares y ON y.topic_id = b.topic_id AND y.word = w.word),
+    divergences AS MATERIALIZED (SELECT a, b, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2 AS divergence
+      FROM terms GROUP BY 1, 2)"""
+
+
+def language_words(spark, sf):
+    """The words of each language as a topic."""
+    rows = tokens(spark, sf).select(F.col("post_language").alias("topic_id"), F.explode("tokens").alias("word"))
+    return snapshot(rows.groupBy("topic_id", "word").agg(F.count(F.lit(1)).cast("double").alias("prob")), "language-words")
+
+
+@query("topic_distances", f"WITH {LANGUAGE_WORDS} SELECT a, b, round(divergence + 3e-11, 9) AS divergence FROM divergences")
+def topic_distances(spark, sf):
+    return topic_map.topic_divergences(language_words(spark, sf)).withColumn("divergence", rounded("divergence"))
+
+
+@query(
+    "topic_places",
+    f"""WITH {LANGUAGE_WORDS}, d AS (
+      SELECT a AS i, b AS j, divergence AS v FROM divergences UNION ALL SELECT b, a, divergence FROM divergences
+      UNION ALL SELECT topic_id, topic_id, 0 FROM (SELECT DISTINCT topic_id FROM shares)),
+    r AS (SELECT i, avg(v) AS m FROM d GROUP BY 1), weight AS (SELECT topic_id, sum(n) / (SELECT sum(n) FROM c) AS share FROM c GROUP BY 1)
+    SELECT topic_id, round(share + 3e-11, 9) AS share, round(m - (SELECT avg(v) FROM d) / 2 + 3e-11, 9) AS from_centre FROM r JOIN weight ON topic_id = i""",
+)
+def topic_places(spark, sf):
+    """Squared distance of every topic from the centre of the map: with all its axes, what centring the divergences gives."""
+    words = language_words(spark, sf)
+    axes = words.select("topic_id").distinct().count()
+    placed = topic_map.topic_map(words, dims=axes, root=True)
+    square = sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(axes)), F.lit(0.0))
+    return placed.select("topic_id", rounded("share").alias("share"), rounded(square).alias("from_centre"))
+
+
 # The tokenizer's rules one after the other; three full stops stand aside while single ones are looked at.
 RAW_RULES = [
     (r"\.\.\.", "\x01"),
