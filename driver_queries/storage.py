@@ -192,3 +192,27 @@ def topic_run_reloaded(spark, sf):
     live, back = shares(topics.document_topics(model, vectors)), shares(topics.document_topics(again, loaded)).withColumnRenamed("shares", "again")
     apart = F.exists(F.zip_with("shares", "again", lambda a, b: F.abs(a["prob"] - b["prob"]) > 0.002), lambda x: x)
     return live.join(back, "text_id").select("text_id", ((F.size("shares") == F.size("again")) & ~apart).alias("same"))
+
+
+@query(
+    "committed_batches",
+    f"""WITH {POSTS} SELECT format, batch, subreddit, count(*) AS posts, sum(post_id)::BIGINT AS ids, max(octet_length(encode(post_type)))::INT AS longest FROM (
+      SELECT *, 'day-' || (post_id % 3) AS batch FROM posts), (VALUES ('csv'), ('json'), ('parquet')) f(format) GROUP BY 1, 2, 3""",
+)
+def committed_batches(spark, sf):
+    """Posts in three batches and three formats; every batch is written twice, and one try is never committed."""
+    from functools import reduce
+
+    from driver_queries.adapters import posts
+    from threadlens.sources.batches import read_batches, write_batch
+
+    rows = posts(spark, sf).select("post_id", "subreddit", "post_type", F.create_map(F.lit("type"), "post_type").alias("more"))
+    counts = []
+    for form in ("parquet", "json", "csv"):
+        root = fresh_path(spark, f"batches-{form}")
+        for day in (0, 1, 2, 0, 1, 2):
+            write_batch(rows.where(F.col("post_id") % 3 == day), root, f"day-{day}", form, ["subreddit"])
+        rows.write.format("parquet").save(f"{root}/tries/_of_batch=day-9/_of_try=broken")
+        found = read_batches(spark, root).groupBy("batch", "subreddit")
+        counts.append(found.agg(F.count(F.lit(1)).alias("posts"), F.sum("post_id").alias("ids"), F.max(F.octet_length(F.col("more")["type"])).alias("longest")).withColumn("format", F.lit(form)))
+    return reduce(lambda a, b: a.unionByName(b), counts).select("format", "batch", "subreddit", "posts", "ids", "longest")
