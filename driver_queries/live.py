@@ -53,3 +53,22 @@ def stream_by_community(spark, sf):
     """Checkpointed append laid out per community, read back by partition."""
     landed = _run(spark, _stream(spark, sf), ["event_type"])
     return landed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(
+    "stream_lasting_ids",
+    """SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM events GROUP BY 1, 2""",
+)
+def stream_lasting_ids(spark, sf):
+    """One arrival per (user, type), by two runs over the same events: the second adds nothing."""
+    from threadlens.streaming import lasting
+
+    keyed = _stream(spark, sf).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("post_id"), "user_id", "event_type", "ts")
+    root = fresh_path(spark, "lasting")
+    for state in ("first", "second"):  # two checkpoints: the second run sees every event as new
+        lasting.append_new(_stream_again(keyed, state), root, f"{root}/{state}", order="ts", buckets=16).awaitTermination()
+    return lasting.landed(spark, root).select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
+def _stream_again(stream, state):
+    return stream.withColumn("ts", F.col("ts") + F.expr("INTERVAL 400 DAYS")) if state == "second" else stream

@@ -335,6 +335,21 @@ def term_search(spark, sf):
     return sel.search_terms(texts(spark, sf), TERMS, ["text"]).select("text_id", "lang", "term")
 
 
+@query(
+    "term_table_search",
+    f"""WITH {TEXTS}, terms AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS term FROM benchmark),
+    hits AS (SELECT text_id, term FROM texts JOIN terms ON contains(lower(text), term))
+    SELECT text_id, count(*) AS hits, md5(string_agg(term, ' ' ORDER BY term)) AS digest FROM hits GROUP BY 1""",
+)
+def term_table_search(spark, sf):
+    """Every word of the benchmark passages, sought in all texts."""
+    from threadlens.operators.term_index import search_term_table
+
+    terms = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).distinct()
+    hits = search_term_table(texts(spark, sf).select("text_id", "text"), terms, ["text"], "text_id")
+    return hits.groupBy("text_id").agg(F.count(F.lit(1)).alias("hits"), F.md5(F.array_join(F.sort_array(F.collect_list("term")), " ")).alias("digest"))
+
+
 @query(
     "thread_search",
     f"""WITH {MESSAGES}, {_terms_sql()}
