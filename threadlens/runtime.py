@@ -56,6 +56,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one path given by ``fresh_path``, when nothing reads it any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadlens.operators.ranking import join_same
-from threadlens.runtime import drop_path, snapshot
+from threadlens.runtime import drop_path, path_exists, snapshot
 
 #: Buckets of the seen table, and the run that compacted ids go by.
 BUCKETS, COMPACT = 256, "compact"
@@ -24,15 +24,10 @@ def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def seen_ids(spark: SparkSession, root: str, key: str, kind: str, buckets: list[int] | None = None) -> DataFrame:
     """(key, of_run, of_batch, bucket) of the ids seen, of some buckets only if asked; folders of other buckets are not read."""
     schema = f"`{key}` {kind}, of_run string, of_batch long, bucket int"
-    if not _exists(spark, f"{root}/seen"):
+    if not path_exists(spark, f"{root}/seen"):
         return spark.createDataFrame([], schema)
     found = spark.read.schema(schema).option("basePath", f"{root}/seen").parquet(f"{root}/seen")
     return found if buckets is None else found.where(F.col("bucket").isin(buckets))
