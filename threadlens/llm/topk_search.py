@@ -8,10 +8,13 @@ survives for a query only if its sum so far plus the product of what remains of
 (Cauchy-Schwarz) can still reach the threshold, and the survivors are compacted. Dimensions with the most mass
 come first. Cells give at most k rows per query, which are ranked at the end; nothing approximates.
 
-Defined results: vectors that are null, or hold null or non-finite components, and rows with a null id take no
-part; missing components of shorter vectors count as 0; a query has fewer rows if there are fewer candidates;
-ties go to the smaller id; repeated rows are candidates of their own, but never of a query of their id; scores
-beyond a long count as the nearest long. Other columns are not read, so they may clash.
+Rows are written once, with a number each, by which candidates are dealt: equal rows spread over the groups too.
+
+Defined results: vectors that are null, or hold components that are null, not finite or not finite once scaled, and
+rows with a null id take no part; missing components of shorter vectors count as 0; a query has fewer rows if
+there are fewer candidates; ties go to the smaller id; rows that repeat an id are candidates of their own, never of a
+query of their id, and one query (the smallest vector); scores beyond a long count as the nearest long. Other columns
+are not read, so they may clash.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.runtime import snapshot
+
 K, SCALE, EVERY = 5, 256, 50
 #: Rows of a cell's sides: at most about this many, as hashes spread them.
 QUERY_ROWS, CANDIDATE_ROWS = 16_384, 8_192
@@ -29,10 +34,10 @@ BLOCK_DIMS, SEEDS, TOGETHER = 8, 256, 128
 EXACT = 2.0**53
 
 
-def usable(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def usable(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
     """(id, v): ids and vectors of the rows that take part."""
     rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    return rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * scale) == float("inf"))))
 
 
 def _matrix(column: pa.ChunkedArray, dims: int, scale: float) -> np.ndarray:
@@ -103,17 +108,17 @@ def _search_large(query_ids, queries, ids, candidates, k) -> list[tuple[int, int
 
 def search(embeddings: DataFrame, k: int = K, scale: float = SCALE, every: int = EVERY, key: str = "vec_id", vector: str = "embedding", query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for every row whose id is divisible by ``every``."""
-    rows = usable(embeddings, key, vector)
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
+    rows = snapshot(usable(embeddings, key, vector, scale).withColumn("_at", F.monotonically_increasing_id()), "vectors")
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("id") % every == 0, F.col("id"))).alias("q")).first()
     query_groups, groups = max(1, -(-sizes["q"] // query_rows)), max(1, -(-sizes["n"] // candidate_rows))
-    deal = F.xxhash64("id", "v")
 
     def numbers(count: int):
         return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
 
     # a row goes to one group of its side, and to every cell of that group
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", F.pmod(deal, F.lit(query_groups)).alias("a"), F.explode(numbers(groups)).alias("b"))
-    candidates = rows.select("id", "v", F.pmod(deal, F.lit(groups)).alias("b"), F.explode(numbers(query_groups)).alias("a"))
+    once = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = once.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_groups)).alias("a"), F.explode(numbers(groups)).alias("b"))
+    candidates = rows.select("id", "v", F.pmod(F.xxhash64("id", "_at"), F.lit(groups)).alias("b"), F.explode(numbers(query_groups)).alias("a"))
 
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
