@@ -29,6 +29,27 @@ def test_sizes_come_near_equal(spark, make_docs):
     assert max(loads.values()) <= 1.01 * min(loads.values())
 
 
+def test_equal_rows_fill_no_shard(spark, make_docs):
+    docs = make_docs([(7, "same text", "en", "s")] * 2000 + [(None, None, "en", "s")] * 1000 + [(i, "other", "en", "s") for i in range(100, 200)])
+    got = op.shard(docs, shards=8).collect()
+    check(docs.collect(), got, 8)
+    loads = defaultdict(int)
+    for r in got:
+        loads[r.shard] += r.size
+    assert len(loads) == 8 and max(loads.values()) <= 1.02 * min(loads.values())
+    slots = defaultdict(int)
+    for r in got:
+        slots[r.virtual_slot] += 1
+    assert max(slots.values()) < 12
+
+
+def test_a_new_map_folder(spark, make_docs, tmp_path):
+    path = f"file://{tmp_path}/fresh"
+    docs = make_docs([(i, "z" * i, "en", "s") for i in range(50)])
+    check(docs.collect(), op.shard(docs, shards=4, slots=64, map_path=path).collect(), 4)
+    assert op.load_map(spark, path).first().version == 2 and op.load_map(spark, path, 1).count() == 64
+
+
 def test_map_versions_and_moves(spark, make_docs, tmp_path):
     path = f"file://{tmp_path}/map"
     op.save_map(op.first_map(spark, 4, 64), path)

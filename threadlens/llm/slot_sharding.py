@@ -7,8 +7,9 @@ the sums have ``SLOTS`` rows whatever the input; placing slots folds over that f
 shard are counted slot by slot, so no task sees more than one slot of rows (1 / SLOTS of the data).
 
 Defined results: null text has no bytes (size 16, CRC of nothing); null keys hash like a value; rows that
-repeat key and text share a slot and get places of their own; equal sizes go to the smaller slot, equal loads
-to the smaller shard; an empty table gives no rows. Other columns are not read, so they may clash.
+repeat key and text are spread over the slots by the number they are written with, so that a hot row fills no slot;
+equal sizes go to the smaller slot, equal loads to the smaller shard; an empty table gives no rows. Other columns are
+not read, so they may clash.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import bind
-from threadlens.runtime import fresh_path, snapshot
+from threadlens.operators.ranking import join_same
+from threadlens.runtime import fresh_path, path_exists, snapshot
 
 SLOTS, SHARDS, OVERHEAD = 4096, 40, 16
 
@@ -25,13 +27,18 @@ SLOTS, SHARDS, OVERHEAD = 4096, 40, 16
 def records(docs: DataFrame, text: str = "text", key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """(key, size, text_crc32, virtual_slot) of every document."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    digest = F.crc32(body.cast("binary"))
-    return docs.select(
-        key,
+    rows = docs.select(
+        F.col(key),
         (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
-        digest.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(key).cast("string"), digest), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("_at"),
     )
+    rows = snapshot(rows, "numbered")
+    same = [key, "text_crc32", "size"]
+    repeated = snapshot(rows.groupBy(*same).count().where("count > 1").select(*same, F.lit(True).alias("_again")), "repeated")
+    told = join_same(rows, repeated, same)
+    home = F.when(F.col("_again"), F.xxhash64("_at")).otherwise(F.xxhash64(F.col(key).cast("string"), "text_crc32"))
+    return told.select(key, "size", "text_crc32", F.pmod(home, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_sums(rows: DataFrame) -> DataFrame:
@@ -112,8 +119,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, text: str =
     spark = docs.sparkSession
     rows = snapshot(records(docs, text, key, slots), "records")
     sums = snapshot(slot_sums(rows), "slot_sums")
-    if map_path is None:
-        map_path = fresh_path(spark, "slot_map")
+    map_path = map_path or fresh_path(spark, "slot_map")
+    if not path_exists(spark, map_path):
         save_map(first_map(spark, shards, slots), map_path)
     save_map(rebalance(load_map(spark, map_path), sums, shards), map_path)
     placed = place(rows, load_map(spark, map_path), sums)
