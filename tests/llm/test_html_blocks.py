@@ -27,6 +27,19 @@ def test_blocks():
     assert op.blocks("") == [] and op.blocks("<p></p><br>") == [] and [b.text for b in op.blocks("no tags < at all")] == ["no tags < at all"]
 
 
+def test_attribute_values_end_by_the_rules():
+    texts = lambda page: [b.text for b in op.blocks(page)]
+    assert texts("<article><p title=don't>Hello world</p><p>it is fine</p><p>it's > ok</p></article>") == ["Hello world", "it is fine", "it's > ok"]
+    assert texts('<p>a<a href="x>bad</p>') == ["abad"] and texts("<p>a<a href='x>bad</p>") == ["abad"]
+    assert texts("<p title=\"a > b\">c</p><p data-x='1 > 0' class = x>d</p><p a=b<c>e</p><p =\"q\">f</p>") == ["c", "d", "e", "f"]
+    assert texts("<p title='the hidden truth'>kept</p>") == ["kept"]
+    assert op.blocks("<p title='the hidden truth'>kept</p>")[0].path[-1][1] == frozenset()
+    hidden = ["<p hidden>x", "<p style=\"color:red; display : none\">x", "<p aria-hidden=true>x", "<p class=hidden>x"]
+    assert all("hidden" in op.blocks(h)[0].path[-1][1] for h in hidden)
+    assert "hidden" not in op.blocks("<p aria-hidden=false id=a_b>x")[0].path[-1][1]
+    assert texts("<p>" + "<a " * 20_000 + "end") != []
+
+
 def test_pages_outside_the_sample(spark, trained):
     pages = spark.createDataFrame(
         [(i, None, page(i), 1) for i in range(500, 540)] + [(1, "u", None, 2), (2, "u", "", 3), (None, "u", page(500), 4), (3, "u", "<nav>only</nav>", 5)],

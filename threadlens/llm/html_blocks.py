@@ -37,8 +37,10 @@ FOREIGN_TAGS = frozenset("nav aside footer header form menu select button dialog
 FOREIGN_NAMES = frozenset(
     "ad ads advert advertisement adverts banner sponsored promo promotion nav navigation navbar menu menubar breadcrumb breadcrumbs sidebar side widget related recommended footer header masthead comment comments discussion replies respond disqus cookie cookies consent notice notification alert popup modal newsletter subscribe signup form login share sharing social search pagination pager copyright legal contentinfo complementary".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"(?:\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))|\b(hidden)\b|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*(none)", re.I)
+#: A quote opens a value only behind "="; other values end at white space or ">". A quote that nothing closes opens none.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^<>=]|=)*+)>", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 96, 48, 8, 16
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
@@ -123,12 +125,12 @@ def _imply_ends(stack: list, tag: str) -> None:
 
 def _names(attributes: str) -> frozenset:
     """Words of class, id and role; ``hidden`` if the element is."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return frozenset()
     words = set()
-    for _, value, flag, style in NAMES.findall(attributes):
-        words.update(re.split(r"[\s_-]+", value.strip("\"'").lower()) if value else ())
-        if flag or style:
+    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            words.update(re.split(r"[\s_-]+", value.strip("\"'").lower()))
+        elif name in ("hidden", "aria-hidden") and value.strip("\"'").lower() != "false" or name == "style" and NO_DISPLAY.search(value):
             words.add("hidden")
     return frozenset(words - {""})
 
@@ -335,7 +337,7 @@ def varied(page: list[Block], answers: list[bool], random: np.random.Generator)
 
 def train(pages: DataFrame, html: str = "html", key: str = "page_id", sample_pages: int = SAMPLE_PAGES, seed: int = 7) -> Labeller | None:
     """Fit on about ``sample_pages`` pages whose markup tells; drawn by a hash of the key."""
-    rows = pages.where(F.col(html).contains("<article") | F.col(html).contains("<main")).select(F.col(html).cast("string").alias("_html"), F.xxhash64(F.col(key).cast("string"), F.lit("pages")).alias("_draw"))
+    rows = pages.where(F.col(html).rlike("(?i)<(article|main)")).select(F.col(html).cast("string").alias("_html"), F.xxhash64(F.col(key).cast("string"), F.lit("pages")).alias("_draw"))
     total = rows.count()
     share = min(1.0, 1.5 * sample_pages / max(total, 1))
     drawn = rows.where(F.shiftrightunsigned("_draw", 34) < F.lit(int(share * 2**30))).where(F.length("_html") < TRAIN_CHARS).orderBy("_draw").limit(sample_pages)
