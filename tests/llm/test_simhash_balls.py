@@ -80,6 +80,14 @@ def test_awkward_rows(spark, awkward, make_docs):
     assert op.near_duplicates(none).count() == 0 and op.keep_first(none).count() == 0
 
 
+def test_rows_that_repeat_a_key_stand_for_their_own_texts(spark, make_docs):
+    foo, bar, baz = ("alpha beta gamma delta epsilon " * 4, "one two three four five six " * 4, "red green blue white black grey " * 4)
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in op.keep_first(make_docs([(i, t, "en", "s") for i, t in rows])).collect())
+    assert kept([(3, bar), (5, foo), (5, bar)]) == [(3, bar), (5, foo)]
+    assert kept([(5, foo), (5, bar), (5, bar), (6, bar)]) == sorted([(5, foo), (5, bar)])
+    assert kept([(3, bar), (3, bar), (5, foo), (5, bar), (4, baz), (5, baz)]) == sorted([(3, bar), (5, foo), (4, baz)])
+
+
 def test_whole_table_equals_brute_force(spark):
     from threadlens.llm.queries import QUERIES
 

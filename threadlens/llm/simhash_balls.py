@@ -137,12 +137,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of ``prints`` (key, fp): the smallest key reachable."""
+    """(fp, component_id, root) for every distinct fingerprint of ``prints`` (key, fp): the smallest key reachable, and the class."""
     nodes = snapshot(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     found = components(links(nodes.select("fp"), distance))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return rooted.join(smallest, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -155,16 +155,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each class, the one with the smallest key, with all its columns.
 
-    Rows with a null key are kept, as no class names them; of rows that repeat a kept key the one whose text
-    sorts first stays.
+    Rows with a null key are kept, as no class names them. Rows that repeat a key are told apart by their texts: each
+    stands for the class of its own text, and of one class the text that sorts first stays.
     """
     prints = snapshot(fingerprints(docs, text, key, width), "prints")
-    chosen = snapshot(classes(prints, key, distance).where("component_id is not null").select(F.col("component_id").alias(key)).distinct(), "chosen")
+    named = snapshot(classes(prints, key, distance).where("component_id is not null"), "classes")
+    chosen = snapshot(named.select(F.col("component_id").alias(key)).distinct(), "chosen")
     repeats = snapshot(prints.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeats")
     # the only step that moves texts: once, and in the same way at every size
     kept = docs.join(chosen.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
     if not repeats.isEmpty():
-        order = F.coalesce(F.col(text).cast("string"), F.lit(""))
-        once = kept.join(repeats, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+        body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        many = kept.join(repeats, key, "left_semi").withColumn("_row", F.struct(*docs.columns)).select(F.col(key).alias("_key"), body.alias("_body"), "_row")
+        texts = many.select("_key", "_body").distinct().select(F.struct("_key", "_body").alias("_at"), "_body")
+        own = fingerprints(texts, "_body", "_at", width).join(named, "fp").where("_at._key = component_id")
+        first = own.groupBy("root").agg(F.min("_at").alias("_at")).select("_at._key", "_at._body").distinct()
+        once = many.join(first, ["_key", "_body"]).groupBy("_key", "_body").agg(F.any_value("_row").alias("_row")).select("_row.*")
         kept = kept.join(repeats, key, "left_anti").select(*docs.columns).unionByName(once)
     return kept.unionByName(docs.where(F.col(key).isNull()))
