@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry.oracle_sql()
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
 
 
 def test_equals_plain_loops(spark):
