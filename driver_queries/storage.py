@@ -56,13 +56,31 @@ def store_json(spark, sf):
 @query("store_json_array", STORED)
 def store_json_array(spark, sf):
     """Files that hold one array of records each, as other tools write them."""
+    return _facts(readers.read_posts(spark, _array_files(spark, sf), "json", array=True))
+
+
+@query("store_json_array_split", STORED)
+def store_json_array_split(spark, sf):
+    """The same files by the reader that many tasks can share."""
+    return _facts(readers.read_posts(spark, _array_files(spark, sf), "json", array=True, split=True))
+
+
+@query("store_csv_split", STORED)
+def store_csv_split(spark, sf):
+    """One CSV file by the reader that many tasks can share."""
+    path = fresh_path(spark, "posts-one-csv")
+    writers.write_csv(_nested(spark, sf), path, files=1)
+    return _facts(readers.read_posts(spark, path, "csv", split=True))
+
+
+def _array_files(spark, sf):
     path = fresh_path(spark, "posts-json-array")
     rows = _nested(spark, sf)
     record = F.to_json(F.struct(*rows.columns))
     groups = max(1, rows.count() // 100)
     arrays = rows.groupBy(F.pmod(F.xxhash64("post_id"), F.lit(groups))).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
     arrays.select("value").repartition(groups).write.option("maxRecordsPerFile", 1).text(path)
-    return _facts(readers.read_posts(spark, path, "json", array=True))
+    return path
 
 
 @query("store_csv", STORED)

@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.schemas import COMMUNITIES, POSTS, RAW_COMMENT, RAW_SUBMISSION
+from threadlens.sources.splits import read_csv_records, read_json_array
 
 
 def _nested(schema: T.StructType) -> list[T.StructField]:
     return [f for f in schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
-def read_posts(spark: SparkSession, path, format: str = "parquet", array: bool = False) -> DataFrame:
+def read_posts(spark: SparkSession, path, format: str = "parquet", array: bool = False, split: bool = False) -> DataFrame:
     """Posts from Parquet, JSON or CSV.
 
     ``json`` reads one record per line, as ``write_posts`` writes it and as large files
     split; with ``array`` it reads one array of records per file. ISO text becomes a
-    timestamp by schema. A CSV file with line breaks in its fields is one task: keep
-    such files small.
+    timestamp by schema. An array file, or a CSV file, is one task; with ``split`` many
+    tasks read it, in two passes.
     """
+    if split and (format == "csv" or format == "json" and array):
+        return read_json_array(spark, path, POSTS) if format == "json" else read_csv_records(spark, path, POSTS)
     if format == "parquet":
         return spark.read.schema(POSTS).parquet(path)
     if format == "json":
