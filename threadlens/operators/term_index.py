@@ -16,6 +16,8 @@ from threadlens.runtime import snapshot
 
 #: Letters of a gram; shorter terms wait at themselves.
 LETTERS = 3
+#: Lists in which a text's candidates are put together, so that no list holds all of very many terms.
+LISTS = 16
 
 
 def _grams(text: Column, letters: int) -> Column:
@@ -59,10 +61,13 @@ def search_term_table(df: DataFrame, terms: DataFrame, texts: Sequence[str], key
     lowered = [F.lower(F.col(c)) for c in texts]
     rows = df.select(key, *texts)
     waiting, lengths = waiting_terms(rows, asked.select(F.col("_needle").alias("needle")).distinct(), lowered)
-    # only keys and grams travel to the index, and only candidates come back to their texts
-    met = rows.select(key, F.explode(text_grams(lowered, lengths)).alias("gram")).join(waiting, "gram").select(key, "needle")
-    hit = F.lit(False)
-    for text in lowered:
-        hit = hit | F.coalesce(F.contains(text, F.col("needle")), F.lit(False))
-    found = df.join(met, key).where(hit)
-    return found.join(asked, F.col("needle") == F.col("_needle")).select(*df.columns, *terms.columns)
+    # only keys and grams travel to the index; a text comes once to each list of its candidates
+    met = rows.select(key, F.explode(text_grams(lowered, lengths)).alias("gram")).join(waiting, "gram")
+    listed = met.groupBy(key, F.pmod(F.xxhash64("needle"), F.lit(LISTS)).alias("_list")).agg(F.collect_list("needle").alias("_needles")).drop("_list")
+    low = F.array(*lowered)
+
+    def held(needle: Column) -> Column:
+        return F.exists("_low", lambda text: F.coalesce(F.contains(text, needle), F.lit(False)))
+
+    found = df.join(listed, key).withColumn("_low", low).select(*df.columns, F.explode(F.filter("_needles", held)).alias("_found"))
+    return found.join(asked, F.col("_found") == F.col("_needle")).select(*df.columns, *terms.columns)
