@@ -3,8 +3,10 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 
 from threadlens.llm import secret_crf as op
+from threadlens.llm.secret_forms import harmless
 
 PLAIN = re.compile(r"(?a:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
@@ -79,3 +81,70 @@ def test_awkward_rows_and_no_rows(spark, awkward, make_docs):
             assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
     none = make_docs([])
     assert op.train(none) is None and op.scan(none, None).count() == 0 and op.redact(none, None).count() == 0
+
+
+def held_out_secrets(random, n):
+    """Secrets in forms and after words that training never makes."""
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda size, alphabet=mixed: "".join(random.choice(list(alphabet), size)) + "7k"
+    for i in range(n):
+        yield [
+            ("passcode: ", draw(12), ""),
+            ("signing-key = '", draw(22), "'"),
+            ("the glpat is ", "glpat-" + draw(18), "."),
+            ("hf = ", "hf_" + draw(30), ","),
+            ("Proxy-Authorization: Basic ", draw(24), ""),
+            ("master_secret_value (", "rk_live_" + draw(20), ")"),
+            ("postgres://admin:", draw(14), "@db.host"),
+            ("unlock phrase ", "Tr0ub4dor&" + draw(6), ""),
+            ("", draw(24, "0123456789abcdef"), ""),
+            ("", draw(30), ""),
+        ][i % 10]
+
+
+@pytest.fixture(scope="module")
+def model_and_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return op.train(docs), [r.text or "" for r in docs.select("text").collect()]
+
+
+def test_forms_that_training_never_saw(model_and_texts):
+    model, texts = model_and_texts
+    random, found = np.random.default_rng(11), 0
+    bodies, spans = [], []
+    for i, (before, body, after) in enumerate(held_out_secrets(random, 500)):
+        words = texts[i][:400].split(" ")
+        left = " ".join(words[: len(words) // 2]) + " " + before
+        bodies.append(left + body + after + " " + " ".join(words[len(words) // 2 :]))
+        spans.append((len(left), len(left) + len(body)))
+    for (start, end), got in zip(spans, op.find(bodies, model), strict=True):
+        found += any(s <= start and e >= end for s, e, k in got if k == "crf")
+    assert found >= 0.9 * len(bodies)
+
+
+def test_clean_documents_stay_clean(model_and_texts):
+    model, texts = model_and_texts
+    clean = [t for t in texts if not op.base_spans(t)]
+    assert len(clean) > 9000
+    assert sum(map(len, op.find(clean, model))) <= len(clean) / 10_000
+
+
+def test_lookalikes_are_left_alone(model_and_texts):
+    model, texts = model_and_texts
+    random = np.random.default_rng(12)
+    bodies = [f"{texts[i][:200]} {harmless(random)} {texts[i + 1][:200]}" for i in range(2000)]
+    bodies = [b for b in bodies if not op.base_spans(b)]
+    assert sum(map(bool, op.find(bodies, model))) <= 0.005 * len(bodies)
+
+
+def test_long_texts_piece_by_piece(model_and_texts, monkeypatch):
+    model, texts = model_and_texts
+    bodies = ["", *texts[:40], " ".join(texts[40:60]) + " passphrase: Tr0ub4dor&3xK9q2 　" + "x1" * 500, " \n", "9" * 3000, "tail"]
+    whole, found = op.unaries(bodies, model), op.find(bodies, model)
+    for piece in (1, 7, 100, 1000):
+        monkeypatch.setattr(op, "PIECE", piece)
+        cut = op.unaries(bodies, model)
+        order = np.lexsort((cut[2], cut[1]))
+        assert all(np.array_equal(w, c[order]) for w, c in zip(whole[1:], cut[1:], strict=True))
+        assert np.allclose(whole[0], cut[0][order], atol=1e-3)
+        assert op.find(bodies, model) == found

@@ -2,12 +2,18 @@
 
 The CRF tags tokens (runs of letters, digits and ``_+/-``) as begin, inside or outside of a secret. Its
 features are the token's shape, its own word, the words before and after it, the marks around it and the
-file's size and digit share. It is trained here by maximum conditional likelihood (forward-backward, Adam) on
-windows of a bounded sample of documents, labelled by the patterns. Decoding is Viterbi. A token whose
-"outside" score leads by more than two transitions can change is outside on every best path, so the chain
-is cut there and Viterbi runs on what lies between; the result is the same as over the whole chain.
-
-Pattern spans always stay; a CRF span is added when it has ``MIN_SECRET`` characters and overlaps none.
+file's size and digit share. It is trained here by maximum conditional likelihood (forward-backward, Adagrad) on
+windows of a bounded sample of documents. Labels are the patterns' spans, and generated secrets of other forms
+(``secret_forms``) put into copies of windows, beside generated strings that only resemble secrets. Windows where
+something with a digit follows a word of keys without being a pattern's span are left out, as nobody knows what
+it is. Decoding is Viterbi. A token whose "outside" score leads by more than two transitions can change is outside
+on every best path, so the chain is cut there and Viterbi runs on what lies between; the result is the same as
+over the whole chain. Features of a text longer than ``PIECE`` characters are made piece by piece, with the words
+at the seams carried over, so they are those of the whole text.
+
+Pattern spans always stay; a CRF span is added when it has ``MIN_SECRET`` characters and overlaps none; it
+holds no white space, as no secret that the model was shown does. The word feature reads the first 64
+characters of a token; size and classes read all.
 Defined results: null text counts as empty (no spans); an untrained model (no rows) adds nothing; spans are in
 code points, end exclusive, over whole texts. Input columns that carry a result's name are replaced.
 """
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import map_texts, parts
+from threadlens.llm.secret_forms import harmless, secret
 
 #: The base patterns. Letters are listed in both cases, as folding would admit other letters.
 ASSIGN = re.compile(
@@ -38,14 +46,19 @@ KINDS = ("assign", "access", "hex", "crf")
 
 #: Bounds of the training sample: documents, windows of one document, tokens of a window.
 SAMPLE_DOCS, WINDOWS_PER_DOC, WINDOW = 4000, 8, 16
-EPOCHS, RATE, PENALTY = 30, 0.3, 1e-4
+#: Characters on each side of a generated string in its copied window; characters whose features are made at once.
+BESIDE, PIECE = 160, 1_000_000
+EPOCHS, RATE, PENALTY = 60, 0.3, 1e-5
 MIN_SECRET = 8
 MARK = "[SECRET]"
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-HASHES = 1 << 12
+HASHES = 1 << 14
+#: Something with a digit after a word of keys: not known to be harmless.
+UNSURE = re.compile(r"(?i)(?:pass|pwd|secret|token|key|auth|bearer|credential|login)\w{0,12}\W{1,4}(?:is\s)?[^\s\d]{0,24}\d\S{6,}")
+SPACE = re.compile("[\t-\r\x1c-\x20\x85\xa0]")
 #: Number of values of each feature, in order.
-SIZES = (32, 16, 6, HASHES, HASHES, HASHES, 64, 2, 16)
+SIZES = (32, 16, 24, HASHES, HASHES, HASHES, 64, 2, 16)
 OFFSETS = np.cumsum((0, *SIZES))
 #: Columns of the word features, and the feature (always of weight 0) that stands for an unread word.
 WORDS, UNREAD = (3, 4, 5), int(OFFSETS[-1])
@@ -86,10 +99,21 @@ CHAR_KINDS, CHAR_MARKS = _char_tables()
 POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(64)], dtype=np.uint64)
 
 
-def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers (tokens x features), and text, start and end of every token."""
+def _file_features(texts: list[str]) -> np.ndarray:
+    """Size and digit share of whole texts, in steps."""
+    lengths = np.array([len(t) for t in texts])
+    share = np.array([sum(map(t.count, "0123456789")) for t in texts]) / np.maximum(lengths, 1)
+    return np.searchsorted([0.002, 0.01, 0.05], share) * 4 + np.searchsorted([199, 1999, 19999], lengths)
+
+
+def featurize(texts: list[str], file: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers (tokens x features), and text, start and end of every token.
+
+    ``file`` gives the features of the files where ``texts`` are parts of them.
+    """
+    file = _file_features(texts) if file is None else file
     joined = "\n".join(["", *texts, ""])
-    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0x250)
+    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0x250).astype(np.uint16)
     kinds, marks = CHAR_KINDS[points], CHAR_MARKS[points]
     token = kinds > 0
     edge = np.flatnonzero(token[1:] != token[:-1]) + 1
@@ -101,19 +125,20 @@ def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     owner = np.searchsorted(begins, start, side="right") - 1
 
     size = end - start
-    classes = np.zeros(len(start), dtype=np.int64)
-    for bit in (1, 2, 4, 8):
-        sums = np.concatenate(([0], np.cumsum(kinds == bit, dtype=np.int32)))
-        classes |= np.where(sums[end] > sums[start], bit, 0)
-    digit = kinds == 4
-    turns = np.concatenate(([0, 0], np.cumsum((digit[1:] != digit[:-1]) & token[1:] & token[:-1], dtype=np.int32)))
-    switches = np.minimum(turns[end] - turns[start + 1], 5)
-
-    inner = np.flatnonzero(token)
-    first = np.cumsum(size) - size
-    place = np.arange(len(inner)) - np.repeat(first, size)
-    folded = points[inner].astype(np.uint64) | np.uint64(32)
-    words = np.add.reduceat(folded * POWERS[place & 63], first)
+    classes = np.bitwise_or.reduceat(kinds, edge)[::2].astype(np.int64)
+
+    def turns(kind: np.ndarray) -> np.ndarray:
+        """Changes of ``kind`` inside each token."""
+        sums = np.concatenate(([0, 0], np.cumsum((kind[1:] != kind[:-1]) & token[1:] & token[:-1], dtype=np.int32)))
+        return sums[end] - sums[start + 1]
+
+    switches = np.minimum(turns(kinds == 4), 5) + 6 * np.searchsorted([0.15, 0.35, 0.55], turns(kinds) / size)
+
+    short = np.minimum(size, 64)
+    first = np.cumsum(short) - short
+    place = np.arange(int(short.sum())) - np.repeat(first, short)
+    folded = points[np.repeat(start, short) + place].astype(np.uint64) | np.uint64(32)
+    words = np.add.reduceat(folded * POWERS[place], first)
     words = ((words ^ (words >> np.uint64(29)) ^ (words >> np.uint64(47))) & np.uint64(HASHES - 1)).astype(np.int64)
     spaced = np.concatenate(([0], np.cumsum(marks == 0, dtype=np.int32)))
     joined_to = np.zeros(len(start), dtype=np.int64)
@@ -122,11 +147,6 @@ def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     before, after = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
     before[1:][same], after[:-1][same] = words[:-1][same], words[1:][same]
 
-    sums = np.concatenate(([0], np.cumsum(digit, dtype=np.int32)))
-    stop = begins + lengths - 1
-    share = (sums[stop] - sums[begins]) / np.maximum(lengths - 1, 1)
-    file = np.searchsorted([0.002, 0.01, 0.05], share) * 4 + np.searchsorted([200, 2000, 20000], lengths)
-
     mixed = np.where(classes & 4 == 0, 0, np.where(classes & 3 == 0, 1, 2))
     shape = np.searchsorted([4, 8, 12, 16, 20, 32, 40], size) * 4 + mixed
     around = marks[start - 1].astype(np.int64) * 8 + marks[end]
@@ -134,6 +154,14 @@ def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.stack([c + o for c, o in zip(columns, OFFSETS, strict=False)], axis=1), owner, start - begins[owner], end - begins[owner]
 
 
+def cuts(text: str) -> list[int]:
+    """Places behind white space that cut a text into pieces of ``PIECE`` characters or more, with both ends."""
+    out = [0]
+    while len(text) - out[-1] > PIECE and (space := SPACE.search(text, out[-1] + PIECE)):
+        out.append(space.end())
+    return [*out, len(text)] if out[-1] < len(text) or len(out) == 1 else out
+
+
 @dataclass
 class Crf:
     """Weights by feature and label, and transitions between labels."""
@@ -153,11 +181,13 @@ def fit(features: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> Crf:
     n_features, (n, length) = UNREAD + 1, labels.shape
     weights, moves = np.zeros((n_features, 3)), np.zeros((3, 3))
     weight_speed, move_speed = np.zeros_like(weights), np.zeros_like(moves)
-    flat, target = features.reshape(-1), np.eye(3)[labels]
+    columns, target = [np.ascontiguousarray(features[:, :, k]) for k in range(len(SIZES))], np.eye(3)[labels]
     told = np.zeros((3, 3))
     np.add.at(told, (labels[:, :-1], labels[:, 1:]), 1)
     for _ in range(epochs):
-        unary = weights[features].sum(axis=2)
+        unary = weights[columns[0]]
+        for column in columns[1:]:
+            unary += weights[column]
         forward, backward = np.zeros_like(unary), np.zeros_like(unary)
         forward[:, 0] = unary[:, 0]
         for t in range(1, length):
@@ -167,8 +197,9 @@ def fit(features: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> Crf:
         total = np.logaddexp.reduce(forward[:, -1], axis=1)[:, None, None]
         error = np.exp(forward + backward - total) - target
         pairs = np.exp(forward[:, :-1, :, None] + moves + (unary + backward)[:, 1:, None, :] - total[..., None]).sum(axis=(0, 1))
-        repeated = np.repeat(error.reshape(-1, 3), len(SIZES), axis=0)
-        slope = np.stack([np.bincount(flat, repeated[:, k], n_features) for k in range(3)], axis=1) / n + PENALTY * weights
+        slope = PENALTY * weights
+        for column in columns:
+            slope += np.stack([np.bincount(column.ravel(), error[:, :, k].ravel(), n_features) for k in range(3)], axis=1) / n
         turn = (pairs - told) / n + PENALTY * moves
         weight_speed += slope**2
         move_speed += turn**2
@@ -210,22 +241,45 @@ def decode(unary: np.ndarray, owner: np.ndarray, moves: np.ndarray) -> np.ndarra
     return labels
 
 
+def unaries(texts: list[str], model: Crf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the labels (tokens x labels), and text, start and end of every token; long texts piece by piece."""
+    made = []
+
+    def add(of: list[int], bodies: list[str], file: np.ndarray, offset: int) -> None:
+        features, owner, start, end = featurize(bodies, file)
+        if not len(features):
+            return
+        if offset and made and made[-1][1][-1] == of[0]:  # the words on both sides of the seam
+            features[0, WORDS[1]] += made[-1][4] - OFFSETS[WORDS[0]]
+            made[-1][0][-1] += model.weights[features[0, WORDS[0]] - OFFSETS[WORDS[0]] + OFFSETS[WORDS[2]]] - model.weights[OFFSETS[WORDS[2]]]
+        unary = model.weights[features[:, 0]].copy()
+        for k in range(1, features.shape[1]):
+            unary += model.weights[features[:, k]]
+        made.append((unary, np.array(of, dtype=np.int32)[owner], (start + offset).astype(np.int32), (end + offset).astype(np.int32), features[-1, WORDS[0]]))
+
+    short = [i for i, text in enumerate(texts) if len(text) <= PIECE]
+    add(short, [texts[i] for i in short], _file_features([texts[i] for i in short]), 0)
+    for i, text in enumerate(texts):
+        if len(text) > PIECE:
+            places, file = cuts(text), _file_features([text])
+            for a, b in zip(places, places[1:], strict=False):
+                add([i], [text[a:b]], file, a)
+    if not made:
+        return np.zeros((0, 3), dtype=np.float32), *(np.zeros(0, dtype=np.int32),) * 3
+    return tuple(np.concatenate([m[k] for m in made]) for k in range(4))
+
+
 def crf_spans(texts: list[str], model: Crf) -> list[list[tuple[int, int]]]:
     """(start, end) of what the CRF tags, per text."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    features, owner, start, end = featurize(texts)
-    if not len(features):
-        return out
-    unary = model.weights[features[:, 0]].copy()
-    for k in range(1, features.shape[1]):
-        unary += model.weights[features[:, k]]
+    unary, owner, start, end = unaries(texts, model)
     labels = decode(unary, owner, model.moves)
     last = -2
     for i in np.flatnonzero(labels):
         spans = out[owner[i]]
-        if labels[i] == INSIDE and last == i - 1 and spans and owner[i - 1] == owner[i]:
+        if labels[i] == INSIDE and last == i - 1 and spans and owner[i - 1] == owner[i] and not SPACE.search(texts[owner[i]], end[i - 1], start[i]):
             spans[-1] = (spans[-1][0], int(end[i]))
-        else:  # begin, or an inside that follows an outside
+        else:  # begin, or an inside that follows an outside or white space
             spans.append((int(start[i]), int(end[i])))
         last = i
     return out
@@ -242,26 +296,62 @@ def find(texts: list[str], model: Crf | None) -> list[list[tuple[int, int, str]]
     return found
 
 
+def _labels(text: str, start: np.ndarray, end: np.ndarray, more: list[tuple[int, int]] = ()) -> np.ndarray:
+    """Labels of one text's tokens by the patterns and ``more`` spans; -1 where nobody knows."""
+    labels = np.zeros(len(start), dtype=np.int64)
+    for m in UNSURE.finditer(text):
+        labels[(end > m.start()) & (start < m.end())] = -1
+    spans = [(ASSIGN.match(text, a).start() if kind == "assign" else a, ASSIGN.match(text, a).start(2) if kind == "assign" else a, b) for a, b, kind in base_spans(text)]
+    for whole, a, b in [*spans, *((a, a, b) for a, b in more)]:
+        labels[(start >= whole) & (end <= a)] = OUTSIDE
+        inside = np.flatnonzero((start < b) & (end > a))
+        labels[inside] = INSIDE
+        labels[inside[:1]] = BEGIN
+    return labels
+
+
+def _copied(text: str, random: np.random.Generator, good: bool) -> tuple[str, list[tuple[int, int]], int]:
+    """A window of the text with a generated secret (or a harmless string) in it, the secret's span, and its place."""
+    places = [m.end() for m in SPACE.finditer(text, int(random.integers(max(len(text), 1))))][:1] or [len(text)]
+    left, right = text[max(0, places[0] - BESIDE) : places[0]], text[places[0] : places[0] + BESIDE]
+    left = left if not left or left[-1].isspace() else left + " "
+    before, body, after = secret(random) if good else ("", harmless(random), "")
+    at = len(left) + len(before)
+    tail = "" if after and not right else " "
+    return left + before + body + after + tail + right, [(at, at + len(body))] if good else [], at
+
+
 def _training_windows(texts: list[str]) -> tuple[list, list]:
-    """Windows around secrets and around other tokens with digits, or the first tokens, with their labels."""
-    features, owner, start, end = featurize(texts)
+    """Windows around secrets, tokens with digits and any tokens of the texts, and around generated strings, with labels."""
     inputs, answers = [], []
-    for i, text in enumerate(texts):
-        mine = np.flatnonzero(owner == i)
-        if not len(mine):
-            continue
-        labels = np.zeros(len(mine), dtype=np.int64)
-        for a, b, kind in base_spans(text):
-            a = ASSIGN.match(text, a).start(2) if kind == "assign" else a
-            inside = np.flatnonzero((start[mine] >= a) & (end[mine] <= b))
-            labels[inside] = INSIDE
-            labels[inside[:1]] = BEGIN
-        secret, plain = np.flatnonzero(labels == BEGIN), np.flatnonzero((labels == OUTSIDE) & ((features[mine, 1] - OFFSETS[1]) & 4 > 0))
-        centres = [*secret[: WINDOWS_PER_DOC // 2], *plain[: WINDOWS_PER_DOC // 2 - 1], len(mine) // 2]
+
+    def add(features: np.ndarray, labels: np.ndarray, centres) -> None:
         for c in centres:
-            take = np.clip(np.arange(WINDOW) + c - WINDOW // 2, 0, len(mine) - 1)
-            inputs.append(features[mine[take]].ravel().tolist())
-            answers.append(labels[take].tolist())
+            take = np.clip(np.arange(WINDOW) + c - WINDOW // 2, 0, len(labels) - 1)
+            if (labels[take] >= 0).all():
+                inputs.append(features[take].ravel().tolist())
+                answers.append(labels[take].tolist())
+
+    for text in texts:
+        random, file = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))), _file_features([text])
+        places = cuts(text)
+        piece = int(random.integers(len(places) - 1))  # of a long text one piece, drawn by its content
+        text = text[places[piece] : places[piece + 1]]
+        features, _, start, end = featurize([text], file)
+        if len(features):
+            labels = _labels(text, start, end)
+            digits = np.flatnonzero((labels == OUTSIDE) & ((features[:, 1] - OFFSETS[1]) & 4 > 0))
+            few = WINDOWS_PER_DOC // 2 - 1
+            add(features, labels, [*np.flatnonzero(labels == BEGIN)[:few], *random.permutation(digits)[:few], *random.integers(len(labels), size=2)])
+        for good in (True, False):
+            copy, spans, at = _copied(text, random, good)
+            features, _, start, end = featurize([copy], file)
+            labels = _labels(copy, start, end, spans)
+            if not good:  # a harmless string is known, also after a word of keys
+                labels[(labels < 0) & (end > at)] = OUTSIDE
+            else:
+                labels[(labels < 0) & (np.abs(start - at) < 40)] = OUTSIDE
+            add(features, labels, np.flatnonzero(end > at)[:1])
     return inputs, answers
 
 
@@ -275,20 +365,21 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
     rows = docs.select(body.alias("_text"), likely.alias("_likely"), F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), 34).alias("_draw"))
     sizes = {r["_likely"]: r["count"] for r in rows.groupBy("_likely").count().collect()}
     share = {k: min(1.0, sample_docs / 2 / max(sizes.get(k, 0), 1)) for k in (True, False)}
-    # a deterministic draw by key; the limit only bounds tables whose keys repeat
-    drawn = rows.where(F.col("_draw") < F.when(F.col("_likely"), F.lit(int(share[True] * 2**30))).otherwise(F.lit(int(share[False] * 2**30)))).limit(2 * sample_docs)
+    # a deterministic draw by key
+    drawn = rows.where(F.col("_draw") < F.when(F.col("_likely"), F.lit(int(share[True] * 2**30))).otherwise(F.lit(int(share[False] * 2**30))))
 
     def run(batches):
         for _, texts in parts(batches, "_text"):
             inputs, answers = _training_windows(texts)
             yield pa.RecordBatch.from_arrays([pa.array(inputs, pa.list_(pa.int32())), pa.array(answers, pa.list_(pa.int8()))], names=["x", "y"])
 
-    found = drawn.select("_text").mapInArrow(run, "x array<int>, y array<tinyint>").toPandas()
+    # the limit, on windows of known size, only bounds tables whose keys repeat
+    found = drawn.select("_text").mapInArrow(run, "x array<int>, y array<tinyint>").limit(WINDOWS_PER_DOC * sample_docs).toPandas()
     if not len(found):
         return None
-    windows = sorted((list(y), list(x)) for x, y in zip(found["x"], found["y"], strict=True))  # rows come in any order
-    features = np.array([x for _, x in windows]).reshape(len(windows), WINDOW, len(SIZES))
-    return fit(features, np.array([y for y, _ in windows], dtype=np.int64))
+    features, labels = (np.stack(found[c].to_numpy()).astype(np.int32) for c in ("x", "y"))
+    order = np.lexsort(np.concatenate([features, labels], axis=1).T)  # rows come in any order
+    return fit(features[order].reshape(len(order), WINDOW, len(SIZES)), labels[order].astype(np.int64))
 
 
 FIELDS = [
