@@ -48,7 +48,7 @@ KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_DOCS, WINDOWS_PER_DOC, WINDOW = 4000, 8, 16
 #: Characters on each side of a generated string in its copied window; characters whose features are made at once.
 BESIDE, PIECE = 160, 1_000_000
-EPOCHS, RATE, PENALTY = 60, 0.3, 1e-5
+EPOCHS, RATE, PENALTY, TINY = 60, 0.3, 1e-5, 1e-300
 MIN_SECRET = 8
 MARK = "[SECRET]"
 
@@ -188,15 +188,22 @@ def fit(features: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> Crf:
         unary = weights[columns[0]]
         for column in columns[1:]:
             unary += weights[column]
-        forward, backward = np.zeros_like(unary), np.zeros_like(unary)
-        forward[:, 0] = unary[:, 0]
+        unary = np.exp(unary - unary.max(axis=2, keepdims=True))
+        move = np.exp(moves)
+        # forward and backward products, scaled to sum 1 at every step
+        forward, backward = unary / unary.sum(axis=2, keepdims=True), np.full_like(unary, 1 / 3)
         for t in range(1, length):
-            forward[:, t] = unary[:, t] + np.logaddexp.reduce(forward[:, t - 1, :, None] + moves, axis=1)
+            made = (forward[:, t - 1] @ move) * unary[:, t]
+            forward[:, t] = made / np.maximum(made.sum(axis=1, keepdims=True), TINY)
             back = length - 1 - t
-            backward[:, back] = np.logaddexp.reduce(moves + (unary[:, back + 1] + backward[:, back + 1])[:, None, :], axis=2)
-        total = np.logaddexp.reduce(forward[:, -1], axis=1)[:, None, None]
-        error = np.exp(forward + backward - total) - target
-        pairs = np.exp(forward[:, :-1, :, None] + moves + (unary + backward)[:, 1:, None, :] - total[..., None]).sum(axis=(0, 1))
+            made = (unary[:, back + 1] * backward[:, back + 1]) @ move.T
+            backward[:, back] = made / np.maximum(made.sum(axis=1, keepdims=True), TINY)
+        error = forward * backward
+        error /= np.maximum(error.sum(axis=2, keepdims=True), TINY)
+        error -= target
+        left, right = forward[:, :-1], (unary * backward)[:, 1:]
+        right /= np.maximum(((left @ move) * right).sum(axis=2, keepdims=True), TINY)
+        pairs = (left.reshape(-1, 3).T @ right.reshape(-1, 3)) * move
         slope = PENALTY * weights
         for column in columns:
             slope += np.stack([np.bincount(column.ravel(), error[:, :, k].ravel(), n_features) for k in range(3)], axis=1) / n
