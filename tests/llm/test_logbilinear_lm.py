@@ -88,3 +88,9 @@ def test_classes_grow_with_the_corpus(spark, awkward, monkeypatch):
     by_table = docs()
     monkeypatch.setattr(op, "TABLE_CLASSES", 1)
     assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 0.02 + 1e-4 * abs(a[1]) for a, b in zip(docs(), by_table, strict=True))
+
+
+def test_sample_holds_class_numbers_beyond_16_bits(spark, make_docs):
+    docs = make_docs([(i, "alpha beta", "en", "s") for i in range(3)])
+    got = op._sample(docs, F.lit(False), {b"alpha": 40_000, b"beta": 65_535}, "text", "doc_id", 10)
+    assert sorted(set(got[:, 2].tolist())) == [0, 40_000, 65_535] and len(got) == 9

@@ -250,17 +250,18 @@ def _sample(docs: DataFrame, held: Column, classes: dict[bytes, int], text: str,
     """Windows (far, near, next) of classes from about ``sample_docs`` training documents, drawn by a hash of the key."""
     rows = docs.where(~F.coalesce(held, F.lit(False))).select(F.col(text).cast("string").alias("_text"), F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("lm")), 34).alias("_draw"))
     total = rows.count()
-    drawn = rows.where(F.col("_draw") < F.lit(int(min(1.0, sample_docs / max(total, 1)) * 2**30))).limit(2 * sample_docs).select("_text")
+    drawn = rows.where(F.col("_draw") < F.lit(int(min(1.0, sample_docs / max(total, 1)) * 2**30))).select("_text")
 
     def run(batches):
         for _, texts in parts(batches, "_text"):
-            made = [np.array([classes.get(w, OPEN) for w in tokens(t)], dtype=np.int16).tobytes() for t in texts]
+            made = [np.array([classes.get(w, OPEN) for w in tokens(t)], dtype=np.int32).tobytes() for t in texts]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(made, pa.binary())})
 
-    found = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(run, "ids binary").collect())
+    # the limit only bounds tables whose keys repeat; texts become numbers before it
+    found = sorted(bytes(r["ids"]) for r in drawn.mapInArrow(run, "ids binary").limit(2 * sample_docs).collect())
     end, windows = classes.get(END.encode(), OPEN), []
     for row in found:
-        ids = np.concatenate([[end, end], np.frombuffer(row, dtype=np.int16)]).astype(np.int64)
+        ids = np.concatenate([[end, end], np.frombuffer(row, dtype=np.int32)]).astype(np.int64)
         windows.append(np.stack([ids[:-2], ids[1:-1], ids[2:]], axis=1))
     return np.concatenate(windows) if windows else np.zeros((0, 3), dtype=np.int64)
 
