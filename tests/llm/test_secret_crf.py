@@ -84,7 +84,7 @@ def test_awkward_rows_and_no_rows(spark, awkward, make_docs):
 
 
 def held_out_secrets(random, n):
-    """Secrets in forms and after words that training never makes."""
+    """Secrets after words or prefixes that training never uses, and (the last two) bare strings of kinds that it does."""
     mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     draw = lambda size, alphabet=mixed: "".join(random.choice(list(alphabet), size)) + "7k"
     for i in range(n):
@@ -108,7 +108,7 @@ def model_and_texts(spark):
     return op.train(docs), [r.text or "" for r in docs.select("text").collect()]
 
 
-def test_forms_that_training_never_saw(model_and_texts):
+def test_secrets_outside_the_patterns(model_and_texts):
     model, texts = model_and_texts
     random, found = np.random.default_rng(11), 0
     bodies, spans = [], []
