@@ -44,3 +44,25 @@ def test_no_terms_and_clashes(spark):
     assert op.search_term_table(df.limit(0), spark.createDataFrame([("a",)], "term string"), ["text"], "id").count() == 0
     with pytest.raises(ValueError):
         op.search_term_table(df, terms.selectExpr("term", "term AS text"), ["text"], "id")
+
+
+def test_a_term_without_a_space_is_sought_once_a_word(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op, "WORDS", 3)  # so that words are dealt to slices
+    seen = []
+    meeting = op._meeting
+    monkeypatch.setattr(op, "_meeting", lambda rows, needles, lowered, key: (seen.append((key, needles.count())), meeting(rows, needles, lowered, key))[1])
+    texts = ["one two three one", "TWO " * 50, "x" * 40 + "needle", "one one", "thr ee two  one four five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    listed = ["one", "o", "", "needle", "xne", "wo t", "e", "r", "x" * 41, "ee two"]
+    got = op.search_term_table(df, spark.createDataFrame([(t,) for t in listed], "term string"), ["text"], "id")
+    assert sorted((r.id, r.term) for r in got.select("id", "term").collect()) == sorted((i, t) for i, text in enumerate(texts) for t in listed if t in text.lower())
+    # only terms with a space go to the texts
+    assert ("id", 2) in seen and {key for key, _ in seen} == {"id", "_word"}
+
+
+def test_rows_of_one_key_find_their_own_terms(spark):
+    df = spark.createDataFrame([(1, "cat"), (1, "dog"), (None, "cat")], "id int, text string")
+    got = op.search_term_table(df, spark.createDataFrame([("at",), ("do",), ("c d",)], "term string"), ["text"], "id")
+    assert sorted((r.text, r.term) for r in got.collect()) == [("cat", "at"), ("dog", "do")]

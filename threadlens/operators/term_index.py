@@ -3,11 +3,15 @@
 A text that contains a term contains each of the term's trigrams. So every term waits at one of its trigrams, the one
 that the fewest texts have; a text meets the terms that wait at its trigrams, and those candidates are verified.
 Nothing is tested term by term, and what is joined grows with the candidates.
+
+A term without a space is in a text if and only if it is in one of the words between the text's spaces. Such terms are
+sought in the distinct words of all texts, each word once, and a text takes what its words hold. Only terms with a space
+are sought in the texts themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +22,10 @@ from threadlens.runtime import snapshot
 LETTERS = 3
 #: Lists in which a text's candidates are put together, so that no list holds all of very many terms.
 LISTS = 16
+#: Distinct words of a text that are put together at once; the words of a longer text are dealt to LISTS slices.
+WORDS = 10_000
+#: Letters of a word whose stretches are all looked up.
+SHORT = 32
 
 
 def _grams(text: Column, letters: int) -> Column:
@@ -48,6 +56,59 @@ def text_grams(lowered: Sequence[Column], lengths: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*parts)) if parts else none
 
 
+def _meeting(rows: DataFrame, needles: DataFrame, lowered: Sequence[Column], key: str) -> DataFrame:
+    """(key, _needles): the needles that are in any of the lowered columns of ``rows``, in several lists a row of ``rows``."""
+    waiting, lengths = waiting_terms(rows, needles, lowered)
+    # only keys and grams travel to the index; a text comes once to each list of its candidates
+    met = rows.select(key, F.explode(text_grams(lowered, lengths)).alias("gram")).join(waiting, "gram")
+    listed = met.groupBy(key, F.pmod(F.xxhash64("needle"), F.lit(LISTS)).alias("_list")).agg(F.collect_list("needle").alias("_needles")).drop("_list")
+    found = rows.join(listed, key).select(key, F.filter("_needles", _held(lowered)).alias("_needles"))
+    return found.where(F.size("_needles") > 0)
+
+
+def _held(lowered: Sequence[Column]) -> Callable[[Column], Column]:
+    """Whether a needle is in any of the lowered columns."""
+    low = F.array(*lowered)
+    return lambda needle: F.exists(low, lambda text: F.coalesce(F.contains(text, needle), F.lit(False)))
+
+
+def _pieces(word: str, lengths: Sequence[int]) -> Column:
+    """All stretches of a short word with one of the lengths."""
+
+    def of(n: Column) -> Column:
+        starts = F.when(n == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length(word) - n + 1))
+        return F.transform(starts, lambda i: F.substring(F.col(word), i, n))
+
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(word))
+    return F.array_distinct(F.flatten(F.transform(fitting, of)))
+
+
+def _in_words(rows: DataFrame, needles: DataFrame, lowered: Sequence[Column], key: str) -> DataFrame:
+    """(key, _ids) of needles (needle, _id) without a space, through the distinct words of all rows."""
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce(F.split(text, " "), none) for text in lowered]
+    own = rows.select(key, (F.array_distinct(F.concat(*parts)) if parts else none).alias("_words"))
+    words = own.select(key, (F.size("_words") > WORDS).alias("_many"), F.explode("_words").alias("_word"))
+    distinct = snapshot(words.select("_word").distinct(), "words")
+    # all stretches of a short word meet the needles, a longer word goes by its grams
+    short = F.length("_word") <= SHORT
+    lengths = sorted(r.n for r in needles.select(F.length("needle").alias("n")).distinct().collect() if r.n <= SHORT)
+    near = distinct.where(short).select("_word", F.explode(_pieces("_word", lengths)).alias("needle")).join(needles, "needle")
+    far = _meeting(distinct.where(~short), needles.select("needle"), [F.col("_word")], "_word")
+    far = far.select("_word", F.explode("_needles").alias("needle")).join(needles, "needle")
+    held = near.select("_word", "_id").unionByName(far.select("_word", "_id"))
+    held = snapshot(held.groupBy("_word", F.expr(f"_id div {WORDS}").alias("_list")).agg(F.collect_list("_id").alias("_ids")).drop("_list"), "words-with-terms")
+    # a slice of 0 to LISTS - 1 for the words of long texts, one of its own for all words of the others
+    part = F.when(F.col("_many"), F.pmod(F.xxhash64("_word"), F.lit(LISTS))).otherwise(F.lit(-1)).alias("_slice")
+    met = words.join(held, "_word").groupBy(key, part).agg(F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_ids"))
+    met = snapshot(met, "terms-of-texts")
+    # slices of one text can hold the same needle
+    sliced = snapshot(met.where(F.col("_slice") >= 0).select(key).distinct(), "long-texts")
+    again = met.join(sliced, key, "left_semi").select(key, F.explode("_ids").alias("_id")).distinct()
+    again = again.groupBy(key, F.pmod("_id", F.lit(LISTS)).alias("_list")).agg(F.collect_list("_id").alias("_ids"))
+    return met.join(sliced, key, "left_anti").select(key, "_ids").unionByName(again.select(key, "_ids"))
+
+
 def search_term_table(df: DataFrame, terms: DataFrame, texts: Sequence[str], key: str) -> DataFrame:
     """One row per row of ``df`` and row of ``terms`` whose ``term`` is in any of the text columns, whatever the case.
 
@@ -58,16 +119,19 @@ def search_term_table(df: DataFrame, terms: DataFrame, texts: Sequence[str], key
     if clash:
         raise ValueError(f"columns of both tables: {clash}")
     asked = terms.where(F.col("term").isNotNull()).withColumn("_needle", F.lower("term"))
+    # numbered and written once: numbers travel instead of terms
+    needles = snapshot(asked.select(F.col("_needle").alias("needle")).distinct().withColumn("_id", F.monotonically_increasing_id()), "terms")
+    asked = snapshot(asked.join(needles, F.col("_needle") == F.col("needle")).select(*terms.columns, "_needle", "_id"), "asked-terms")
+    spaced = F.contains(F.col("needle"), F.lit(" "))
     lowered = [F.lower(F.col(c)) for c in texts]
     rows = df.select(key, *texts)
-    waiting, lengths = waiting_terms(rows, asked.select(F.col("_needle").alias("needle")).distinct(), lowered)
-    # only keys and grams travel to the index; a text comes once to each list of its candidates
-    met = rows.select(key, F.explode(text_grams(lowered, lengths)).alias("gram")).join(waiting, "gram")
-    listed = met.groupBy(key, F.pmod(F.xxhash64("needle"), F.lit(LISTS)).alias("_list")).agg(F.collect_list("needle").alias("_needles")).drop("_list")
-    low = F.array(*lowered)
-
-    def held(needle: Column) -> Column:
-        return F.exists("_low", lambda text: F.coalesce(F.contains(text, needle), F.lit(False)))
-
-    found = df.join(listed, key).withColumn("_low", low).select(*df.columns, F.explode(F.filter("_needles", held)).alias("_found"))
-    return found.join(asked, F.col("_found") == F.col("_needle")).select(*df.columns, *terms.columns)
+    listed = _in_words(rows, needles.where(~spaced), lowered, key)
+    if not needles.where(spaced).isEmpty():
+        met = _meeting(rows, needles.where(spaced).select("needle"), lowered, key).select(key, F.explode("_needles").alias("needle"))
+        met = met.distinct().join(needles, "needle").groupBy(key, F.pmod("_id", F.lit(LISTS)).alias("_list"))
+        listed = listed.unionByName(met.agg(F.collect_list("_id").alias("_ids")).drop("_list"))
+    found = df.join(listed, key).select(*df.columns, F.explode("_ids").alias("_id")).join(asked, "_id")
+    if not df.groupBy(key).count().where("count > 1").isEmpty():
+        # what was found under a key need not be in each of its rows
+        found = found.where(_held(lowered)(F.col("_needle")))
+    return found.select(*df.columns, *terms.columns)
