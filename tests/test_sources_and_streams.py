@@ -146,3 +146,14 @@ def test_restart_continues_from_the_checkpoint(spark, tmp_path):
         stream = ingest.stream_files(spark, source, spark.createDataFrame([], schema).schema)
         ingest.append_to(ingest.new_posts(stream), out, state).awaitTermination()
     assert sorted(r.post_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_a_join_with_configured_terms_moves_no_texts(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.sources import config
+
+    texts = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"), F.md5(F.col("id").cast("string")).alias("text"))
+    joined = texts.join(config.terms_table(spark, {"en": ["a", "b"]}), "lang")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(lang" not in plan

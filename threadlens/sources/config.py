@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.operators.selection import term_rows
+from threadlens.runtime import snapshot
 from threadlens.schemas import STOPWORDS, TERMS
 
 
@@ -25,10 +26,14 @@ def load_config(path: str | Path) -> dict:
 
 
 def terms_table(spark: SparkSession, terms: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(lang, term, lang_rank, term_rank) in configured order."""
+    """(lang, term, lang_rank, term_rank) in configured order.
+
+    Written once, so that the planner knows its size: rows made on the driver count as a table of unknown size, and
+    a join with it would send all texts of a language to one task.
+    """
     rows = [(r["lang"], r["term"], r["lang_rank"], r["term_rank"]) for r in term_rows(terms)]
-    return spark.createDataFrame(rows, TERMS)
+    return snapshot(spark.createDataFrame(rows, TERMS), "terms")
 
 
 def stopwords_table(spark: SparkSession, config: Mapping[str, Sequence[str]]) -> DataFrame:
-    return spark.createDataFrame([(k, w) for k, listed in config.items() for w in listed], STOPWORDS)
+    return snapshot(spark.createDataFrame([(k, w) for k, listed in config.items() for w in listed], STOPWORDS), "stopwords")
