@@ -159,3 +159,26 @@ def test_all_stopwords(spark):
     words = corpus.all_stopwords(spark, "en", {"x": ["EU ", "The"]}, "x")
     assert "eu" in words and "the" in words and words == sorted(set(words))
     assert corpus.all_stopwords(spark, "sl", base=["in"]) == ["in"]
+
+
+def test_long_texts_are_mapped_without_a_look_up_in_a_list(spark):
+    from pyspark.sql import functions as F
+
+    many = [f"w{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, many + many[:3]), (2, []), (3, None), (1, ["w1", None])], "text_id int, tokens array<string>")
+    mapping = spark.range(20_000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), "id").alias("token"), F.concat(F.lit("n"), "id").alias("norm"))
+    found = corpus.map_tokens(df, mapping, "en")
+    assert "map_from_entries" not in found._jdf.queryExecution().toString()
+    got = sorted((r.text_id, r.tokens) for r in found.where("size(tokens) > 0").collect())
+    assert got == [(1, [t.replace("w", "n") for t in many + many[:3]]), (1, ["n1", None])]
+    assert sorted((r.text_id, r.tokens) for r in found.where("text_id > 1").collect()) == [(2, []), (3, None)]
+
+
+def test_cleaning_of_texts_with_and_without_addresses(spark):
+    from pyspark.sql import functions as F
+
+    from threadlens.functions import text as tx
+
+    texts = ["plain, text", "see www.a-b.c x", "a htt://b.c d", "http: //x", "é@me_you z", "ftp://q.r s", "", None, "WWW.a b", "http://a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert all(r.a == r.b for r in df.select(tx.clean_text("text").alias("a"), F.regexp_replace("text", tx.NOISE, " ").alias("b")).collect())

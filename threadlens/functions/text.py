@@ -33,7 +33,10 @@ CONTRACTIONS = [
 
 
 def clean_text(text: str | Column) -> Column:
-    return F.regexp_replace(col(text), NOISE, " ")
+    """NOISE as spaces; a text in which no address or mention can start needs the plain part of the pattern only."""
+    text = col(text)
+    marked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")) | F.contains(text, F.lit("www"))
+    return F.when(marked, F.regexp_replace(text, NOISE, " ")).otherwise(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
 
 
 def split_contractions(text: Column) -> Column:

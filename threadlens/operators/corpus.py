@@ -112,21 +112,21 @@ def all_stopwords(
 def map_tokens(df: DataFrame, mapping: DataFrame, language: str | None = None, key: str = "text_id") -> DataFrame:
     """Replace tokens by their normal form (a stem or lemma) from a (lang, token, norm) table.
 
-    Tokens without an entry stay. The mapping may be of any size: it is an equi-join
-    on the distinct tokens of each text.
+    Tokens without an entry stay. The mapping may be of any size: it is an equi-join on the placed tokens, which come
+    together by row and are put in order there, so the work grows with the tokens however long a text is.
     """
     if language is not None:
         mapping = mapping.filter(F.col("lang") == language)
-    forms = snapshot(mapping.groupBy("token").agg(F.min("norm").alias("norm")), "normal-forms")
-    rows = df.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = (
-        rows.join(forms, "token")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "norm"))).alias("_norms"))
-    )
-    joined = df.join(pairs, key, "left")
-    replaced = F.transform("tokens", lambda t: F.coalesce(F.try_element_at("_norms", t), t))
-    return joined.withColumn("tokens", F.when(F.col("_norms").isNull(), F.col("tokens")).otherwise(replaced)).drop("_norms")
+    forms = mapping.groupBy("token").agg(F.min("norm").alias("norm"))
+    forms = snapshot(forms.where(F.col("norm") != F.col("token")), "normal-forms")
+    # numbered and written once, so that no later run numbers rows anew
+    whole = snapshot(df.withColumn("_row", F.monotonically_increasing_id()), "numbered-texts")
+    placed = whole.select("_row", F.posexplode("tokens").alias("_at", "token")).join(forms, "token", "left")
+    form = F.struct("_at", F.coalesce("norm", "token").alias("token"))
+    replaced = placed.groupBy("_row").agg(F.sort_array(F.collect_list(form)).getField("token").alias("_new"))
+    empty = F.when(F.size("tokens") == 0, F.col("tokens"))  # no token, or null
+    joined = whole.withColumn("tokens", empty).join(replaced, "_row", "left")
+    return joined.withColumn("tokens", F.coalesce("_new", "tokens")).select(*df.columns)
 
 
 def stem_forms(texts: DataFrame, language: str) -> DataFrame:
@@ -140,6 +140,7 @@ def normalize_tokens(
 ) -> DataFrame:
     """Stemming by rules or a caller table, lemmatisation by a caller table; any other kind leaves the tokens as they are."""
     if kind == "stemming" and mapping is None and language is not None:
+        df = snapshot(df, "texts")
         mapping = stem_forms(df, language)
     if kind in ("stemming", "lemmatization"):
         if mapping is None:
