@@ -74,3 +74,24 @@ def test_files_must_agree(tmp_path):
     other.write_bytes(base64.b64encode(b"a") + b" 5\n")
     with pytest.raises(ValueError):
         op.load_vocabulary(public_tokenizers.path("byte_bpe_50k.json"), str(other))
+
+
+def test_units_go_to_the_library_together(vocabulary, exact):
+    encoder, calls = op.Encoder(vocabulary), []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return self.library.encode_batch_fast(texts, **more)
+
+        def encode(self, text, **more):
+            return self.library.encode(text, **more)
+
+    encoder.library = Counted(encoder.library)
+    texts = [" ".join(f"w{i}é'{i * 7}\n漢{i}!" for i in range(2_000)), "it 's \x1cx\x85 we  y'all\n", "a\n b"]
+    got = encoder.encode(texts[:2])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [exact.encode_ordinary(text) for text in texts[:2]]
+    assert len(calls) < 30

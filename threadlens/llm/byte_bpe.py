@@ -29,6 +29,8 @@ from threadlens.llm.common import map_texts
 
 #: Units kept in a task; beyond, the store is emptied and filled anew.
 STORE = 150_000
+#: Units that go to the library as one text.
+TOGETHER = 500
 #: White space beside a space, or at an end: then a unit could cut a match of the pattern.
 RUNS = re.compile(r"\s | \s|^ | $")
 
@@ -78,6 +80,7 @@ class Encoder:
 
         self.library = Tokenizer.from_str(vocabulary.library_json)
         self.library.encode_special_tokens = True
+        self.sizes = np.array([len(t) for t in vocabulary.table], dtype=np.int64)
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
@@ -87,10 +90,22 @@ class Encoder:
         if len(store) + len(missing) > STORE:
             store.clear()
             missing = list(units)
-        for start in range(0, len(missing), 10_000):
-            some = missing[start : start + 10_000]
+        # units behind a space encode alone as they do in a text, so also in a text of units; what has white space at
+        # an end, or stands at the start of a text, goes alone
+        alone = [u for u in missing if not (lead and u) or u[0].isspace() or u[-1].isspace()]
+        for start in range(0, len(alone), 10_000):
+            some = alone[start : start + 10_000]
             made = self.library.encode_batch_fast([lead + u for u in some], add_special_tokens=False)
             store.update((u, np.array(e.ids, dtype="<u4").tobytes()) for u, e in zip(some, made, strict=True))
+        rest = list(set(missing).difference(alone))
+        for start in range(0, len(rest), TOGETHER):
+            some = rest[start : start + TOGETHER]
+            made = self.library.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0]
+            ids = np.array(made.ids, dtype="<u4")
+            ends = np.cumsum([len(lead) + len(u.encode()) for u in some])
+            places = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")).tolist()
+            packed = ids.tobytes()
+            store.update((u, packed[a:b]) for u, a, b in zip(some, [0, *places], places))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
