@@ -111,3 +111,14 @@ def test_files_that_cannot_be_joined_are_refused(tmp_path, change):
     (tmp_path / "other.json").write_text(json.dumps(parts))
     with pytest.raises(ValueError):
         op.load_vocabulary(str(tmp_path / "other.json"))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab  \n\n\t\r\x1c\x85\xa0\0.!é"), st.characters(codec="utf-8")), max_size=30))
+def test_units_are_what_the_cuts_part(text):
+    assert op.units(text) == op.CUT.split(text)
+
+
+def test_plain_texts_are_cut_without_a_look_at_every_place(monkeypatch):
+    monkeypatch.setattr(op, "CUT", None)
+    assert op.units("one two\nthree  four"[:13]) == ["one", " two", "\n", "three"]
