@@ -31,7 +31,8 @@ TOKENS = f"""{TEXTS}, tokens AS (
 
 
 def tokens(spark, sf):
-    return corpus.with_tokens(texts(spark, sf), STOP)
+    """Dealt by id first: a file of one row group is one task, and cleaning is work on every character."""
+    return corpus.with_tokens(texts(spark, sf).repartition("text_id"), STOP)
 
 
 def token_table(spark, sf):

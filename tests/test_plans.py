@@ -94,3 +94,10 @@ def test_collection_without_stop_words_keeps_posts(spark):
     row = collect_posts(submissions, comments, {"en": ["find"]}, {}).first()
     assert row.comments_num == 2 and row.comments_bodies == ["hello", "again"]
     assert row.comments_graph["p"].children == ["c1"] and row.comments_graph["c1"].children == ["c2"] and row.comments_graph["c2"].author is None
+
+
+def test_texts_of_one_row_group_are_cleaned_by_many_tasks(spark):
+    from driver_queries.texts import tokens
+
+    plan = tokens(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [text_id" in plan

@@ -205,23 +205,27 @@ def phrase_scores(
 def apply_phrases(texts: DataFrame, phrases: DataFrame, key: str = "text_id") -> DataFrame:
     """Join accepted pairs with ``_``, from left to right and without overlap.
 
-    In a run of consecutive matching pairs the greedy rule takes every other one, so
-    the choice is a row number inside the run. Only matches are exploded and
-    shuffled; each text is then cut at its matches and put together again.
+    In a run of consecutive matching pairs the greedy rule takes every other one, so the
+    places taken are sequences by twos. Only the places of matches come together by text, and
+    no window sorts them; each text is then cut at its matches and put together again.
     """
     pairs = texts.select(key, F.posexplode(adjacent_pairs("tokens")).alias("pos", "_p")).select(
         key, "pos", "_p.a", "_p.b"
     )
     hits = pairs.join(phrases.select("a", "b"), ["a", "b"], "left_semi").select(key, "pos")
-    by_text = Window.partitionBy(key).orderBy("pos")
-    by_run = Window.partitionBy(key, "_run").orderBy("pos")
-    taken = (
-        hits.withColumn("_run", F.col("pos") - F.row_number().over(by_text))
-        .withColumn("_turn", F.row_number().over(by_run))
-        .filter(F.col("_turn") % 2 == 1)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("pos")).alias("_at"))
-    )
+    places = hits.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("_hits"))
+
+    def opening(pos: Column, i: Column) -> Column:
+        # The index of a match that starts a run, else null.
+        before = F.try_element_at("_hits", F.greatest(i, F.lit(1)))
+        return F.when((i == 0) | (pos != before + 1), i)
+
+    def every_other(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_runs", i + 1), F.size("_hits"))
+        return F.sequence(F.get("_hits", start), F.get("_hits", end - 1), F.lit(2))
+
+    runs = places.withColumn("_runs", F.filter(F.transform("_hits", opening), F.isnotnull))
+    taken = runs.select(key, F.flatten(F.transform("_runs", every_other)).alias("_at"))
     joined = texts.join(taken, key, "left")
 
     def piece(pos: Column, i: Column) -> Column:
