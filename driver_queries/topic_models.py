@@ -250,9 +250,10 @@ def raw_text_tokens(spark, sf):
 
 def trained(spark, sf, passes=2):
     """Model, vectors and vocabulary: passes in chunks of a tenth."""
-    prepared = snapshot(corpus.with_tokens(texts(spark, sf), STOP), "tokens")
+    prepared = snapshot(tokens(spark, sf), "tokens")
     vocab = snapshot(corpus.vocabulary(prepared, 2, 0.5, 5000), "vocabulary")
-    vectors = topics.term_vectors(prepared.select("text_id", "subreddit", "author", "tokens"), vocab)
+    bags = topics.term_vectors(prepared.select("text_id", "subreddit", "author", "tokens"), vocab)
+    vectors = snapshot(bags, "vectors")  # words are looked up once; training and scoring read the bags only
     return topics.train_topics(vectors, NUM_TOPICS, passes, chunk_size=0.1, num_terms=vocab.count()), vectors, vocab
 
 
@@ -279,7 +280,8 @@ def topic_words(spark, sf):
 def community_topic_weights(spark, sf):
     """The weights of a community add up to its number of texts, less the shares left out."""
     model, vectors, _ = trained(spark, sf, passes=topics.PASSES)
-    doc_topics = topics.document_topics(model, vectors, ["text_id", "subreddit"])
+    # written once: the weights and the counts both read the shares
+    doc_topics = snapshot(topics.document_topics(model, vectors, ["text_id", "subreddit"]), "topic-shares")
     weights = topics.community_topic_weights(doc_topics).groupBy("subreddit").agg(F.sum("weight").alias("weight"))
     counts = doc_topics.groupBy("subreddit").agg(F.count_distinct("text_id").alias("texts"), F.count("prob").alias("shares"))
     gone = 0.01 * (NUM_TOPICS * F.col("texts") - F.col("shares"))

@@ -136,3 +136,27 @@ def test_parts_give_the_same_weights(spark, fitted, parts):
     got, want = weights(cut), weights(whole)
     assert got.keys() == want.keys() and len(got) == 8
     assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_a_chunk_is_work_for_several_tasks(spark, monkeypatch):
+    import os
+
+    from threadlens.operators import topic_model
+
+    seen, whole = [], topic_model._statistics
+
+    def counted(spark, path, *rest):
+        files = [f for f in spark.read.parquet(path).inputFiles() if os.path.basename(f).startswith("part-")]
+        seen.append((len(files), spark.read.parquet(path).count()))
+        return whole(spark, path, *rest)
+
+    monkeypatch.setattr(topic_model, "_statistics", counted)
+    vectors = spark.range(9_000).selectExpr("array(named_struct('term_id', cast(id % 7 as int), 'cnt', 1L)) AS bag")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # would put so few bytes into one task
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")
+    try:
+        topic_model.train(vectors, 2, 1, 9_000, num_terms=7)
+    finally:
+        spark.conf.set(merging, before)
+    assert len(seen) == 1 and seen[0][0] > 1 and seen[0][1] == 9_000

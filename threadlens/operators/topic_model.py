@@ -25,8 +25,9 @@ BAG = "array<struct<term_id:int,cnt:bigint>>"
 # Steps and mean change at which a text's shares are settled, and how fast later chunks lose weight.
 STEPS, SETTLED = 50, 1e-3
 OFFSET, DECAY = 1.0, 0.5
-#: Texts of a chunk that one file, hence one task, holds about; words of texts inferred at once.
-FILE_TEXTS, TOGETHER = 20_000, 200_000
+#: Texts of a chunk that one file holds about; words of texts inferred at once. Files are the least that a task reads, so
+#: a chunk of some ten thousand texts is work for as many tasks as there are cores.
+FILE_TEXTS, TOGETHER = 2_000, 200_000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
