@@ -101,3 +101,13 @@ def test_texts_of_one_row_group_are_cleaned_by_many_tasks(spark):
 
     plan = tokens(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [text_id" in plan
+
+
+def test_participation_reads_no_comments(spark, monkeypatch):
+    from threadlens.operators import metrics
+
+    seen, snapshot = {}, metrics.snapshot
+    monkeypatch.setattr(metrics, "snapshot", lambda df, name="table": seen.update({name: df}) or snapshot(df, name))
+    entry.queries()["user_metrics_by_rows"](spark, SF)
+    text = seen["participation"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" in text and "l_orderkey" not in text
