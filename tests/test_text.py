@@ -203,3 +203,58 @@ def test_matches_are_chosen_without_a_window(spark):
     found = corpus.apply_phrases(df, phrases)
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.text_id: r.tokens for r in found.collect()} == {1: greedy(tokens, {("a", "b"), ("b", "a")}), 2: ["x"], 3: [], 4: None}
+
+
+def test_packed_counts_are_those_of_all_tokens_and_pairs(spark, monkeypatch):
+    """Slices of a few tokens, several buckets; texts that join to one form, null and empty tokens."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from threadlens.operators import gram_table as g
+
+    draw = random.Random(5)
+    texts = [[draw.choice(["a", "b", "c_d", "d", "a_b", "", "é" * 20]) for _ in range(draw.randrange(30))] for _ in range(150)] + [None, []]
+    keys, pairs = Counter(), set()
+    for text in texts:
+        keys.update(text or [])
+        joined = list(zip((text or [])[:-1], (text or [])[1:], strict=True))
+        keys.update(f"{a}_{b}" for a, b in joined)
+        pairs.update(joined)
+    expected = {(t, None): keys[t] for text in texts for t in text or []} | {(a, b): keys[f"{a}_{b}"] for a, b in pairs if keys[f"{a}_{b}"] > 9}
+    frame = spark.createDataFrame(list(enumerate(texts)), "text_id int, tokens array<string>")
+    found = [tuple(r) for r in g.gram_table(frame, 9).collect()]
+    assert {(a, b): n for a, b, n in found if a is not None} == expected and sum(n for a, _, n in found if a is None) == len(keys)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, ["a", None, "b"]], pa.list_(pa.string()))], names=["tokens"])
+    for size in (40, 600):
+        monkeypatch.setattr(g, "SLICE_BYTES", size)
+        rows = pa.Table.from_batches([g._count(held, 3) for held in g._slices([batch.slice(0, 40), batch.slice(40)])])
+        assert rows.num_rows > 30
+        parts = [g._add_up(rows.filter(pa.compute.equal(rows["bucket"], i)), 9).to_pylist() for i in range(3)]
+        got = {(r["a"], r["b"]): r["n"] for part in parts for r in part}
+        more = {("a", None): keys["a"] + 1, ("b", None): keys["b"] + 1}
+        assert {k: n for k, n in got.items() if k[0] is not None} == expected | more and sum(r["n"] for part in parts for r in part if r["a"] is None) == len(keys)
+
+
+def test_phrases_leave_one_table_and_no_shuffle_files(spark):
+    """The disk held every count, pair and shuffle of both passes until the driver collected its garbage."""
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/threadlens"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def there():
+        files = disk.getAllFiles()
+        shuffled = {name for name in (files.apply(i).getName() for i in range(files.length())) if name.startswith("shuffle_")}
+        return shuffled, set(os.listdir(shared)) if os.path.isdir(shared) else set()
+
+    texts = [["new", "york", "city", f"w{i}"] for i in range(40)] + [[f"o{i}", f"p{i}"] for i in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "text_id int, tokens array<string>").repartition(3, "text_id")
+    shuffled, tables = there()
+    made = corpus.with_phrases(frame, threshold=5.0)
+    after, left = there()
+    assert not after - shuffled and [name.split("-")[0] for name in left - tables] == ["trigrams"]
+    assert made.filter("tokens[0] = 'new_york_city'").count() == 40
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
