@@ -206,12 +206,10 @@ def test_matches_are_chosen_without_a_window(spark):
 
 
 def test_packed_counts_are_those_of_all_tokens_and_pairs(spark, monkeypatch):
-    """Slices of a few tokens, several buckets; texts that join to one form, null and empty tokens."""
+    """Many slices and buckets; texts that join to one form, null and empty tokens."""
     import random
     from collections import Counter
 
-    import pyarrow as pa
-
     from threadlens.operators import gram_table as g
 
     draw = random.Random(5)
@@ -223,19 +221,33 @@ def test_packed_counts_are_those_of_all_tokens_and_pairs(spark, monkeypatch):
         keys.update(f"{a}_{b}" for a, b in joined)
         pairs.update(joined)
     expected = {(t, None): keys[t] for text in texts for t in text or []} | {(a, b): keys[f"{a}_{b}"] for a, b in pairs if keys[f"{a}_{b}"] > 9}
-    frame = spark.createDataFrame(list(enumerate(texts)), "text_id int, tokens array<string>")
-    found = [tuple(r) for r in g.gram_table(frame, 9).collect()]
+    keys.update(["a", "b"])
+    expected[("a", None)], expected[("b", None)] = keys["a"], keys["b"]
+    frame = spark.createDataFrame(list(enumerate([*texts, ["a", None, "b"]])), "text_id int, tokens array<string>")
+    monkeypatch.setattr(g, "BUCKET_TOKENS", 100)
+    slices = corpus.snapshot(g.pack(frame))
+    found = [tuple(r) for r in g.gram_table(slices, 9).collect()]
+    assert len([r for r in found if r[0] is None]) > 10
     assert {(a, b): n for a, b, n in found if a is not None} == expected and sum(n for a, _, n in found if a is None) == len(keys)
+    assert sorted(map(tuple, g.unpack(slices, frame.schema).collect())) == list(enumerate([*texts, ["a", None, "b"]]))
+
+
+def test_slices_are_bounded_and_keep_the_rows(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from threadlens.operators import gram_table as g
 
-    batch = pa.RecordBatch.from_arrays([pa.array([*texts, ["a", None, "b"]], pa.list_(pa.string()))], names=["tokens"])
-    for size in (40, 600):
-        monkeypatch.setattr(g, "SLICE_BYTES", size)
-        rows = pa.Table.from_batches([g._count(held, 3) for held in g._slices([batch.slice(0, 40), batch.slice(40)])])
-        assert rows.num_rows > 30
-        parts = [g._add_up(rows.filter(pa.compute.equal(rows["bucket"], i)), 9).to_pylist() for i in range(3)]
-        got = {(r["a"], r["b"]): r["n"] for part in parts for r in part}
-        more = {("a", None): keys["a"] + 1, ("b", None): keys["b"] + 1}
-        assert {k: n for k, n in got.items() if k[0] is not None} == expected | more and sum(r["n"] for part in parts for r in part if r["a"] is None) == len(keys)
+    texts = [[f"w{i % 7}"] * (i % 11) for i in range(300)] + [None, ["x"] * 500, [None, "é"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["text_id", "tokens"])
+    monkeypatch.setattr(g, "SLICE_BYTES", 2_000)
+    monkeypatch.setattr(g, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rows = pa.Table.from_batches(g._packed([batch.slice(0, 50), batch.slice(50)]))
+    assert rows["slice"].to_pylist() == [(3 << 33) + i for i in range(rows.num_rows)] and rows.num_rows > 10
+    assert sorted(rows["tokens"].to_pylist())[-2] <= 2_000 // g.TOKEN_BYTES and sum(rows["tokens"].to_pylist()) == sum(len(t or []) for t in texts)
+    held = [g._open(x) for x in rows["packed"]]
+    assert [r for t in held for r in zip(t["text_id"].to_pylist(), t["tokens"].to_pylist(), strict=True)] == list(enumerate(texts))
 
 
 def test_phrases_leave_one_table_and_no_shuffle_files(spark):
@@ -258,3 +270,19 @@ def test_phrases_leave_one_table_and_no_shuffle_files(spark):
     assert not after - shuffled and [name.split("-")[0] for name in left - tables] == ["trigrams"]
     assert made.filter("tokens[0] = 'new_york_city'").count() == 40
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_phrases_of_no_texts_and_of_rows_with_other_columns(spark):
+    import datetime
+
+    kind = "id string, at timestamp, more struct<x:int,y:array<string>>, tokens array<string>, n bigint"
+    assert corpus.with_phrases(spark.createDataFrame([], kind), key="id").count() == 0
+    when = datetime.datetime(2020, 5, 1, 12, 30)
+    rows = [(f"k{i}", when, (i, ["p"]), ["new", "york", f"w{i}"], i) for i in range(30)] + [("none", None, None, None, None)]
+    frame = spark.createDataFrame(rows, kind)
+    phrases = spark.createDataFrame([("new", "york"), (None, "x")], "a string, b string")
+    whole = {r.id: r for r in corpus.apply_phrases(frame, phrases, "id").collect()}
+    assert {k: tuple(r) for k, r in whole.items()} == {r[0]: (*r[:3], r[3] and ["new_york", r[3][2]], r[4]) for r in rows}
+    assert corpus.apply_phrases(frame, phrases, "id").schema.simpleString() == frame.schema.simpleString()
+    made = {r.id: r.tokens for r in corpus.with_phrases(frame, threshold=0.5, key="id").collect()}
+    assert made["k3"] == ["new_york", "w3"] and made["none"] is None

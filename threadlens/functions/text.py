@@ -52,7 +52,10 @@ def split_contractions(text: Column) -> Column:
 
 def has_contractions(text: str | Column) -> Column:
     """Whether a contracted form can occur: plain substring tests, far cheaper than the pattern."""
-    lowered = F.lower(col(text))
+    return _holds_contractions(F.lower(col(text)))
+
+
+def _holds_contractions(lowered: Column) -> Column:
     found = F.lit(False)
     for first, second in CONTRACTIONS:
         found = found | F.contains(lowered, F.lit(first + second))
@@ -70,11 +73,11 @@ def text_tokens(
     """Clean, lower-case, tokenise, drop stop words and short tokens; null text gives null.
 
     The text is lower-cased as a whole (cleaned text is plain ASCII), and the
-    contraction pattern runs only on texts that can match it.
+    contraction pattern runs only on texts that can match it, which are looked for in the cleaned text.
     """
     cleaned = F.lower(clean_text(text))
     if contractions:
-        cleaned = F.when(has_contractions(text), split_contractions(cleaned)).otherwise(cleaned)
+        cleaned = bind(cleaned, lambda t: F.when(_holds_contractions(t), split_contractions(t)).otherwise(t))
     return keep_tokens(F.split(cleaned, " "), stopwords, min_length)
 
 

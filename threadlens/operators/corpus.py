@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
 from threadlens.functions.stems import stems
-from threadlens.operators.gram_table import gram_table
+from threadlens.operators.gram_table import gram_table, join_pairs, pack, unpack
 from threadlens.operators.ranking import running_total
 from threadlens.operators.threads import is_first_part, part_start
 from threadlens.runtime import drop_path, one_row, short_shuffles, snapshot, written
@@ -22,9 +22,6 @@ NO_BELOW = 5
 NO_ABOVE = 0.1
 KEEP_N = 5000
 
-# Fixed value: most bits of the table that tells pairs from phrases (8 MB).
-MOST_BITS = 1 << 26
-
 
 def post_and_comment_texts(
     posts: DataFrame, comment_words_in: bool = True, keep: Sequence[str] = ("subreddit", "post_author")
@@ -180,12 +177,13 @@ def phrase_scores(
     score = (n_ab - min_count) / (n_a n_b) * V, with V the number of distinct keys. Keys
     are texts: a pair counts under its joined form, so two splits of one form add up.
     """
-    return _scores(snapshot(_grams(texts, min_count, threshold), "grams"), min_count, threshold)
+    slices = snapshot(pack(texts.select("tokens")), "slices")
+    return _scores(snapshot(_grams(slices, min_count, threshold), "grams"), min_count, threshold)
 
 
-def _grams(texts: DataFrame, min_count: int, threshold: float) -> DataFrame:
+def _grams(slices: DataFrame, min_count: int, threshold: float) -> DataFrame:
     """Counts of tokens, of the pairs that can score above ``threshold``, and of keys."""
-    return gram_table(texts, min_count if threshold >= 0 else None)
+    return gram_table(slices, min_count if threshold >= 0 else None)
 
 
 def _scores(grams: DataFrame, min_count: int, threshold: float) -> DataFrame:
@@ -207,76 +205,14 @@ def _scores(grams: DataFrame, min_count: int, threshold: float) -> DataFrame:
     )
 
 
-def _pair_bits(phrases: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
-    """One row of bits, set where a hash of a phrase falls, and the test of a pair against it.
-
-    About one bit in 16 is set, or more where the phrases are over MOST_BITS / 16: the row stays bounded.
-    """
-    size = min(MOST_BITS, 1 << max(10, (16 * phrases.count()).bit_length()))
-    place = lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(size - 1))
-    word = lambda at: F.shiftright(at, 6).cast("int")
-    ones = phrases.select(place(F.col("a"), F.col("b")).alias("_at"))
-    ones = ones.select(word(F.col("_at")).alias("_word"), F.expr("shiftleft(1L, cast(_at & 63 as int))").alias("_bits"))
-    none = phrases.sparkSession.range(size >> 6).select(F.col("id").cast("int").alias("_word"), F.lit(0).cast("long").alias("_bits"))
-    words = ones.unionAll(none).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    row = words.agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).getField("_bits").alias("_bits"))
-
-    def test(bits: Column) -> Callable[[Column, Column], Column]:
-        def hit(a: Column, b: Column) -> Column:
-            at = place(a, b)
-            return F.call_function("getbit", F.get(bits, word(at)), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-        return hit
-
-    return row, test(row.scalar())
-
-
-def phrase_places(texts: DataFrame, phrases: DataFrame, key: str = "text_id") -> DataFrame:
-    """(key, ``_at``): where the pairs to join begin in a text, from left to right and without overlap.
+def apply_phrases(texts: DataFrame, phrases: DataFrame, key: str = "text_id") -> DataFrame:
+    """Join accepted pairs with ``_``, from left to right and without overlap.
 
-    In a run of consecutive matching pairs the greedy rule takes every other one, so the
-    places taken are sequences by twos. ``phrases`` may be of any size: a table of bits tells nearly all pairs that are
-    none where they stand, so that only the others are moved to the phrases, and places of matches come together by text.
+    In a run of consecutive matching pairs the greedy rule takes every other one. Only the distinct pairs of a
+    slice of texts that are likely phrases meet the phrases, which may be of any size.
     """
-    _, may_match = _pair_bits(phrases)
-    pairs = texts.select(key, "tokens", F.posexplode("tokens").alias("pos", "a"))
-    pairs = pairs.select(key, "pos", "a", F.get("tokens", F.col("pos") + 1).alias("b"))
-    near = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & may_match(F.col("a"), F.col("b")))
-    hits = near.join(phrases.select("a", "b"), ["a", "b"], "left_semi").select(key, "pos")
-    places = hits.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("_hits"))
-
-    def opening(pos: Column, i: Column) -> Column:
-        # The index of a match that starts a run, else null.
-        before = F.try_element_at("_hits", F.greatest(i, F.lit(1)))
-        return F.when((i == 0) | (pos != before + 1), i)
-
-    def every_other(start: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("_runs", i + 1), F.size("_hits"))
-        return F.sequence(F.get("_hits", start), F.get("_hits", end - 1), F.lit(2))
-
-    runs = places.withColumn("_runs", F.filter(F.transform("_hits", opening), F.isnotnull))
-    return runs.select(key, F.flatten(F.transform("_runs", every_other)).alias("_at"))
-
-
-def join_places(texts: DataFrame, places: DataFrame, key: str = "text_id") -> DataFrame:
-    """Each text cut at its places and put together again, with the pairs there joined by ``_``."""
-    joined = texts.join(places, key, "left")
-
-    def piece(pos: Column, i: Column) -> Column:
-        # Tokens from the end of the match before this one up to it, then the joined pair.
-        start = F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_at", F.greatest(i, F.lit(1))) + 2)
-        pair = F.concat(F.get("tokens", pos), F.lit("_"), F.get("tokens", pos + 1))
-        return F.concat(F.slice("tokens", start + 1, pos - start), F.array(pair))
-
-    rest = F.try_element_at("_at", F.lit(-1)) + 2
-    tail = F.slice("tokens", rest + 1, F.greatest(F.size("tokens") - rest, F.lit(0)))
-    rebuilt = F.concat(F.flatten(F.transform("_at", piece)), tail)
-    return joined.withColumn("tokens", F.when(F.col("_at").isNull(), F.col("tokens")).otherwise(rebuilt)).drop("_at")
-
-
-def apply_phrases(texts: DataFrame, phrases: DataFrame, key: str = "text_id") -> DataFrame:
-    """Join accepted pairs with ``_``, from left to right and without overlap."""
-    return join_places(texts, phrase_places(texts, snapshot(phrases.select("a", "b"), "phrases"), key), key)
+    slices = snapshot(pack(texts), "slices")
+    return unpack(join_pairs(slices, snapshot(phrases.select("a", "b"), "phrases")), texts.schema)
 
 
 def with_phrases(
@@ -284,24 +220,24 @@ def with_phrases(
 ) -> DataFrame:
     """Two passes: pairs first, then pairs of what the first pass made.
 
-    Only keys and tokens go through the passes; other columns are joined at the end. A pass writes its counts, its
-    phrases, their places and its texts, each by a query of its own whose shuffle files go with it, and what the next
-    step does not read is dropped, so that the disk holds the texts twice and one shuffle at most.
+    Only keys and tokens go through the passes, packed; other columns are joined at the end. A pass writes its counts, its
+    phrases and its texts, each by a query of its own whose shuffle files go with it, and what the next step does not read
+    is dropped.
     """
     spark = texts.sparkSession
     whole, others = texts, [c for c in texts.columns if c not in (key, "tokens")]
+    texts = texts.select(key, "tokens")
     with short_shuffles(spark):
-        texts, last = written(texts.select(key, "tokens"), "tokens")
+        slices, last = written(pack(texts), "slices")
         for step in ("bigrams", "trigrams"):
-            grams, counted = written(_grams(texts, min_count, threshold), "grams")
+            grams, counted = written(_grams(slices, min_count, threshold), "grams")
             accepted, found = written(_scores(grams, min_count, threshold).select("a", "b"), "phrases")
             drop_path(spark, counted)
-            places, taken = written(phrase_places(texts, accepted, key), "places")
+            slices, made = written(join_pairs(slices, accepted), step)
             drop_path(spark, found)
-            texts, made = written(join_places(texts, places, key), step)
-            drop_path(spark, taken)
             drop_path(spark, last)
             last = made
+    texts = unpack(slices, texts.schema)
     return whole.select(key, *others).join(texts, key).select(*whole.columns) if others else texts
 
 

@@ -1,9 +1,13 @@
-"""Counts of tokens and of neighbouring pairs under their joined text, packed before they are shuffled.
+"""Texts in packed slices: counts of tokens and neighbouring pairs, and the joining of pairs.
 
-Most pairs of a corpus occur once or twice, so rows of pairs are several times as large as the texts. Here a task counts
-the pairs of a slice of bounded size by numbers of words, sorts what it found by text and deals it to buckets; the part of a
-slice that goes to a bucket is one compressed row. A bucket is added up alone: its keys are whole, so it knows how
-many there are, and only tokens and pairs that are frequent enough leave it. Buckets grow in number with the tokens.
+Most pairs of a corpus occur once or twice, so rows of pairs are several times as large as the texts. Here a slice, some
+thousand texts of bounded size, is one compressed row that holds its words once and its tokens as numbers of words.
+
+* A slice is counted by numbers. What it found is sorted by text and dealt to buckets, and the part that goes to a bucket is
+  one compressed row. A bucket is added up alone: its keys are whole, so it knows how many there are, and only tokens and
+  pairs that are frequent enough leave it. Buckets grow in number with the tokens.
+* Phrases may be a table of any size. A table of bits tells nearly all pairs of a slice that are none, the others are joined
+  to the phrases, and a slice meets its own phrases to join them.
 """
 
 from __future__ import annotations
@@ -13,60 +17,147 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.runtime import one_row
 
-# Bytes counted at once (a token has TOKEN_BYTES besides its text), and tokens to a bucket, about.
-SLICE_BYTES, TOKEN_BYTES = 24_000_000, 16
+# Bytes of a slice (a token has TOKEN_BYTES besides its text; one longer text is a slice alone), tokens to a
+# bucket, and most bits of the table that tells pairs from phrases (8 MB).
+SLICE_BYTES, TOKEN_BYTES = 12_000_000, 16
 BUCKET_TOKENS = 500_000
+MOST_BITS = 1 << 26
 
-#: The bucket hash adds up these weights of a text's bytes, so that the hash of a pair follows from those of its words.
+#: Hashes add up these weights of a text's bytes, so that the hash of a pair follows from those of its words.
 WEIGHTS = np.random.default_rng(17).integers(0, 2**64, 256, dtype=np.uint64)
+#: Odd numbers that mix the hashes of two words into a place among the bits.
+MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
-PACKED = "bucket int, size long, packed binary"
+SLICE = "slice long, tokens long, packed binary"
+BUCKET = "bucket int, size long, packed binary"
 COUNTED = "a string, b string, n long"
+PAIR = "slice long, a string, b string"
 
 
-def _codec() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=1)
+# --- slices ------------------------------------------------------------------
 
 
-def _slices(batches) -> Iterator[list[tuple[pa.Array, np.ndarray, np.ndarray]]]:
-    """Parts of about SLICE_BYTES: tokens, which of them count here, and which make a pair with the next one.
+class Words:
+    """The token column of a slice: ``words`` once each, ``codes`` of the tokens (-1: null), ``ends`` of the texts."""
 
-    A text may be cut anywhere: the token after the cut comes along as the end of the last pair.
-    """
+    def __init__(self, lists: pa.Array):
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        self.ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        self.absent = pc.is_null(lists)
+        tokens = lists.flatten()
+        tokens = tokens if isinstance(tokens, pa.DictionaryArray) else tokens.cast(pa.string()).dictionary_encode()
+        self.words = tokens.dictionary
+        self.codes = pc.fill_null(tokens.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def lists(self) -> pa.Array:
+        """The column again, with the words that occur, once each, in their order."""
+        once = self.words.dictionary_encode()
+        codes = np.append(once.indices.to_numpy().astype(np.int64), -1)[self.codes]
+        used = np.bincount(codes[codes >= 0], minlength=len(once.dictionary)) > 0
+        words = once.dictionary.filter(pa.array(used))
+        order = pc.sort_indices(words).to_numpy()  # neighbours in a packed row share their beginnings
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        number = np.full(len(used) + 1, -1)
+        number[:-1][used] = rank
+        codes = number[codes].astype(np.int32)
+        tokens = pa.DictionaryArray.from_arrays(pa.array(codes, mask=codes < 0), words.take(pa.array(order)))
+        return pa.ListArray.from_arrays(pa.array(self.ends.astype(np.int32)), tokens, mask=self.absent)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of tokens with a next one in their text, and the codes of both; nothing is joined over a null."""
+        joins = np.ones(len(self.codes), bool)
+        joins[self.ends[1:][np.diff(self.ends) > 0] - 1] = False
+        there = self.codes >= 0
+        at = np.flatnonzero(joins[:-1] & there[:-1] & there[1:])
+        return at, self.codes[at], self.codes[at + 1]
+
+
+def _place(schema: pa.Schema) -> int:
+    return schema.get_field_index("tokens")
+
+
+def _row(rows: pa.RecordBatch | pa.Table, held: Words, number: int) -> pa.RecordBatch:
+    rows = rows.set_column(_place(rows.schema), "tokens", held.lists())
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([len(held.codes)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "tokens", "packed"]
+    )
+
+
+def _open(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
+
+
+def _column(rows: pa.Table) -> Words:
+    lists = rows["tokens"]
+    return Words(lists.chunk(0) if lists.num_chunks == 1 else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type))
+
+
+def _packed(batches) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 33
     held, size = [], 0
     for batch in batches:
-        lists = batch.column(0)
+        lists = batch.column(_place(batch.schema))
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        words = lists.flatten().cast(pa.string())
-        joins = np.ones(len(words), bool)
-        joins[np.cumsum(lengths)[lengths > 0] - 1] = False
-        there = np.ones(len(words), bool)
-        if words.null_count:  # a null is no word: it counts nowhere, and nothing is joined over it
-            there = pc.is_valid(words).to_numpy(zero_copy_only=False)
-            joins &= there & np.append(there[1:], False)
-            words = words.fill_null("")
-        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + TOKEN_BYTES)
+        tokens = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64) + TOKEN_BYTES)])
+        ends = tokens[np.cumsum(lengths)] + TOKEN_BYTES * np.arange(1, len(lists) + 1)
         at = 0
-        while at < len(words):
+        while at < len(lists):
             start = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, start + SLICE_BYTES - size, side="right")))
-            over = np.zeros(int(joins[to - 1]), bool)
-            held.append((words.slice(at, to - at + len(over)), *(np.concatenate([x[at:to], over]) for x in (there, joins))))
-            size, at = size + int(ends[to - 1] - start), to
-            if size >= SLICE_BYTES - TOKEN_BYTES or at < len(words):
-                yield held
-                held, size = [], 0
+            to = int(np.searchsorted(ends, start + SLICE_BYTES - size, side="right"))
+            to = max(to, at if held else at + 1)
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size, at = size + int(ends[to - 1] - start), to
+            if at < len(lists):  # the next text does not fit
+                rows = pa.Table.from_batches(held)
+                yield _row(rows.combine_chunks(), _column(rows), number)
+                held, size, number = [], 0, number + 1
     if held:
-        yield held
+        rows = pa.Table.from_batches(held)
+        yield _row(rows.combine_chunks(), _column(rows), number)
+
+
+def pack(texts: DataFrame) -> DataFrame:
+    """Slices of rows with ``tokens``: (slice, tokens, packed). Write it once: numbers follow how rows are dealt to tasks."""
+    place = texts.columns.index("tokens")
+    columns = [F.col("tokens").cast("array<string>").alias("tokens") if i == place else F.col(f"`{c}`") for i, c in enumerate(texts.columns)]
+    return texts.select(*columns).mapInArrow(_packed, SLICE)
+
+
+def unpack(slices: DataFrame, schema) -> DataFrame:
+    """The rows of the slices again."""
+
+    def rows(batches):
+        for batch in batches:
+            for packed in batch.column(batch.schema.get_field_index("packed")):
+                table = _open(packed)
+                held = _column(table)
+                tokens = pa.DictionaryArray.from_arrays(pa.array(held.codes.astype(np.int32), mask=held.codes < 0), held.words)
+                lists = pa.ListArray.from_arrays(pa.array(held.ends.astype(np.int32)), tokens.dictionary_decode(), mask=held.absent)
+                yield from table.set_column(_place(table.schema), "tokens", lists).to_batches(max_chunksize=1000)
+
+    return slices.select("packed").mapInArrow(rows, schema)
+
+
+# --- counts ------------------------------------------------------------------
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
 
 
 def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of every word, and the sum of their weights."""
+    """Bytes of every string, and the sum of their weights."""
     _, offsets, data = words.buffers()
     offsets = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4)
     inside = np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]) if data else np.zeros(0, np.uint8)
@@ -96,29 +187,23 @@ def _unpack(size: int, packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.nd
     return *columns, plain[at:]
 
 
-def _count(held: list, buckets: int) -> pa.RecordBatch:
+def _count(held: Words, buckets: int) -> pa.RecordBatch:
     """One row a bucket: keys, bytes before the joint plus one (0: a single token) and counts of a slice."""
-    found = pa.concat_arrays([x for x, _, _ in held]).dictionary_encode()
-    there, joins = (np.concatenate([x[i] for x in held]) for i in (1, 2))
-    order = pc.sort_indices(found.dictionary).to_numpy()  # neighbours in a packed row share their beginnings
-    words = found.dictionary.take(pa.array(order))
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    codes = rank[found.indices.to_numpy()]
-    singles = np.bincount(codes[there], minlength=len(words))
+    words = held.words
+    singles = np.bincount(held.codes[held.codes >= 0], minlength=len(words))
     single = np.flatnonzero(singles)
-    at = np.flatnonzero(joins)
-    pairs, n = np.unique(codes[at] * len(words) + codes[at + 1], return_counts=True)
-    a, b = np.divmod(pairs, len(words))
+    _, first, second = held.pairs()
+    pairs, n = np.unique(first * len(words) + second, return_counts=True)
+    a, b = np.divmod(pairs, max(1, len(words)))
     lengths, sums = _hashes(words)
 
-    keys = pa.concat_arrays([words.take(pa.array(single)), pc.binary_join_element_wise(words.take(pa.array(a)), words.take(pa.array(b)), "_")])
-    splits = np.concatenate([np.zeros(len(single), np.int64), lengths[a] + 1])
-    counts = np.concatenate([singles[single], n])
     hashes = np.concatenate([sums[single], sums[a] + sums[b] + WEIGHTS[ord("_")]])
     dealt = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
     order = np.argsort(dealt, kind="stable")
-    keys, splits, counts = keys.take(pa.array(order)), splits[order], counts[order]
+    keys = pa.concat_arrays([words.take(pa.array(single)), pc.binary_join_element_wise(words.take(pa.array(a)), words.take(pa.array(b)), "_")])
+    keys = keys.take(pa.array(order))
+    splits = np.concatenate([np.zeros(len(single), np.int64), lengths[a] + 1])[order]
+    counts = np.concatenate([singles[single], n])[order]
     bounds = np.concatenate([[0], np.cumsum(np.bincount(dealt, minlength=buckets))])
     _, offsets, data = keys.buffers()
     offsets = np.frombuffer(offsets, np.int32, len(keys) + 1, keys.offset * 4)
@@ -131,12 +216,19 @@ def _count(held: list, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ([], [], []), kinds, strict=True)], names=["bucket", "size", "packed"])
 
 
+def _between(text: pa.Buffer, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings at the given places of a text; places are in order and do not overlap."""
+    bounds = np.append(np.stack([starts, ends], axis=1).ravel(), ends[-1:] if len(ends) else [0]).astype(np.int64)
+    spaced = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), text)
+    return spaced.take(pa.array(np.arange(len(starts)) * 2)).cast(pa.string())
+
+
 def _add_up(rows: pa.Table, above: int | None) -> pa.Table:
     """Of a bucket: how many keys (``a`` null), its single tokens (``b`` null), its pairs whose key counts over ``above``.
 
     Counts are of the joined text, so that two splits of one text, and a token that looks like a pair, add up.
     """
-    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows["size"], rows["packed"])]
+    columns = [rows[c].combine_chunks() for c in ("size", "packed")]
     parts = [_unpack(size, packed.as_buffer()) for size, packed in zip(columns[0].to_pylist(), columns[1], strict=True)]
     lengths, splits, counts = (np.concatenate([x[i] for x in parts]) for i in range(3))
     text = pa.py_buffer(b"".join(x[3] for x in parts))
@@ -152,36 +244,107 @@ def _add_up(rows: pa.Table, above: int | None) -> pa.Table:
     kept = np.sort(kept[first])
     joint = offsets[kept] + splits[kept]
     a, b = _between(text, offsets[kept], joint - 1), _between(text, joint, offsets[kept + 1])
-    none = pa.nulls(1, pa.string())
     words = found.dictionary.take(pa.array(single)).cast(pa.string())
     return pa.table(
         {
-            "a": pa.concat_arrays([none, words, a]),
-            "b": pa.concat_arrays([none, pa.nulls(len(words), pa.string()), b]),
+            "a": pa.concat_arrays([pa.nulls(1, pa.string()), words, a]),
+            "b": pa.concat_arrays([pa.nulls(1 + len(words), pa.string()), b]),
             "n": pa.array(np.concatenate([[len(total)], total[single], total[codes[kept]]]).astype(np.int64)),
         }
     )
 
 
-def _between(text: pa.Buffer, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Strings at the given places of a text; places are in order and do not overlap."""
-    bounds = np.append(np.stack([starts, ends], axis=1).ravel(), ends[-1:] if len(ends) else [0]).astype(np.int64)
-    spaced = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), text)
-    return spaced.take(pa.array(np.arange(len(starts)) * 2)).cast(pa.string())
-
-
-def gram_table(texts: DataFrame, above: int | None = None) -> DataFrame:
+def gram_table(slices: DataFrame, above: int | None = None) -> DataFrame:
     """(a, b, n): the count of every token's text (``b`` null) and of every pair whose text counts more than ``above``.
 
     n counts a text wherever it comes from, a token or any pair that joins to it. Rows with ``a`` null
     hold in n how many texts there are, a part each: their sum is the number of distinct texts.
     """
-    lists = texts.select(F.col("tokens").cast("array<string>").alias("tokens"))
-    tokens = one_row(lists, n=F.sum(F.greatest(F.size("tokens"), F.lit(0)).cast("long")))["n"] or 0
-    buckets = 1 + tokens // BUCKET_TOKENS
+    buckets = 1 + (one_row(slices, n=F.sum("tokens"))["n"] or 0) // BUCKET_TOKENS
 
     def count(batches):
-        for held in _slices(batches):
-            yield _count(held, buckets)
-
-    return lists.mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(lambda rows: _add_up(rows, above), COUNTED)
+        for batch in batches:
+            for packed in batch.column(0):
+                yield _count(_column(_open(packed)), buckets)
+
+    return slices.select("packed").mapInArrow(count, BUCKET).groupBy("bucket").applyInArrow(lambda rows: _add_up(rows, above), COUNTED)
+
+
+# --- joining -----------------------------------------------------------------
+
+
+def _bits(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Place of a pair among ``size`` bits, a power of two, from the hashes of its words."""
+    mixed = a * MIX[0] + b * MIX[1]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX[2]
+    return ((mixed >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _table_of_bits(phrases: DataFrame) -> np.ndarray:
+    """Bits at the places of the phrases: one in 16 or fewer, or more where that takes over MOST_BITS."""
+    size = min(MOST_BITS, 1 << max(10, (16 * phrases.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            a, b = (_hashes(batch.column(i).cast(pa.string()))[1] for i in range(2))
+            at = np.unique(_bits(a, b, size))
+            word, first = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    found = phrases.select("a", "b").where("a is not null and b is not null").mapInArrow(places, "word int, bits long")
+    found = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size >> 6, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def _join(rows: pa.Table, phrases: pa.Table) -> pa.RecordBatch:
+    """A slice with its phrases joined from left to right: in a run of matches, every other one is taken."""
+    table = _open(rows["packed"].combine_chunks()[0])
+    held = _column(table)
+    first, second = (pc.index_in(phrases[c].combine_chunks().cast(pa.string()), held.words).to_numpy().astype(np.int64) for c in ("a", "b"))
+    at, a, b = held.pairs()
+    known, which = np.unique(first * len(held.words) + second, return_index=True)
+    number = np.searchsorted(known, a * len(held.words) + b)
+    hits = np.flatnonzero(number < len(known))
+    hits = hits[known[number[hits]] == (a * len(held.words) + b)[hits]]
+    at, number = at[hits], number[hits]
+    opens = np.append(True, np.diff(at) > 1)[: len(at)]
+    start = at[opens][np.cumsum(opens) - 1] if len(at) else at
+    taken = (at - start) % 2 == 0
+    at, number = at[taken], number[taken]
+
+    joined = pc.binary_join_element_wise(held.words.take(pa.array(first[which])), held.words.take(pa.array(second[which])), "_")
+    held.codes[at] = len(held.words) + number
+    held.words = pa.concat_arrays([held.words, joined])
+    stay = np.ones(len(held.codes), bool)
+    stay[at + 1] = False
+    held.codes, held.ends = held.codes[stay], np.concatenate([[0], np.cumsum(stay)])[held.ends]
+    return pa.Table.from_batches([_row(table, held, rows["slice"][0].as_py())])
+
+
+def join_pairs(slices: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The slices with accepted pairs (a, b) joined by ``_``, from left to right and without overlap.
+
+    Both tables are read twice: they should be written ones.
+    """
+    sent = slices.sparkSession.sparkContext.broadcast(_table_of_bits(phrases))
+
+    def near(batches):
+        table = sent.value
+        for batch in batches:
+            for number, packed in zip(batch.column(0), batch.column(1), strict=True):
+                held = _column(_open(packed))
+                _, sums = _hashes(held.words)
+                _, a, b = held.pairs()
+                bits = _bits(sums[a], sums[b], len(table) << 6)
+                may = (table[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) > 0
+                a, b = np.divmod(np.unique(a[may] * len(held.words) + b[may]), max(1, len(held.words)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(a), number.as_py())), *(held.words.take(pa.array(x)) for x in (a, b))], names=["slice", "a", "b"]
+                )
+
+    pairs = slices.select("slice", "packed").mapInArrow(near, PAIR).join(phrases.select("a", "b"), ["a", "b"], "left_semi")
+    both = slices.groupBy("slice").cogroup(pairs.groupBy("slice"))
+    return both.applyInArrow(_join, SLICE)
