@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import text as tx
 from threadlens.functions.stems import stems
-from threadlens.operators.gram_table import gram_table, join_pairs, pack, unpack
+from threadlens.operators.gram_table import gram_table, join_pairs, pack, phrases_of_slices, unpack
 from threadlens.operators.ranking import running_total
 from threadlens.operators.threads import is_first_part, part_start
 from threadlens.runtime import drop_path, one_row, short_shuffles, snapshot, written
@@ -212,7 +212,8 @@ def apply_phrases(texts: DataFrame, phrases: DataFrame, key: str = "text_id") ->
     slice of texts that are likely phrases meet the phrases, which may be of any size.
     """
     slices = snapshot(pack(texts), "slices")
-    return unpack(join_pairs(slices, snapshot(phrases.select("a", "b"), "phrases")), texts.schema)
+    pairs = phrases_of_slices(slices, snapshot(phrases.select("a", "b"), "phrases"))
+    return unpack(join_pairs(slices, pairs), texts.schema)
 
 
 def with_phrases(
@@ -221,7 +222,7 @@ def with_phrases(
     """Two passes: pairs first, then pairs of what the first pass made.
 
     Only keys and tokens go through the passes, packed; other columns are joined at the end. A pass writes its counts, its
-    phrases and its texts, each by a query of its own whose shuffle files go with it, and what the next step does not read
+    phrases, where they are and its texts, each by a query of its own whose shuffle files go with it, and what the next step does not read
     is dropped.
     """
     spark = texts.sparkSession
@@ -233,8 +234,10 @@ def with_phrases(
             grams, counted = written(_grams(slices, min_count, threshold), "grams")
             accepted, found = written(_scores(grams, min_count, threshold).select("a", "b"), "phrases")
             drop_path(spark, counted)
-            slices, made = written(join_pairs(slices, accepted), step)
+            pairs, met = written(phrases_of_slices(slices, accepted), "pairs")
             drop_path(spark, found)
+            slices, made = written(join_pairs(slices, pairs), step)
+            drop_path(spark, met)
             drop_path(spark, last)
             last = made
     texts = unpack(slices, texts.schema)

@@ -37,7 +37,7 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB8
 SLICE = "slice long, tokens long, packed binary"
 BUCKET = "bucket int, size long, packed binary"
 COUNTED = "a string, b string, n long"
-PAIR = "slice long, a string, b string"
+PAIR = "slice long, pair long, a string, b string"
 
 
 # --- slices ------------------------------------------------------------------
@@ -156,13 +156,17 @@ def _codec() -> pa.Codec:
     return pa.Codec("zstd", compression_level=1)
 
 
-def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of every string, and the sum of their weights."""
+def _hashes(words: pa.Array, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of every string, and the sum of their weights, which depend on the place in it if ``ordered``."""
     _, offsets, data = words.buffers()
     offsets = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4)
     inside = np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]) if data else np.zeros(0, np.uint8)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(WEIGHTS[inside], dtype=np.uint64)])
     ends = offsets - offsets[0]
+    weights = WEIGHTS[inside]
+    if ordered:
+        place = np.arange(len(inside)) - np.repeat(ends[:-1], np.diff(ends))
+        weights = (weights ^ (weights >> np.uint64(31))) * (2 * place + 1).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights, dtype=np.uint64)])
     return np.diff(ends), sums[ends[1:]] - sums[ends[:-1]]
 
 
@@ -273,21 +277,21 @@ def gram_table(slices: DataFrame, above: int | None = None) -> DataFrame:
 # --- joining -----------------------------------------------------------------
 
 
-def _bits(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """Place of a pair among ``size`` bits, a power of two, from the hashes of its words."""
+def _bits(a: np.ndarray, b: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two places of a pair among ``size`` bits, a power of two, from the hashes of its words."""
     mixed = a * MIX[0] + b * MIX[1]
     mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX[2]
-    return ((mixed >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64)
+    return [((x >> np.uint64(24)) & np.uint64(size - 1)).astype(np.int64) for x in (mixed, (mixed ^ (mixed >> np.uint64(29))) * MIX[1])]
 
 
 def _table_of_bits(phrases: DataFrame) -> np.ndarray:
-    """Bits at the places of the phrases: one in 16 or fewer, or more where that takes over MOST_BITS."""
+    """Bits at the places of the phrases: one in 8 or fewer, or more where that takes over MOST_BITS."""
     size = min(MOST_BITS, 1 << max(10, (16 * phrases.count()).bit_length()))
 
     def places(batches):
         for batch in batches:
-            a, b = (_hashes(batch.column(i).cast(pa.string()))[1] for i in range(2))
-            at = np.unique(_bits(a, b, size))
+            a, b = (_hashes(batch.column(i).cast(pa.string()), ordered=True)[1] for i in range(2))
+            at = np.unique(np.concatenate(_bits(a, b, size)))
             word, first = np.unique(at >> 6, return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
@@ -299,13 +303,12 @@ def _table_of_bits(phrases: DataFrame) -> np.ndarray:
     return table
 
 
-def _join(rows: pa.Table, phrases: pa.Table) -> pa.RecordBatch:
+def _join(rows: pa.Table, phrases: pa.Table) -> pa.Table:
     """A slice with its phrases joined from left to right: in a run of matches, every other one is taken."""
     table = _open(rows["packed"].combine_chunks()[0])
     held = _column(table)
-    first, second = (pc.index_in(phrases[c].combine_chunks().cast(pa.string()), held.words).to_numpy().astype(np.int64) for c in ("a", "b"))
+    known = np.sort(phrases["pair"].to_numpy())
     at, a, b = held.pairs()
-    known, which = np.unique(first * len(held.words) + second, return_index=True)
     number = np.searchsorted(known, a * len(held.words) + b)
     hits = np.flatnonzero(number < len(known))
     hits = hits[known[number[hits]] == (a * len(held.words) + b)[hits]]
@@ -315,7 +318,8 @@ def _join(rows: pa.Table, phrases: pa.Table) -> pa.RecordBatch:
     taken = (at - start) % 2 == 0
     at, number = at[taken], number[taken]
 
-    joined = pc.binary_join_element_wise(held.words.take(pa.array(first[which])), held.words.take(pa.array(second[which])), "_")
+    first, second = np.divmod(known, max(1, len(held.words)))
+    joined = pc.binary_join_element_wise(held.words.take(pa.array(first)), held.words.take(pa.array(second)), "_")
     held.codes[at] = len(held.words) + number
     held.words = pa.concat_arrays([held.words, joined])
     stay = np.ones(len(held.codes), bool)
@@ -324,10 +328,10 @@ def _join(rows: pa.Table, phrases: pa.Table) -> pa.RecordBatch:
     return pa.Table.from_batches([_row(table, held, rows["slice"][0].as_py())])
 
 
-def join_pairs(slices: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The slices with accepted pairs (a, b) joined by ``_``, from left to right and without overlap.
+def phrases_of_slices(slices: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(slice, pair): the numbers that accepted pairs (a, b) have in the slices they occur in.
 
-    Both tables are read twice: they should be written ones.
+    ``phrases`` is read twice: it should be a written table.
     """
     sent = slices.sparkSession.sparkContext.broadcast(_table_of_bits(phrases))
 
@@ -336,15 +340,19 @@ def join_pairs(slices: DataFrame, phrases: DataFrame) -> DataFrame:
         for batch in batches:
             for number, packed in zip(batch.column(0), batch.column(1), strict=True):
                 held = _column(_open(packed))
-                _, sums = _hashes(held.words)
+                _, sums = _hashes(held.words, ordered=True)
                 _, a, b = held.pairs()
-                bits = _bits(sums[a], sums[b], len(table) << 6)
-                may = (table[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) > 0
-                a, b = np.divmod(np.unique(a[may] * len(held.words) + b[may]), max(1, len(held.words)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a), number.as_py())), *(held.words.take(pa.array(x)) for x in (a, b))], names=["slice", "a", "b"]
-                )
-
-    pairs = slices.select("slice", "packed").mapInArrow(near, PAIR).join(phrases.select("a", "b"), ["a", "b"], "left_semi")
-    both = slices.groupBy("slice").cogroup(pairs.groupBy("slice"))
-    return both.applyInArrow(_join, SLICE)
+                may = np.ones(len(a), bool)
+                for bits in _bits(sums[a], sums[b], len(table) << 6):
+                    may &= (table[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) > 0
+                pairs = np.unique(a[may] * len(held.words) + b[may])
+                words = [held.words.take(pa.array(x)) for x in np.divmod(pairs, max(1, len(held.words)))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), number.as_py())), pa.array(pairs), *words], names=["slice", "pair", "a", "b"])
+
+    found = slices.select("slice", "packed").mapInArrow(near, PAIR)
+    return found.join(phrases.select("a", "b"), ["a", "b"], "left_semi").select("slice", "pair")
+
+
+def join_pairs(slices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The slices with their ``pairs``, of ``phrases_of_slices``, joined by ``_``, from left to right and without overlap."""
+    return slices.groupBy("slice").cogroup(pairs.groupBy("slice")).applyInArrow(_join, SLICE)
